@@ -14,23 +14,32 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 60
+BUCKET_ROWS = 1_000_000
 CHUNK_ROWS = 100_000
-_KEY, _BUCKET = "_tw_key", "_tw_bucket"
+_DAY = 86_400e6
+_KEY = "_tw_key"
 
 
 def epoch_micros(time_col: str) -> Column:
     return F.unix_micros(F.col(time_col).cast("timestamp"))
 
 
-def _time_bucket(time_col: str, seconds: int) -> Column:
-    return F.floor(epoch_micros(time_col) / F.lit(float(seconds * 1_000_000))).cast("long")
+def time_bucket(df: DataFrame, time_col: str, rows: int = BUCKET_ROWS) -> Column:
+    """Number of the time bucket a row falls in, sized for about ``rows`` rows of all entities.
+
+    The width follows from the table's own span and count, in one pass over the
+    time column, and is a microsecond to a day.
+    """
+    stats = df.select(epoch_micros(time_col).alias("t")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("t").alias("n"))
+    even = (F.col("hi") - F.col("lo")) * F.lit(float(rows)) / F.greatest(F.col("n"), F.lit(1))
+    width = stats.select(F.greatest(F.lit(1.0), F.least(F.lit(_DAY), even))).scalar()
+    return F.floor(epoch_micros(time_col) / width).cast("long")
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], time_col: str, seconds: int) -> DataFrame:
+def _keyed(df: DataFrame, keys: Sequence[str], time_col: str, rows: int) -> DataFrame:
     # A struct key compares nulls as equal, as window partitions do.
     return df.withColumn(
-        _KEY, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], _time_bucket(time_col, seconds).alias("b"))
+        _KEY, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], time_bucket(df, time_col, rows).alias("b"))
     )
 
 
@@ -46,7 +55,7 @@ def with_position(
     *,
     name: str = "pos",
     running: Mapping[str, Column] | None = None,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of each row within its entity.
 
@@ -54,7 +63,7 @@ def with_position(
     per name, the inclusive running count of rows where the condition holds.
     """
     running = dict(running or {})
-    keyed = _keyed(df, keys, time_col, bucket_seconds)
+    keyed = _keyed(df, keys, time_col, bucket_rows)
     per_bucket = keyed.groupBy(_KEY).agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(f"_n_{r}") for r, c in running.items()]
     )
@@ -86,7 +95,7 @@ def frame_chunks(
     frame: int,
     *,
     chunk_rows: int = CHUNK_ROWS,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Cut entities into chunks that can evaluate a frame of ``frame`` trailing rows alone.
 
@@ -96,7 +105,7 @@ def frame_chunks(
     halo = frame - 1
     rows = max(chunk_rows, halo, 1)
     home = F.floor(F.col("pos") / F.lit(rows)).cast("long")
-    positioned = with_position(df, keys, order, time_col, bucket_seconds=bucket_seconds)
+    positioned = with_position(df, keys, order, time_col, bucket_rows=bucket_rows)
     copies = F.when(F.col("pos") % rows >= rows - halo, F.array(home, home + 1)).otherwise(F.array(home))
     return positioned.withColumn("_chunk", F.explode(copies)).withColumn("_own", F.col("_chunk") == home)
 
@@ -116,10 +125,10 @@ def last_known(
     order: Sequence[str],
     time_col: str,
     *,
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Replace nulls in ``cols`` by the entity's last earlier non-null value."""
-    keyed = _keyed(df, keys, time_col, bucket_seconds)
+    keyed = _keyed(df, keys, time_col, bucket_rows)
     rank = F.struct(*order)
     summary = keyed.groupBy(_KEY).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(f"_last_{c}") for c in cols]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 256
+SALTS = 64
+_HOT, _SALT = "_tw_hot", "_tw_salt"
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
@@ -17,16 +19,42 @@ def hot_keys(df: DataFrame, on: Sequence[str], limit: int = HOT_KEYS) -> DataFra
     return counts.where(F.col("_n") * F.lit(limit) > total).select(*on)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", limit: int = HOT_KEYS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", *, limit: int = HOT_KEYS, salts: int = SALTS) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key.
 
-    Rows of hot keys meet their few ``right`` rows by broadcast, bounded by
-    ``limit`` rows; all other keys are shuffled.
+    Left rows of hot keys are spread over ``salts`` tasks and the few right rows
+    they need are repeated that often; without hot keys it is a plain join. ``left`` is read
+    once more to count its keys, so pass a stored table if it is costly.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, limit))
-    few = F.broadcast(right.join(hot, on, "left_semi"))
-    return left.join(hot, on, "left_semi").join(few, on, how).unionByName(left.join(hot, on, "left_anti").join(right, on, how))
+    hot = find_hot_keys(left, on, limit)
+    if hot is None:
+        return left.join(right, on, how)
+    return spread(left, on, hot, salts).join(repeat(right, on, hot, salts), [*on, _SALT], how).drop(_SALT)
+
+
+def find_hot_keys(df: DataFrame, on: Sequence[str], limit: int = HOT_KEYS) -> DataFrame | None:
+    """``hot_keys`` as a local table of fewer than ``limit`` rows, or None."""
+    keys = hot_keys(df, on, limit)
+    found = keys.collect()
+    return df.sparkSession.createDataFrame(found, keys.schema) if found else None
+
+
+def _is_hot(df: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    marked = hot.withColumn(_HOT, F.lit(True))
+    return df.join(F.broadcast(marked), list(on), "left")
+
+
+def spread(df: DataFrame, on: Sequence[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Add a salt: by row content for hot keys, else 0."""
+    row = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
+    return _is_hot(df, on, hot).withColumn(_SALT, F.when(F.col(_HOT), row).otherwise(0)).drop(_HOT)
+
+
+def repeat(df: DataFrame, on: Sequence[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Repeat the rows of hot keys once per salt."""
+    every = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return _is_hot(df, on, hot).withColumn(_SALT, F.explode(every)).drop(_HOT)
 
 
 def unit_hash(*cols: Column) -> Column:

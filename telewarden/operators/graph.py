@@ -7,17 +7,19 @@ Nodes: ``graph_id, node_id, h`` (array). Edges: ``graph_id, src, dst`` and optio
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewarden.functions.ordered import chunk_window, frame_chunks, own_rows
-from telewarden.functions.skew import hash_subsamples, hot_keys, lookup_join, unit_hash
+from telewarden.functions.skew import find_hot_keys, hash_subsamples, lookup_join, repeat, spread, unit_hash
 from telewarden.functions.vectors import distance, multiply
 from telewarden.session import cut_lineage
 
 HIDDEN, LAYERS, ALPHA, DROPOUT = 128, 3, 0.5, 0.2
+_SOURCE = ["graph_id", "src"]
 WEIGHT_SCALE, REFERENCE, DISTANCE_SCALE = 0.01, 0.5, 10.0
 
 
@@ -67,26 +69,32 @@ def project_features(nodes: DataFrame, matrix: np.ndarray, *, features: str = "f
     return nodes.select("graph_id", "node_id", multiply(F.col(features), matrix).alias("h"))
 
 
-def count_edges(edges: DataFrame) -> DataFrame:
-    """Distinct edges with their multiplicity, marked where the source node is hot."""
-    distinct = edges.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("times"))
-    hot = hot_keys(distinct, ["graph_id", "src"]).withColumn("_hot", F.lit(True))
-    marked = distinct.join(F.broadcast(hot), ["graph_id", "src"], "left")
-    return marked.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+@dataclass(frozen=True)
+class CountedEdges:
+    """Stored distinct edges with their multiplicity, salted by hot source, and those sources."""
 
+    table: DataFrame
+    hot: DataFrame | None
 
-def neighbor_mean(counted: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+
+def count_edges(edges: DataFrame) -> CountedEdges:
+    distinct = cut_lineage(edges.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("times")))
+    hot = find_hot_keys(distinct, _SOURCE)
+    return CountedEdges(distinct if hot is None else spread(distinct, _SOURCE, hot), hot)
+
+
+def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFrame:
     """Mean ``h`` of the sources of each node's in-edges as ``agg``; duplicate edges count again, no in-edge gives 0.
 
-    ``counted`` comes from ``count_edges``. Hot sources, a bounded few, are met by broadcast, the others by
-    shuffle; the mean per target is a partial aggregate.
+    Edges of a hot source are spread over several tasks; the mean per target is a partial aggregate, so
+    hot targets are summed before the shuffle.
     """
     source = nodes.select("graph_id", F.col("node_id").alias("src"), "h")
-    hot = F.broadcast(counted.where("_hot").select("graph_id", "src").distinct())
-    few = F.broadcast(source.join(hot, ["graph_id", "src"], "left_semi"))
-    sent = counted.where("_hot").join(few, ["graph_id", "src"]).unionByName(
-        counted.where("not _hot").join(source, ["graph_id", "src"])
-    )
+    if counted.hot is None:
+        sent = counted.table.join(source, _SOURCE)
+    else:
+        salted = repeat(source, _SOURCE, counted.hot)
+        sent = counted.table.join(salted, [c for c in salted.columns if c != "h"])
     sums = sent.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
         F.sum("times").alias("_n"), *[F.sum(F.col("h")[j] * F.col("times")).alias(f"_s{j}") for j in range(width)]
     )
@@ -120,9 +128,9 @@ def forward(
     dropout: float = DROPOUT,
     seed: int = 42,
 ) -> DataFrame:
-    """Node embeddings after ``layers`` rounds. Each round is stored, as it is read three times by the next."""
-    counted = cut_lineage(count_edges(edges))
-    h = nodes.select("graph_id", "node_id", "h")
+    """Node embeddings after ``layers`` rounds. Each round is stored, as the next reads it twice."""
+    counted = count_edges(edges)
+    h = cut_lineage(nodes.select("graph_id", "node_id", "h"))
     for layer in range(layers):
         h = neighbor_mean(counted, h, width).select("graph_id", "node_id", combine(F.col("h"), F.col("agg"), alpha).alias("h"))
         if training and dropout > 0:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telewarden import schemas
-from telewarden.functions.ordered import CHUNK_ROWS, BUCKET_SECONDS, chunk_window, epoch_micros, frame_chunks, own_rows
+from telewarden.functions.ordered import BUCKET_ROWS, CHUNK_ROWS, chunk_window, epoch_micros, frame_chunks, own_rows, time_bucket
 
 
 def create_sequences(
@@ -46,14 +46,14 @@ def tile_sequence(features: Column, length: int = schemas.SEQUENCE_LENGTH) -> Co
     return F.array_repeat(features, length)
 
 
-def split_by_time(df: DataFrame, *, time_col: str, id_col: str, train_share: float = 0.8, into: str = "split") -> DataFrame:
+def split_by_time(df: DataFrame, *, time_col: str, id_col: str, train_share: float = 0.8, into: str = "split", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Mark the earliest ``int(n * train_share)`` rows ``train`` and the rest ``val``.
 
     Only bucket counts are ordered globally; the exact border row is found inside
     the one bucket that holds it, and marking is a plain projection.
     """
     micros = epoch_micros(time_col)
-    keyed = df.select(micros.alias("_us"), F.col(id_col).alias("_id")).withColumn("_b", F.floor(F.col("_us") / F.lit(BUCKET_SECONDS * 1e6)))
+    keyed = df.select(micros.alias("_us"), F.col(id_col).alias("_id"), time_bucket(df, time_col, bucket_rows).alias("_b"))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
     total = df.agg(F.count(F.lit(1))).scalar()

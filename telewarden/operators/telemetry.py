@@ -27,8 +27,9 @@ def parse_telemetry(values: DataFrame, *, value: str = "value", ingest_time: Col
     parsed = values.select(
         *keep,
         F.col(value).alias("_raw"),
-        F.from_json(value, schemas.TELEMETRY_TEXT, {"columnNameOfCorruptRecord": "_corrupt"}).alias("j"),
         now.alias("_now"),
+        # Exploding one parsed record keeps later filters above the parser, so text is parsed once.
+        F.explode(F.array(F.from_json(value, schemas.TELEMETRY_TEXT, {"columnNameOfCorruptRecord": "_corrupt"}))).alias("j"),
     )
     j, metrics, audit = F.col("j"), F.col("j.system_metrics"), F.col("j.audit_log")
 

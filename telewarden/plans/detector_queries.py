@@ -120,7 +120,7 @@ def build_edges(spark: SparkSession, folder: str) -> DataFrame:
        join (select graph_id, count(*) as edge_count, max(traffic) as busiest from v_edges group by graph_id) g using (graph_id)""",
 ))
 def edge_attributes(spark: SparkSession, folder: str) -> DataFrame:
-    out = g.edge_attributes(views.edges(spark, folder))
+    out = g.edge_attributes(cut_lineage(views.edges(spark, folder)))
     return out.select("graph_id", "src", "dst", F.round("traffic", 4).alias("traffic"), "edge_count", F.round("traffic_share", 6).alias("traffic_share"))
 
 

@@ -41,8 +41,6 @@ def scratch_root(spark: SparkSession) -> str:
     if not named:
         named = tempfile.mkdtemp(prefix="telewarden-")
         spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
@@ -51,7 +49,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage, so lost executors cost no recomputation."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` below the shared folder and go on from the table.
+
+    What follows reads only the columns it needs, sees true sizes, and
+    a lost executor costs no recomputation of what came before.
+    """
+    location = scratch_path(df.sparkSession, label)
+    df.write.parquet(location)
+    return df.sparkSession.read.schema(df.schema).parquet(location)
