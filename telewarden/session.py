@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 APP_NAME = "telewarden"
+_LOCAL_SCRATCH = "spark.telewarden.localScratch"
 
 
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
@@ -37,10 +38,10 @@ def scratch_root(spark: SparkSession) -> str:
 
     Only where a session names none (unit tests) is a local folder made.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_SCRATCH, None)
     if not named:
         named = tempfile.mkdtemp(prefix="telewarden-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.conf.set(_LOCAL_SCRATCH, named)
     return named
 
 
