@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_KEYS = 256
@@ -62,17 +62,15 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def hash_subsamples(df: DataFrame, id_col: str, groups: int, size: int, seed: int, *, group_col: str, surplus: int = 4) -> DataFrame:
+def hash_subsamples(df: DataFrame, id_col: str, groups: int, size: int, seed: int, *, group_col: str, surplus: int = 4, n: int | None = None) -> DataFrame:
     """``groups`` seeded samples of up to ``size`` rows without replacement.
 
     A row's membership depends on its id only, never on partitioning. On large
     inputs a row is first drawn by one hash, so about ``surplus * size`` rows per
     group reach the ranking shuffle; small inputs offer every row to every group.
     """
-    from pyspark.sql import Window
-
     wanted = groups * size * surplus
-    n = df.count()
+    n = df.count() if n is None else n
     if n > wanted:
         drawn = df.withColumn("_u", unit_hash(F.col(id_col), F.lit(seed)) * F.lit(n / (size * surplus)))
         offered = drawn.where(F.col("_u") < groups).withColumn(group_col, F.floor("_u").cast("int")).drop("_u")

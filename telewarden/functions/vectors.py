@@ -22,7 +22,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    """Clip to [0, 1]; null stays null, though ``greatest`` and ``least`` skip nulls."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def stack_arrays(column: pd.Series, width: int) -> np.ndarray:

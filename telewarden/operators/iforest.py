@@ -8,9 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewarden import schemas
@@ -59,11 +57,14 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[
 
 @dataclass(frozen=True)
 class IsolationForest:
-    """Fitted trees (``FOREST_NODE`` rows) and the numbers needed to score."""
+    """Fitted trees (``FOREST_NODE`` rows) and the numbers needed to score.
+
+    Cuts are drawn relative to a feature's range, so standardising features first would give the
+    same trees; cuts are kept in the units of the data and no scaler is needed.
+    """
 
     nodes: DataFrame
-    mean: np.ndarray
-    std: np.ndarray
+    width: int
     sample: int
     trees: int
     offset: float | None = None
@@ -73,12 +74,12 @@ class IsolationForest:
     def raw_score(self, features: str | Column) -> Column:
         """``-2 ** (-E[h] / c(sample))``: the more negative, the more anomalous."""
         forest = self.nodes.sparkSession.sparkContext.broadcast(_pack(self.nodes.collect()))  # trees * 2 * sample rows at most
-        mean, std, scale = self.mean, self.std, mean_path(self.sample)
+        width, scale = self.width, mean_path(self.sample)
 
         @F.pandas_udf("double")
         def score(batch: pd.Series) -> pd.Series:
-            x = (stack_arrays(batch, len(mean)) - mean) / std
-            return pd.Series(-np.power(2.0, -_mean_depth(x, forest.value) / scale))
+            depth = _mean_depth(stack_arrays(batch, width), forest.value)
+            return pd.Series(-np.power(2.0, -depth / scale) if scale else np.where(np.isnan(depth), np.nan, -0.5))
 
         return score(F.col(features) if isinstance(features, str) else features)
 
@@ -100,16 +101,14 @@ class IsolationForest:
 
     def to_tables(self) -> dict[str, DataFrame]:
         spark = self.nodes.sparkSession
-        row = ([float(v) for v in self.mean], [float(v) for v in self.std], self.sample, self.trees, self.offset, self.low, self.high)
-        meta = spark.createDataFrame(
-            [row], "mean array<double>, std array<double>, sample int, trees int, offset double, low double, high double"
-        )
+        row = (self.width, self.sample, self.trees, self.offset, self.low, self.high)
+        meta = spark.createDataFrame([row], "width int, sample int, trees int, offset double, low double, high double")
         return {"forest": self.nodes, "forest_meta": meta}
 
     @staticmethod
     def from_tables(nodes: DataFrame, meta: DataFrame) -> IsolationForest:
         m = meta.first()
-        return IsolationForest(nodes, np.array(m["mean"]), np.array(m["std"]), m["sample"], m["trees"], m["offset"], m["low"], m["high"])
+        return IsolationForest(nodes, m["width"], m["sample"], m["trees"], m["offset"], m["low"], m["high"])
 
 
 def _pack(rows: Sequence) -> dict[str, np.ndarray]:
@@ -154,40 +153,34 @@ def fit_iforest(
     contamination: float = CONTAMINATION,
     seed: int = SEED,
 ) -> IsolationForest:
-    """Standardise, draw ``sample`` rows per tree by hash, grow trees in parallel, set the offset.
+    """Draw ``sample`` rows per tree by hash, grow trees in parallel, set the offset.
 
     A tree sees at most ``sample`` rows, whatever the table size; the same ids and seed give
-    the same forest for any partitioning.
+    the same forest for any partitioning. Later passes only score, so pass a stored table if ``df`` is costly.
     """
     data = df.select(F.col(id_col), F.col(features).cast("array<double>").alias("features")).where("features is not null")
-    stats = data.select(
-        Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("features")).alias("s")
-    ).first()["s"]
-    n = stats["count"]
-    if not n:
+    size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width")).first()
+    if not size["n"]:
         raise ValueError("cannot fit a forest on an empty table")
-    std = np.sqrt(stats["variance"].toArray() * (n - 1) / n)
-    std[std == 0] = 1.0
-    mean = stats["mean"].toArray()
-    psi = min(sample, n)
+    width, psi = size["width"], min(sample, size["n"])
     limit = math.ceil(math.log2(max(psi, 2)))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree_id"].iloc[0])
         ordered = group.sort_values("_rank")
-        points = (np.vstack([np.asarray(v, dtype=np.float64) for v in ordered["features"]]) - mean) / std
+        points = stack_arrays(ordered["features"], width)
         grown = grow_tree(points, np.random.default_rng([seed, tree]), limit)
         out = pd.DataFrame(grown, columns=["node_id", "feature", "threshold", "left", "right", "size", "depth"])
         out.insert(0, "tree_id", tree)
         return out
 
-    drawn = hash_subsamples(data, id_col, trees, psi, seed, group_col="tree_id")
+    drawn = hash_subsamples(data, id_col, trees, psi, seed, group_col="tree_id", n=size["n"])
     nodes = cut_lineage(drawn.groupBy("tree_id").applyInPandas(build, schemas.FOREST_NODE))
-    raw = IsolationForest(nodes, mean, std, psi, trees)
+    raw = IsolationForest(nodes, width, psi, trees)
     scored = cut_lineage(data.select(raw.raw_score("features").alias("raw")))
     offset = exact_quantiles(scored, ["raw"], [contamination])["raw"][0]
     ends = scored.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
-    return IsolationForest(nodes, mean, std, psi, trees, offset, ends["lo"] - offset, ends["hi"] - offset)
+    return IsolationForest(nodes, width, psi, trees, offset, ends["lo"] - offset, ends["hi"] - offset)
 
 
 def fixed_forest_score(nodes: Iterable[tuple], features: Sequence[Column], sample: int) -> Column:

@@ -48,7 +48,7 @@ def train_all(
     steps = F.col(sequence) if sequence else tile_sequence(F.col(features), length)
     flat = df.select(flatten_sequence(steps).alias("flat"))
     forest = fit_iforest(df, id_col=id_col, features=features, trees=trees, contamination=contamination, seed=seed)
-    projection = projection_matrix(len(forest.mean), hidden, seed=seed)
+    projection = projection_matrix(forest.width, hidden, seed=seed)
     return Models(fit_autoencoder(flat, "flat", encoding_dim), forest, projection, length)
 
 
