@@ -63,9 +63,10 @@ class RunCounter(StatefulProcessor):
                 times.append(t)
                 lengths.append(length)
         self.length.update((length,))
-        yield pd.DataFrame({"entity": [key[0]] * len(times), self.time_col: times, "run_length": lengths}).astype(
-            {self.time_col: "int64", "run_length": "int32"}
-        )
+        if times:
+            yield pd.DataFrame({"entity": [key[0]] * len(times), self.time_col: times, "run_length": lengths}).astype(
+                {self.time_col: "int64", "run_length": "int32"}
+            )
 
     def close(self) -> None:
         pass
