@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IN_MEMORY = 1_000_000
@@ -14,24 +15,25 @@ _ACCURACY = 10_000
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], in_memory: int = IN_MEMORY) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column, ignoring nulls.
 
-    Columns with at most ``in_memory`` values use the built-in aggregate.
-    Larger ones are narrowed: a bounded sketch brackets the two order statistics
-    a quantile lies between, exact counts confirm the bracket, and the search goes on
-    inside it until few enough rows are left to select from. Each pass is one
-    aggregate over the table; the driver sees a few numbers per column.
+    Tables of at most ``in_memory`` cells use the built-in aggregate. On larger ones a bounded
+    sketch brackets the two order statistics each quantile lies between, exact counts
+    confirm the brackets, and this repeats inside them until few distinct values are left to
+    select from. Every pass serves all columns and quantiles at once; the driver sees
+    a few numbers per quantile.
     """
-    cols = list(cols)
+    cols, probs = list(cols), [float(p) for p in probs]
     sizes = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    small = [c for c in cols if sizes[c] <= in_memory]
+    allowed = in_memory // max(len(cols), 1)
+    small = [c for c in cols if sizes[c] <= allowed]
     out: dict[str, list[float | None]] = {}
     if small:
-        row = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in small]).first()
+        row = df.agg(*[F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in small]).first()
         out.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in small})
-    for c in cols:
-        if c not in out:
-            ranks = sorted({r for p in probs for r in _neighbours(p, sizes[c])})
-            found = _order_statistics(df.select(F.col(c).cast("double").alias("v")).where("v is not null"), ranks, sizes[c], in_memory)
-            out[c] = [_interpolate(p, sizes[c], found) for p in probs]
+    brackets = [_Bracket.of(c, p, sizes[c]) for c in cols if c not in out for p in probs]
+    if brackets:
+        _narrow(df, brackets, max(1, in_memory // len(brackets)))
+        found = _select(df, brackets)
+        out.update({c: [found[c, p] for p in probs] for c in cols if c not in out})
     return out
 
 
@@ -42,65 +44,74 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], i
     return df.sparkSession.createDataFrame([tuple(found[c] for c in cols)], schema)
 
 
-def _neighbours(p: float, n: int) -> tuple[int, int]:
-    low = int(p * (n - 1))
-    return low, min(low + 1, n - 1)
-
-
-def _interpolate(p: float, n: int, found: dict[int, float]) -> float:
-    low, high = _neighbours(p, n)
-    part = p * (n - 1) - low
-    return found[low] + (found[high] - found[low]) * part
-
-
-def _order_statistics(values: DataFrame, ranks: list[int], n: int, in_memory: int) -> dict[int, float]:
-    """The values at the given 0-based ranks."""
-    found: dict[int, float] = {}
-    for rank in ranks:
-        if rank in found:
-            continue
-        low, high, below, inside = None, None, 0, n
-        while inside > in_memory:
-            part = values if low is None else values.where(F.col("v").between(low, high))
-            share = (rank - below) / max(inside - 1, 1)
-            margin = 4.0 / _ACCURACY
-            edges = [max(0.0, share - margin), min(1.0, share + margin)]
-            lo, hi = part.agg(F.percentile_approx("v", F.array(*[F.lit(e) for e in edges]), _ACCURACY)).first()[0]
-            row = part.agg(
-                F.count_if(F.col("v") < lo).alias("lt"),
-                F.count_if(F.col("v").between(lo, hi)).alias("mid"),
-                F.count_if(F.col("v") == lo).alias("eq_lo"),
-                F.count_if(F.col("v") == hi).alias("eq_hi"),
-            ).first()
-            at = rank - below - row["lt"]
-            if at < 0:
-                hi, new_below, new_inside = lo, below, row["lt"] + row["eq_lo"]
-                lo = low if low is not None else values.agg(F.min("v")).first()[0]
-            elif at >= row["mid"]:
-                lo, hi = hi, high if high is not None else values.agg(F.max("v")).first()[0]
-                new_below = below + row["lt"] + row["mid"] - row["eq_hi"]
-                new_inside = inside - row["lt"] - row["mid"] + row["eq_hi"]
-            elif at < row["eq_lo"]:
-                found[rank] = lo
-                break
-            elif at >= row["mid"] - row["eq_hi"]:
-                found[rank] = hi
-                break
+@dataclass
+class _Bracket:
+    """A value range known to hold the 0-based ranks ``first`` and ``second`` of a column."""
+
+    col: str
+    prob: float
+    first: int
+    second: int
+    part: float
+    inside: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+    margin: float = 4.0 / _ACCURACY
+    settled: bool = False
+
+    @staticmethod
+    def of(col: str, prob: float, n: int) -> _Bracket:
+        first = int(prob * (n - 1))
+        return _Bracket(col, prob, first, min(first + 1, n - 1), prob * (n - 1) - first, n)
+
+    def value(self) -> Column:
+        return F.col(self.col).cast("double")
+
+    def holds(self) -> Column:
+        return self.value().isNotNull() if self.low is None else self.value().between(self.low, self.high)
+
+    def shares(self) -> list[float]:
+        last = max(self.inside - 1, 1)
+        return [max(0.0, (self.first - self.below) / last - self.margin), min(1.0, (self.second - self.below) / last + self.margin)]
+
+
+def _narrow(df: DataFrame, brackets: list[_Bracket], enough: int) -> None:
+    while todo := [b for b in brackets if not b.settled and b.inside > enough]:
+        sketch = df.agg(
+            *[
+                F.percentile_approx(F.when(b.holds(), b.value()), F.array(*[F.lit(s) for s in b.shares()]), _ACCURACY).alias(f"b{i}")
+                for i, b in enumerate(todo)
+            ]
+        ).first()
+        edges = [sketch[f"b{i}"] for i in range(len(todo))]
+        counts = df.agg(
+            *[F.count_if(b.value() < lo).alias(f"lt{i}") for i, (b, (lo, _)) in enumerate(zip(todo, edges))],
+            *[F.count_if(b.value().between(lo, hi)).alias(f"in{i}") for i, (b, (lo, hi)) in enumerate(zip(todo, edges))],
+        ).first()
+        for i, (b, (lo, hi)) in enumerate(zip(todo, edges)):
+            below, inside = counts[f"lt{i}"], counts[f"in{i}"]
+            if not below <= b.first <= b.second < below + inside:
+                b.margin *= 4
+            elif inside < b.inside:
+                b.low, b.high, b.below, b.inside = lo, hi, below, inside
             else:
-                new_below, new_inside = below + row["lt"], row["mid"]
-            if new_inside == inside:
-                break
-            low, high, below, inside = lo, hi, new_below, new_inside
-        if rank not in found:
-            part = values if low is None else values.where(F.col("v").between(low, high))
-            found.update(_select_by_counting(part, [r for r in ranks if below <= r < below + inside and r not in found], below))
-    return found
-
-
-def _select_by_counting(part: DataFrame, ranks: list[int], below: int) -> dict[int, float]:
-    """Select ranks from equal-value groups; ``part`` is small or made of few distinct values."""
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = part.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto) + F.lit(below))
-    hits = [((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)) for r in ranks]
-    picked = sums.agg(*[F.min(F.when(h, F.col("v"))).alias(f"r{i}") for i, h in enumerate(hits)]).first()
-    return {r: picked[f"r{i}"] for i, r in enumerate(ranks)}
+                b.settled = True  # only repeated values are left
+
+
+def _select(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, float], float]:
+    """Pick both ranks of every bracket from counts of equal values."""
+    tagged = [F.when(b.holds(), F.struct(F.lit(i).alias("b"), b.value().alias("v"))) for i, b in enumerate(brackets)]
+    cells = df.select(F.explode(F.array_compact(F.array(*tagged))).alias("cell"))
+    groups = cells.groupBy("cell.b", "cell.v").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = groups.withColumn("upto", F.sum("n").over(upto))
+
+    def at(rank: str) -> Column:
+        local = F.element_at(F.array(*[F.lit(getattr(b, rank) - b.below) for b in brackets]), F.col("b") + 1)
+        return F.min(F.when((F.col("upto") > local) & (F.col("upto") - F.col("n") <= local), F.col("v"))).alias(rank)
+
+    rows = placed.groupBy("b").agg(at("first"), at("second")).collect()  # one row per bracket
+    return {
+        (brackets[r["b"]].col, brackets[r["b"]].prob): r["first"] + (r["second"] - r["first"]) * brackets[r["b"]].part for r in rows
+    }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 256
 SALTS = 64
+BROADCAST_ROWS = 50_000
 _HOT, _SALT = "_tw_hot", "_tw_salt"
 
 
@@ -19,14 +20,23 @@ def hot_keys(df: DataFrame, on: Sequence[str], limit: int = HOT_KEYS) -> DataFra
     return counts.where(F.col("_n") * F.lit(limit) > total).select(*on)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", *, limit: int = HOT_KEYS, salts: int = SALTS) -> DataFrame:
-    """Join ``left`` to ``right``, which has at most one row per key.
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows; reads no more than that."""
+    return df.limit(rows + 1).count() <= rows
 
-    Left rows of hot keys are spread over ``salts`` tasks and the few right rows
-    they need are repeated that often; without hot keys it is a plain join. ``left`` is read
-    once more to count its keys, so pass a stored table if it is costly.
+
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", *, limit: int = HOT_KEYS, salts: int = SALTS, small_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join ``left`` to ``right``, which has at most one row per key. Pass stored tables, as both are counted first.
+
+    A right side of at most ``small_rows`` rows is broadcast. Beyond that, left rows of
+    hot keys are spread over ``salts`` tasks and the few right rows they need are
+    repeated that often; without hot keys it is a plain shuffle join.
     """
     on = list(on)
+    if is_small(right, small_rows):
+        return left.join(F.broadcast(right), on, how)
     hot = find_hot_keys(left, on, limit)
     if hot is None:
         return left.join(right, on, how)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewarden.functions.ordered import chunk_window, frame_chunks, own_rows
-from telewarden.functions.skew import find_hot_keys, hash_subsamples, lookup_join, repeat, spread, unit_hash
+from telewarden.functions.skew import BROADCAST_ROWS, find_hot_keys, hash_subsamples, is_small, lookup_join, repeat, spread, unit_hash
 from telewarden.functions.vectors import distance, multiply
 from telewarden.session import cut_lineage
 
@@ -41,8 +41,8 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 
 def edge_attributes(edges: DataFrame) -> DataFrame:
-    """Add the graph's edge count and the traffic share of its busiest edge; no traffic at all gives null."""
-    per_graph = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edge_count"), F.max("traffic").alias("_max"))
+    """Add the graph's edge count and the traffic share of its busiest edge; no traffic at all gives null. Pass stored edges."""
+    per_graph = cut_lineage(edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edge_count"), F.max("traffic").alias("_max")))
     return (
         lookup_join(edges, per_graph, ["graph_id"])
         .withColumn("traffic_share", F.try_divide(F.col("traffic").cast("double"), F.col("_max").cast("double")))
@@ -71,26 +71,33 @@ def project_features(nodes: DataFrame, matrix: np.ndarray, *, features: str = "f
 
 @dataclass(frozen=True)
 class CountedEdges:
-    """Stored distinct edges with their multiplicity, salted by hot source, and those sources."""
+    """Stored distinct edges with their multiplicity, and how they will meet their source nodes.
+
+    With ``few_nodes`` the nodes are broadcast; otherwise edges are shuffled, salted where the source is one of ``hot``.
+    """
 
     table: DataFrame
-    hot: DataFrame | None
+    few_nodes: bool
+    hot: DataFrame | None = None
 
 
-def count_edges(edges: DataFrame) -> CountedEdges:
+def count_edges(edges: DataFrame, nodes: DataFrame, *, small_rows: int = BROADCAST_ROWS) -> CountedEdges:
     distinct = cut_lineage(edges.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("times")))
+    if is_small(nodes, small_rows):
+        return CountedEdges(distinct, True)
     hot = find_hot_keys(distinct, _SOURCE)
-    return CountedEdges(distinct if hot is None else spread(distinct, _SOURCE, hot), hot)
+    return CountedEdges(distinct if hot is None else spread(distinct, _SOURCE, hot), False, hot)
 
 
 def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFrame:
     """Mean ``h`` of the sources of each node's in-edges as ``agg``; duplicate edges count again, no in-edge gives 0.
 
-    Edges of a hot source are spread over several tasks; the mean per target is a partial aggregate, so
-    hot targets are summed before the shuffle.
+    The mean per target is a partial aggregate, so hot targets are summed before the shuffle.
     """
     source = nodes.select("graph_id", F.col("node_id").alias("src"), "h")
-    if counted.hot is None:
+    if counted.few_nodes:
+        sent = counted.table.join(F.broadcast(source), _SOURCE)
+    elif counted.hot is None:
         sent = counted.table.join(source, _SOURCE)
     else:
         salted = repeat(source, _SOURCE, counted.hot)
@@ -127,10 +134,11 @@ def forward(
     training: bool = False,
     dropout: float = DROPOUT,
     seed: int = 42,
+    small_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Node embeddings after ``layers`` rounds. Each round is stored, as the next reads it twice."""
-    counted = count_edges(edges)
     h = cut_lineage(nodes.select("graph_id", "node_id", "h"))
+    counted = count_edges(edges, h, small_rows=small_rows)
     for layer in range(layers):
         h = neighbor_mean(counted, h, width).select("graph_id", "node_id", combine(F.col("h"), F.col("agg"), alpha).alias("h"))
         if training and dropout > 0:

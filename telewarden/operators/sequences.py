@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from telewarden import schemas
 from telewarden.functions.ordered import BUCKET_ROWS, CHUNK_ROWS, chunk_window, epoch_micros, frame_chunks, own_rows, time_bucket
+from telewarden.functions.skew import unit_hash
+from telewarden.operators.cleaning import one_row
 
 
 def create_sequences(
@@ -58,11 +60,11 @@ def split_by_time(df: DataFrame, *, time_col: str, id_col: str, train_share: flo
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
     total = df.agg(F.count(F.lit(1))).scalar()
     cut = F.floor(total * F.lit(train_share))
-    border = one_row_of(
+    border = one_row(
         counts.where(F.col("upto") >= cut).orderBy("_b").limit(1).select("_b", (cut - F.col("upto") + F.col("n")).alias("take"))
     )
     nth = F.row_number().over(Window.partitionBy("_b").orderBy("_us", "_id"))
-    last = one_row_of(
+    last = one_row(
         keyed.where(F.col("_b") == border["_b"]).withColumn("_r", nth).where(F.col("_r") <= border["take"])
         .orderBy(F.col("_us").desc(), F.col("_id").desc()).limit(1).select("_us", "_id")
     )
@@ -70,14 +72,8 @@ def split_by_time(df: DataFrame, *, time_col: str, id_col: str, train_share: flo
     return df.withColumn(into, F.when(F.coalesce(inside, F.lit(False)), "train").otherwise("val"))
 
 
-def one_row_of(df: DataFrame) -> Column:
-    return df.select(F.struct("*")).scalar()
-
-
 def split_by_hash(df: DataFrame, *, id_col: str, train_share: float = 0.8, seed: int = 42, into: str = "split") -> DataFrame:
     """A seeded split that needs no order at all."""
-    from telewarden.functions.skew import unit_hash
-
     return df.withColumn(into, F.when(unit_hash(F.col(id_col), F.lit(seed)) < train_share, "train").otherwise("val"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telewarden import schemas
 from telewarden.functions.ordered import with_position
+from telewarden.functions.skew import lookup_join
 
 
 def event_time(text: Column, default: Column) -> Column:
@@ -117,8 +118,10 @@ def modulo_pair(audit: DataFrame, metrics: DataFrame, *, audit_order: Sequence[s
 
 
 def enrich_metadata(records: DataFrame, pods: DataFrame, on: str = "node_name") -> DataFrame:
-    """Left lookup of pod metadata; works for a stream on the left."""
-    return records.join(pods, on, "left")
+    """Left lookup of pod metadata, one row per pod; a stream on the left takes a plain join."""
+    if records.isStreaming:
+        return records.join(pods, on, "left")
+    return lookup_join(records, pods, [on], "left")
 
 
 def union_logs(*parts: DataFrame) -> DataFrame:

@@ -132,8 +132,8 @@ def edge_attributes(spark: SparkSession, folder: str) -> DataFrame:
        on m.graph_id = n.graph_id and m.node_id = n.node_id""",
 ))
 def neighbor_mean(spark: SparkSession, folder: str) -> DataFrame:
-    h = views.nodes(spark, folder).select("graph_id", "node_id", F.array(*FEATURES).alias("h"))
-    out = g.neighbor_mean(g.count_edges(views.edges(spark, folder)), h, 3)
+    h = cut_lineage(views.nodes(spark, folder).select("graph_id", "node_id", F.array(*FEATURES).alias("h")))
+    out = g.neighbor_mean(g.count_edges(views.edges(spark, folder), h), h, 3)
     return _spread(out, "agg", ["graph_id", "node_id"], ["a0", "a1", "a2"], 5)
 
 

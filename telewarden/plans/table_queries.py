@@ -13,7 +13,7 @@ from telewarden.plans.ingest_queries import finish
 from telewarden.plans.registry import grid, grid_sql, over, query
 from telewarden.functions.skew import lookup_join
 from telewarden.schemas import FEATURE_WINDOW
-from telewarden.session import scratch_path
+from telewarden.session import cut_lineage, scratch_path
 from telewarden.sources import readers
 
 COLS = views.DIRTY_COLUMNS
@@ -306,6 +306,6 @@ def tile_sequence(spark: SparkSession, folder: str) -> DataFrame:
 def reconstruction_error(spark: SparkSession, folder: str) -> DataFrame:
     """Error against each node's mean vector as the decoded value."""
     t = views.telemetry(spark, folder)
-    means = t.groupBy("node_name").agg(F.array(F.avg("cpu_usage"), F.avg("memory_usage"), F.avg("process_count")).alias("decoded"))
+    means = cut_lineage(t.groupBy("node_name").agg(F.array(F.avg("cpu_usage"), F.avg("memory_usage"), F.avg("process_count")).alias("decoded")))
     paired = lookup_join(t, means, ["node_name"]).withColumn("actual", F.array("cpu_usage", "memory_usage", F.col("process_count").cast("double")))
     return autoencoder.reconstruction_error(paired, "actual", "decoded").select("event_id", F.round("error", 3).alias("error"))

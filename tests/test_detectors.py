@@ -147,11 +147,17 @@ def test_many_sources_some_of_them_hot(spark):
     x = rng.normal(size=(900, 3))
     w = graph.projection_matrix(3, 4)
     nodes, table = tables(spark, x, edges)
-    counted = graph.count_edges(table)
+    assert graph.count_edges(table, nodes).few_nodes
+    counted = graph.count_edges(table, nodes, small_rows=100)
     assert [r.src for r in counted.hot.collect()] == [0]
     assert counted.table.where("src = 0").select("_tw_salt").distinct().count() > 30
-    got = np.array([r.h for r in graph.forward(graph.project_features(nodes, w), table, 4, layers=2).orderBy("node_id").collect()])
+    got = np.array([r.h for r in graph.forward(graph.project_features(nodes, w), table, 4, layers=2, small_rows=100).orderBy("node_id").collect()])
     assert np.allclose(got, brute_force(x, edges, w, 2))
+    spread_out = [(s, d, t) for s, d, t in edges if s]
+    _, even = tables(spark, x, spread_out)
+    assert graph.count_edges(even, nodes, small_rows=100).hot is None
+    got = np.array([r.h for r in graph.forward(graph.project_features(nodes, w), even, 4, layers=1, small_rows=100).orderBy("node_id").collect()])
+    assert np.allclose(got, brute_force(x, spread_out, w, 1))
 
 
 def test_default_width_and_single_node_score(spark):
