@@ -86,6 +86,8 @@ def hash_subsamples(df: DataFrame, id_col: str, groups: int, size: int, seed: in
         offered = drawn.where(F.col("_u") < groups).withColumn(group_col, F.floor("_u").cast("int")).drop("_u")
     else:
         offered = df.withColumn(group_col, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # An explicit partition count keeps adaptive execution from packing all small groups into one task.
+    offered = offered.repartition(min(groups, df.sparkSession.sparkContext.defaultParallelism), group_col)
     rank = F.row_number().over(
         Window.partitionBy(group_col).orderBy(F.xxhash64(F.col(id_col), F.col(group_col), F.lit(seed)), F.col(id_col))
     )
