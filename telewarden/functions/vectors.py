@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +28,29 @@ def clip01(x: Column) -> Column:
 
 
 def stack_arrays(column: pd.Series, width: int) -> np.ndarray:
-    """An Arrow batch of array cells as one matrix; a null cell becomes a row of NaN."""
-    if not len(column):
-        return np.empty((0, width))
-    return np.vstack([np.full(width, np.nan) if v is None else np.asarray(v, dtype=np.float64) for v in column])
+    """Array cells of a pandas group as one matrix."""
+    return np.vstack(column.to_numpy()).reshape(-1, width).astype(np.float64)
+
+
+def as_matrix(cells: pa.ListArray, width: int) -> np.ndarray:
+    """An Arrow batch of array cells as one matrix, without a copy per row; a null cell becomes a row of NaN."""
+    flat = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if cells.null_count == 0:
+        return flat.reshape(-1, width)
+    out = np.full((len(cells), width), np.nan)
+    out[np.asarray(cells.is_valid())] = flat.reshape(-1, width)
+    return out
+
+
+def as_cells(matrix: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as array cells."""
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, np.ascontiguousarray(matrix).ravel())
+
+
+def as_numbers(values: np.ndarray) -> pa.Array:
+    """NaN becomes null."""
+    return pa.array(values, mask=np.isnan(values))
 
 
 def multiply(features: Column, matrix: np.ndarray) -> Column:
@@ -46,8 +66,8 @@ def multiply(features: Column, matrix: np.ndarray) -> Column:
 
         return F.array(*[entry(j) for j in range(m)])
 
-    @F.pandas_udf("array<double>")
-    def times(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(stack_arrays(batch, d) @ matrix))
+    @F.arrow_udf("array<double>")
+    def times(batch: pa.Array) -> pa.Array:
+        return as_cells(as_matrix(batch, d) @ matrix)
 
     return times(features)

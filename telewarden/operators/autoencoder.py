@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.functions.vectors import mean_squared_error, stack_arrays
+from telewarden.functions.vectors import as_cells, as_matrix, as_numbers, mean_squared_error
 from telewarden.operators.ensemble import fixed_minmax, minmax_score, score_bounds
 from telewarden.operators.pca import PcaModel, fit_pca
 
@@ -28,10 +28,10 @@ class SequenceAutoencoder:
         """The decoded flat sequence."""
         mean, basis = self.pca.mean, self.pca.components
 
-        @F.pandas_udf("array<double>")
-        def decode(batch: pd.Series) -> pd.Series:
-            centred = stack_arrays(batch, len(mean)) - mean
-            return pd.Series(list((centred @ basis.T) @ basis + mean))
+        @F.arrow_udf("array<double>")
+        def decode(batch: pa.Array) -> pa.Array:
+            centred = as_matrix(batch, len(mean)) - mean
+            return as_cells((centred @ basis.T) @ basis + mean)
 
         return decode(F.col(flat) if isinstance(flat, str) else flat)
 
@@ -39,11 +39,11 @@ class SequenceAutoencoder:
         """Mean squared reconstruction error, without shipping the decoded sequence back."""
         mean, basis = self.pca.mean, self.pca.components
 
-        @F.pandas_udf("double")
-        def residual(batch: pd.Series) -> pd.Series:
-            centred = stack_arrays(batch, len(mean)) - mean
+        @F.arrow_udf("double")
+        def residual(batch: pa.Array) -> pa.Array:
+            centred = as_matrix(batch, len(mean)) - mean
             missed = centred - (centred @ basis.T) @ basis
-            return pd.Series(np.mean(missed * missed, axis=1))
+            return as_numbers(np.mean(missed * missed, axis=1))
 
         return residual(F.col(flat) if isinstance(flat, str) else flat)
 

@@ -8,13 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewarden import schemas
 from telewarden.functions.quantiles import exact_quantiles
 from telewarden.functions.skew import hash_subsamples
-from telewarden.functions.vectors import stack_arrays
+from telewarden.functions.vectors import as_matrix, as_numbers, stack_arrays
 from telewarden.operators.ensemble import fixed_minmax
 from telewarden.session import cut_lineage
 
@@ -76,10 +77,10 @@ class IsolationForest:
         forest = self.nodes.sparkSession.sparkContext.broadcast(_pack(self.nodes.collect()))  # trees * 2 * sample rows at most
         width, scale = self.width, mean_path(self.sample)
 
-        @F.pandas_udf("double")
-        def score(batch: pd.Series) -> pd.Series:
-            depth = _mean_depth(stack_arrays(batch, width), forest.value)
-            return pd.Series(-np.power(2.0, -depth / scale) if scale else np.where(np.isnan(depth), np.nan, -0.5))
+        @F.arrow_udf("double")
+        def score(batch: pa.Array) -> pa.Array:
+            depth = _mean_depth(as_matrix(batch, width), forest.value)
+            return as_numbers(-np.power(2.0, -depth / scale) if scale else np.where(np.isnan(depth), np.nan, -0.5))
 
         return score(F.col(features) if isinstance(features, str) else features)
 
@@ -124,22 +125,22 @@ def _pack(rows: Sequence) -> dict[str, np.ndarray]:
         "roots": np.array(sorted(first.values())),
         "feature": np.array([max(r["feature"], 0) for r in rows]),
         "cut": np.array([np.inf if r["feature"] < 0 else r["threshold"] for r in rows]),
-        "left": np.where(leaf, own, base + np.array([r["left"] for r in rows])),
-        "right": np.where(leaf, own, base + np.array([r["right"] for r in rows])),
+        "child": np.stack([np.where(leaf, own, base + np.array([r[side] for r in rows])) for side in ("left", "right")], axis=1).ravel(),
         "path": np.array([r["depth"] + mean_path(r["size"]) for r in rows]),
         "levels": max((r["depth"] for r in rows), default=0),
     }
 
 
 def _mean_depth(x: np.ndarray, forest: dict[str, np.ndarray]) -> np.ndarray:
-    total = np.zeros(len(x))
-    every = np.arange(len(x))
+    """Mean path length per row of an Arrow batch, one tree level at a time for all rows."""
+    n = len(x)
+    columns, every, total = np.ascontiguousarray(x.T).ravel(), np.arange(n), np.zeros(n)
     for root in forest["roots"]:
-        at = np.full(len(x), root)
+        at = np.full(n, root)
         for _ in range(forest["levels"]):
-            below = x[every, forest["feature"][at]] <= forest["cut"][at]
-            at = np.where(below, forest["left"][at], forest["right"][at])
-        total += forest["path"][at]
+            right = columns.take(forest["feature"].take(at) * n + every) > forest["cut"].take(at)
+            at = forest["child"].take(2 * at + right)
+        total += forest["path"].take(at)
     return np.where(np.isnan(x).any(axis=1), np.nan, total / max(len(forest["roots"]), 1))
 
 
