@@ -14,10 +14,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telewarden.session import cut_lineage
+
 BUCKET_ROWS = 1_000_000
 CHUNK_ROWS = 100_000
 _DAY = 86_400e6
-_KEY = "_tw_key"
+BURST_FACTOR = 10
+MAX_RANGES = 20_000
+_KEY, _RANGE = "_tw_key", "_tw_range"
 
 
 def epoch_micros(time_col: str) -> Column:
@@ -36,11 +40,32 @@ def time_bucket(df: DataFrame, time_col: str, rows: int = BUCKET_ROWS) -> Column
     return F.floor(epoch_micros(time_col) / width).cast("long")
 
 
-def _keyed(df: DataFrame, keys: Sequence[str], time_col: str, rows: int) -> DataFrame:
+def _with_key(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     # A struct key compares nulls as equal, as window partitions do.
-    return df.withColumn(
-        _KEY, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], time_bucket(df, time_col, rows).alias("b"))
-    )
+    return df.withColumn(_KEY, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("b")))
+
+
+def _bucketed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], time_col: str, rows: int, aggregates: Sequence[Column]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their (entity, bucket) key, and the stored summary per key.
+
+    Time buckets do unless a burst puts many times ``rows`` rows of an entity into one, even at
+    a single instant. Then the table is cut into ranges of the whole sort key, which Spark balances
+    by sampling, and stored so that the cuts stay as they are.
+    """
+    def summarise(keyed: DataFrame) -> DataFrame:
+        return cut_lineage(keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_n"), *aggregates), "buckets")
+
+    keyed = _with_key(df, keys, time_bucket(df, time_col, rows))
+    summary = summarise(keyed)
+    size = summary.agg(F.max("_n").alias("worst"), F.sum("_n").alias("all")).first()
+    if (size["worst"] or 0) <= rows * BURST_FACTOR:
+        return keyed, summary
+    ranges = min(MAX_RANGES, -(-size["all"] // rows))
+    cut = df.repartitionByRange(ranges, *keys, *order).withColumn(_RANGE, F.spark_partition_id())
+    keyed = _with_key(cut_lineage(cut, "ranges"), keys, F.col(_RANGE).cast("long")).drop(_RANGE)
+    return keyed, summarise(keyed)
 
 
 def _entity_columns(n: int) -> list[Column]:
@@ -63,10 +88,8 @@ def with_position(
     per name, the inclusive running count of rows where the condition holds.
     """
     running = dict(running or {})
-    keyed = _keyed(df, keys, time_col, bucket_rows)
-    per_bucket = keyed.groupBy(_KEY).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(f"_n_{r}") for r, c in running.items()]
-    )
+    counts = [F.count_if(c).alias(f"_n_{r}") for r, c in running.items()]
+    keyed, per_bucket = _bucketed(df, keys, order, time_col, bucket_rows, counts)
     earlier = (
         Window.partitionBy(*(_entity_columns(len(keys)) or [F.lit(0)]))
         .orderBy(F.col(f"{_KEY}.b"))
@@ -128,11 +151,9 @@ def last_known(
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Replace nulls in ``cols`` by the entity's last earlier non-null value."""
-    keyed = _keyed(df, keys, time_col, bucket_rows)
     rank = F.struct(*order)
-    summary = keyed.groupBy(_KEY).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(f"_last_{c}") for c in cols]
-    )
+    latest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(f"_last_{c}") for c in cols]
+    keyed, summary = _bucketed(df, keys, order, time_col, bucket_rows, latest)
     earlier = (
         Window.partitionBy(*(_entity_columns(len(keys)) or [F.lit(0)]))
         .orderBy(F.col(f"{_KEY}.b"))

@@ -37,6 +37,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out
 
 
+def nth_smallest(df: DataFrame, col: str, rank: int, in_memory: int = IN_MEMORY):
+    """The value at a 0-based rank of a numeric column without nulls, in the column's own type."""
+    bracket = _Bracket(col, 0.0, rank, rank, 0.0, df.count(), cast=None)
+    _narrow(df, [bracket], in_memory)
+    return _select(df, [bracket])[col, 0.0]
+
+
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], in_memory: int = IN_MEMORY) -> DataFrame:
     """The same as a one-row DataFrame with an array per column."""
     found = exact_quantiles(df, cols, probs, in_memory)
@@ -59,6 +66,7 @@ class _Bracket:
     high: float | None = None
     margin: float = 4.0 / _ACCURACY
     settled: bool = False
+    cast: str | None = "double"
 
     @staticmethod
     def of(col: str, prob: float, n: int) -> _Bracket:
@@ -66,7 +74,7 @@ class _Bracket:
         return _Bracket(col, prob, first, min(first + 1, n - 1), prob * (n - 1) - first, n)
 
     def value(self) -> Column:
-        return F.col(self.col).cast("double")
+        return F.col(self.col).cast(self.cast) if self.cast else F.col(self.col)
 
     def holds(self) -> Column:
         return self.value().isNotNull() if self.low is None else self.value().between(self.low, self.high)
@@ -112,6 +120,8 @@ def _select(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, float],
         return F.min(F.when((F.col("upto") > local) & (F.col("upto") - F.col("n") <= local), F.col("v"))).alias(rank)
 
     rows = placed.groupBy("b").agg(at("first"), at("second")).collect()  # one row per bracket
-    return {
-        (brackets[r["b"]].col, brackets[r["b"]].prob): r["first"] + (r["second"] - r["first"]) * brackets[r["b"]].part for r in rows
-    }
+    found = {}
+    for r in rows:
+        b = brackets[r["b"]]
+        found[b.col, b.prob] = r["first"] + (r["second"] - r["first"]) * b.part if b.part else r["first"]
+    return found

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telewarden import schemas
-from telewarden.functions.ordered import BUCKET_ROWS, CHUNK_ROWS, chunk_window, epoch_micros, frame_chunks, own_rows, time_bucket
+from telewarden.functions.ordered import CHUNK_ROWS, chunk_window, epoch_micros, frame_chunks, own_rows
+from telewarden.functions.quantiles import IN_MEMORY, nth_smallest
 from telewarden.functions.skew import unit_hash
-from telewarden.operators.cleaning import one_row
 
 
 def create_sequences(
@@ -48,28 +48,22 @@ def tile_sequence(features: Column, length: int = schemas.SEQUENCE_LENGTH) -> Co
     return F.array_repeat(features, length)
 
 
-def split_by_time(df: DataFrame, *, time_col: str, id_col: str, train_share: float = 0.8, into: str = "split", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Mark the earliest ``int(n * train_share)`` rows ``train`` and the rest ``val``.
+def split_by_time(df: DataFrame, *, time_col: str, id_col: str, train_share: float = 0.8, into: str = "split", in_memory: int = IN_MEMORY) -> DataFrame:
+    """Mark the earliest ``int(n * train_share)`` rows ``train`` and the rest ``val``; ids are numbers and break ties.
 
-    Only bucket counts are ordered globally; the exact border row is found inside
-    the one bucket that holds it, and marking is a plain projection.
+    The border row is an exact order statistic of the time, and of the id among rows of that very
+    time, so nothing is sorted as a whole and marking is a filter on two numbers.
     """
+    keys = df.select(epoch_micros(time_col).alias("us"), F.col(id_col).alias("id"))
+    last = int(keys.count() * train_share) - 1
+    if last < 0:
+        return df.withColumn(into, F.lit("val"))
+    us = nth_smallest(keys, "us", last, in_memory)
+    before = keys.where(F.col("us") < us).count()
+    border = nth_smallest(keys.where(F.col("us") == us), "id", last - before, in_memory)
     micros = epoch_micros(time_col)
-    keyed = df.select(micros.alias("_us"), F.col(id_col).alias("_id"), time_bucket(df, time_col, bucket_rows).alias("_b"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    cut = F.floor(total * F.lit(train_share))
-    border = one_row(
-        counts.where(F.col("upto") >= cut).orderBy("_b").limit(1).select("_b", (cut - F.col("upto") + F.col("n")).alias("take"))
-    )
-    nth = F.row_number().over(Window.partitionBy("_b").orderBy("_us", "_id"))
-    last = one_row(
-        keyed.where(F.col("_b") == border["_b"]).withColumn("_r", nth).where(F.col("_r") <= border["take"])
-        .orderBy(F.col("_us").desc(), F.col("_id").desc()).limit(1).select("_us", "_id")
-    )
-    inside = (micros < last["_us"]) | ((micros == last["_us"]) & (F.col(id_col) <= last["_id"]))
-    return df.withColumn(into, F.when(F.coalesce(inside, F.lit(False)), "train").otherwise("val"))
+    inside = (micros < us) | ((micros == us) & (F.col(id_col) <= border))
+    return df.withColumn(into, F.when(inside, "train").otherwise("val"))
 
 
 def split_by_hash(df: DataFrame, *, id_col: str, train_share: float = 0.8, seed: int = 42, into: str = "split") -> DataFrame:
