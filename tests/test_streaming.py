@@ -106,3 +106,14 @@ def test_stream_enrichment(spark):
     stream = batches(spark, TELEMETRY, [event(1, 0), event(2, 1, node="other")])
     got, _ = run(spark, enrich_metadata(stream, pods), "enriched")
     assert {r.event_id: r.pod for r in got.collect()} == {1: "pod-1", 2: None}
+
+
+def test_tagged_log_files_as_a_stream(spark):
+    from telewarden.operators.telemetry import merge_log
+
+    location = scratch_path(spark, "logs")
+    lines = [("container.a", '{"log": "x", "stream": "stdout"}'), ("kubelet", '{"log": "y"}'), ("kubelet", "z" * 99)]
+    spark.createDataFrame(lines, "tag string, value string").write.partitionBy("tag").text(location)
+    logs = readers.read_logs(spark, location, streaming=True, max_line=80)
+    got, _ = run(spark, merge_log(logs.withColumnRenamed("log", "line"), "log string, stream string", field="line"), "logs")
+    assert sorted(map(tuple, got.collect()), key=str) == [("container.a", "x", "stdout"), ("kubelet", "y", None)]
