@@ -12,17 +12,19 @@ from array import array
 from collections.abc import Iterator
 
 #: Remembered pieces and words of a worker; beyond that it starts afresh, so memory stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Longer texts are cut into segments of about this many characters.
 SEGMENT_CHARS = 1 << 20
 #: Texts handed over at once, in characters.
 BLOCK_CHARS = 1 << 20
 
 # White space in Unicode's or Python's sense other than the blank and the line feed.
-_RARE_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_RARE_CODES = [9, *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_RARE_SPACE = re.compile("[" + "".join(map(chr, _RARE_CODES)) + "]")
 _LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-# Runs that no tokenizer word spans: Latin letters, one digit run, plain punctuation (no apostrophe), one line feed.
-_RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[.,;:!?$%&#*()\"|+=@/_-]+|\n")
+# Runs that no tokenizer word spans: Latin letters (not the one whose lower case is two characters), one digit run, plain punctuation (no apostrophe), one line feed.
+_RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+| ?[0-9]+| ?[.,;:!?$%&#*()\"|+=@/_-]+|\n")
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
 _encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
@@ -56,10 +58,15 @@ class PieceEncoder:
     def __init__(self, path: str, spaces_kept: bool, lengths_only: bool, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        # Letters as the byte-level step hands them to the merges; for single words that step is all that precedes them.
+        step = ByteLevel(add_prefix_space=False, use_regex=False)
+        codes = [32, *(c for c in range(0x250) if chr(c).isalpha())]
+        self._byte_letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in codes}
         self._spaces_kept, self._lengths_only, self._remembered = spaces_kept, lengths_only, remembered
         self._pieces: dict[str, int | bytes] = {}
         self._words: dict[str, int | bytes] = {}
@@ -111,11 +118,14 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         runs = {p: self._runs(p) for p in pieces}
-        words = list({r for rs in runs.values() for r in rs}.difference(self._words))
-        for start in range(0, len(words), 4096):
-            part = words[start : start + 4096]
-            for word, found in zip(part, self._tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self._words[word] = len(found.ids) if self._lengths_only else array("I", found.ids).tobytes()
+        words = {r for rs in runs.values() for r in rs}.difference(self._words)
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        others = list(words.difference(plain))
+        model, table = self._tokenizer.model.tokenize, self._byte_letters
+        ids = [[t.id for t in model(w.translate(table))] for w in plain]
+        ids += [x.ids for x in self._tokenizer.encode_batch(others, add_special_tokens=False)]
+        values = map(len, ids) if self._lengths_only else (array("I", x).tobytes() for x in ids)
+        self._words.update(zip(plain + others, values, strict=True))
         get = self._words.__getitem__
         for piece, own in runs.items():
-            self._pieces[piece] = sum(map(get, own)) if self._lengths_only else b"".join(map(get, own))
+            self._pieces[piece] = get(own[0]) if len(own) == 1 else sum(map(get, own)) if self._lengths_only else b"".join(map(get, own))

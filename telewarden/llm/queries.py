@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import token_counts
+from telewarden.llm import token_counts, token_files
+from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,8 @@ ORACLES: dict[str, str] = {}
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Tokens a training sequence holds.
 SEQUENCE_TOKENS = 2048
+#: Ends each document in the token files.
+DOCUMENT_END_ID = 2
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -39,3 +42,11 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, and whether they exceed a training sequence."""
     counts = token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY))
     return counts.withColumn("over_limit", F.col("n_tokens") > SEQUENCE_TOKENS)
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids as read back from the token files."""
+    location = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), location, public_tokenizers.path(WORD_VOCABULARY), DOCUMENT_END_ID)
+    return token_files.read_digests(spark, location)
