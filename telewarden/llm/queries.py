@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import token_counts, token_files
+from telewarden.llm import packing, token_counts, token_files
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,8 @@ WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 SEQUENCE_TOKENS = 2048
 #: Ends each document in the token files.
 DOCUMENT_END_ID = 2
+#: Ends each document in the training sequences.
+PACKED_END_ID = 0
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -50,3 +52,9 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     location = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), location, public_tokenizers.path(WORD_VOCABULARY), DOCUMENT_END_ID)
     return token_files.read_digests(spark, location)
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and where each lies in the training sequences."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(BYTE_VOCABULARY), PACKED_END_ID, SEQUENCE_TOKENS)
