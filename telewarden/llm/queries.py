@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import packing, token_counts, token_files
+from telewarden.llm import mixing, packing, sharding, token_counts, token_files
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,16 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces and where each lies in the training sequences."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(BYTE_VOCABULARY), PACKED_END_ID, SEQUENCE_TOKENS)
+
+
+@query("op7_source_mixing")
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that the mix takes."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Slot and shard of every document."""
+    names = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
+    return sharding.place(table(spark, folder, "documents"), names)
