@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import mixing, packing, sharding, token_counts, token_files
+from telewarden.llm import mixing, packing, sharding, token_counts, token_files, topk_search
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,17 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Slot and shard of every document."""
     names = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
     return sharding.place(table(spark, folder, "documents"), names)
+
+
+@query(
+    "op2_block_topk",
+    """with v as (select vec_id, [cast(floor(64 * cast(x as double)) as double) for x in embedding] as q from embeddings
+            where embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0),
+        s as (select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+            from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 20 = 0),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20""",
+)
+def op2_block_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest-scoring rows for every query row."""
+    return topk_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
