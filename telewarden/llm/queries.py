@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import mixing, packing, sharding, token_counts, token_files, topk_search
+from telewarden.llm import embedding_dedup, mixing, packing, sharding, token_counts, token_files, topk_search
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,18 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op2_block_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 highest-scoring rows for every query row."""
     return topk_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query(
+    "op5_embedding_dedup",
+    """with recursive v as (select vec_id, [cast(x as double) for x in embedding] as q from embeddings where embedding is not null
+            and len([1 for x in embedding if x is null or not isfinite(x)]) = 0 and len([1 for x in embedding if x <> 0]) > 0),
+        e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) and list_cosine_similarity(a.q, b.q) >= 0.9),
+        r as (select vec_id as a, vec_id as b from embeddings union select r.a, e.b from r join e on r.b = e.a),
+        c as (select a as vec_id, min(b) as component_id from r group by a),
+        n as (select a as vec_id, count(*) as n_links from e group by a)
+        select c.vec_id, coalesce(n_links, 0) as n_links, component_id, c.vec_id = component_id as kept from c left join n on n.vec_id = c.vec_id""",
+)
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, component and fate of every vector."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), 0.9)
