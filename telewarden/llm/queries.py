@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import embedding_dedup, mixing, packing, sharding, token_counts, token_files, topk_search
+from telewarden.llm import embedding_dedup, language_id, mixing, packing, sampling, sharding, token_counts, token_files, topk_search
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,8 @@ SEQUENCE_TOKENS = 2048
 DOCUMENT_END_ID = 2
 #: Ends each document in the training sequences.
 PACKED_END_ID = 0
+#: Rows with this remainder of CRC-32 of the id are held out when languages are learned.
+LANGUAGE_FOLDS, HELD_LANGUAGE_FOLD = 4, 2
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -100,3 +102,12 @@ def op2_block_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links, component and fate of every vector."""
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), 0.9)
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; a fold by CRC-32 of the id is never learned from."""
+    docs = table(spark, folder, "documents")
+    fold = sampling.fold("doc_id", LANGUAGE_FOLDS)
+    model = language_id.fit(docs, fold != HELD_LANGUAGE_FOLD)
+    return language_id.identify(docs, model).select("doc_id", (fold == HELD_LANGUAGE_FOLD).alias("held_out"), "lang_pred", "score")
