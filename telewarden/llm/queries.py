@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import embedding_dedup, language_id, mixing, packing, sampling, sharding, token_counts, token_files, topk_search
+from telewarden.llm import embedding_dedup, language_id, mixing, packing, sampling, sharding, token_counts, token_files, topk_search, toxicity
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,8 @@ DOCUMENT_END_ID = 2
 PACKED_END_ID = 0
 #: Rows with this remainder of CRC-32 of the id are held out when languages are learned.
 LANGUAGE_FOLDS, HELD_LANGUAGE_FOLD = 4, 2
+#: The same for toxicity.
+TOXICITY_FOLDS, HELD_TOXICITY_FOLD = 5, 0
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -111,3 +113,12 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     fold = sampling.fold("doc_id", LANGUAGE_FOLDS)
     model = language_id.fit(docs, fold != HELD_LANGUAGE_FOLD)
     return language_id.identify(docs, model).select("doc_id", (fold == HELD_LANGUAGE_FOLD).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; a fold by CRC-32 of the id is never learned from."""
+    docs = table(spark, folder, "documents")
+    fold = sampling.fold("doc_id", TOXICITY_FOLDS)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), fold != HELD_TOXICITY_FOLD)
+    return toxicity.score(docs, model).select("doc_id", (fold == HELD_TOXICITY_FOLD).alias("held_out"), "score", "predicted")
