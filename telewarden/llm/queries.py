@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import embedding_dedup, language_id, mixing, packing, sampling, sharding, token_counts, token_files, topk_search, toxicity
+from telewarden.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, sampling, sharding, token_counts, token_files, topk_search, toxicity
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,9 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     fold = sampling.fold("doc_id", TOXICITY_FOLDS)
     model = toxicity.fit(docs, table(spark, folder, "labels"), fold != HELD_TOXICITY_FOLD)
     return toxicity.score(docs, model).select("doc_id", (fold == HELD_TOXICITY_FOLD).alias("held_out"), "score", "predicted")
+
+
+@query("op9_minhash_dedup")
+def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of near copies of every document, and whether it stays."""
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents")).drop("key")
