@@ -37,6 +37,6 @@ def connected_components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFram
     # From the last round back: where the roots of a round went afterwards.
     final = steps[-1]
     for step in reversed(steps[:-1]):
-        later = final.withColumnsRenamed({"node": "root", "root": "later"})
+        later = final.select(F.col("node").alias("root"), F.col("root").alias("later"))
         final = step.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
     return final
