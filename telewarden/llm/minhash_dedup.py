@@ -4,9 +4,9 @@ Shingles of five words weigh their count in the text times an inverse document f
 draws from each text's weighted bag so that two texts draw alike with the probability of their weighted Jaccard similarity. Bands
 of draws make buckets, and texts that share a bucket are compared exactly.
 
-A bucket never becomes all its pairs. Its members meet one of them, the pivot; those found similar are one component. Only pairs
-of members still in different components are left, for another pivot or, once they are few, for comparison one by
-one.
+A bucket never becomes all its pairs. Its members meet one of them, the pivot; those found similar are one component, and pairs within it need no
+comparison. Buckets whose members stay apart are compared in tiles of bounded size that return links of a forest
+only.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ BANDS, ROWS = 12, 4
 COUNTERS, SLICES, LEAST_FREQUENCY = 1 << 18, 64, 0.01
 #: Slices added up in two steps, so that no task gets those of all scan tasks.
 FAN_IN = 64
-#: Left-over pairs, per bucket membership, that are compared one by one; most turns of pivots before that.
-PAIRS_PER_MEMBER, PIVOT_TURNS = 8, 12
+#: Members of a bucket's chunk, two of which meet in a task.
+CHUNK_MEMBERS = 400
 _DRAWS = BANDS * ROWS
 _TABLE = 1 << 16
 _BAGS = 256
@@ -198,48 +198,92 @@ def similarities(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def bag_links(bags: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """For each bag the first one reachable over similarities of ``least`` or more.
+
+    Shared weights are added up shingle by shingle, over the bags that hold it.
+    """
+    n = len(bags)
+    owner = np.repeat(np.arange(n), [len(h) for h, _ in bags])
+    hashes, weights = np.concatenate([h for h, _ in bags]), np.concatenate([w for _, w in bags])
+    order = np.argsort(hashes, kind="stable")
+    hashes, weights, owner = hashes[order], weights[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, int)
+    sizes = np.diff(np.concatenate([begins, [len(hashes)]]))
+    shared = np.zeros((n, n))
+    for begin, size in zip(begins[sizes > 1], sizes[sizes > 1], strict=True):
+        who, weight = owner[begin : begin + size], weights[begin : begin + size]
+        if size == n:
+            shared += np.minimum(weight[:, None], weight[None, :])
+        else:
+            shared[who[:, None], who] += np.minimum(weight[:, None], weight[None, :])
+    total = np.array([w.sum() for _, w in bags])
+    linked = shared >= least * (total[:, None] + total[None, :] - shared)
+    linked &= shared > 0
+    label = np.arange(n)
+    while True:
+        low = np.where(linked, label[None, :], n).min(axis=1, initial=n)
+        new = np.minimum(label, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _tile_links(members: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """Links ``a, b`` that connect all linked members of each bucket, from ``bucket, node, m`` with the bucket's size ``m``.
+
+    A bucket is cut into chunks of bounded size by hash, and each two chunks meet in a task, which returns a forest and never pairs.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(weights)
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        text = table.column("text")
+        root = bag_links([shared.value.bag(text[int(k)].as_py()) for k in at], least)
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.Table.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+
+    chunks = F.ceil(F.col("m") / CHUNK_MEMBERS).cast("int")
+    cut = members.withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    tiles = cut.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node")
+    return tiles.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _links(members: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """Verified links between texts that share a bucket, enough of them to connect all that are linked."""
-    found: DataFrame | None = None
-    compared: DataFrame | None = None
+    """Verified links between texts that share a bucket, enough of them to connect all that are linked.
+
+    In a turn the members of a bucket meet its pivot. Turns go on as long as they at least halve the pairs of members in different
+    components; buckets that then still hold some are compared in tiles.
+    """
+    found = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     roots: DataFrame | None = None
-    left = members
-    turn = 0
+    left, before, seed = members, float("inf"), 0
     while True:
         if roots is None:
             placed = left.withColumn("root", F.col("node"))
         else:
             placed = left.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node")).drop("n")
-        placed = cut_lineage(placed, "members")
-        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        buckets = parts.groupBy("bucket").agg(F.sum("n").alias("m"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        open_ = cut_lineage(buckets.where("pairs > 0"), "open-buckets")
-        pairs_left, members_left = open_.agg(F.sum("pairs"), F.sum("m")).first()
+            placed = cut_lineage(placed, "members")
+        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("node"))).alias("p"))
+        buckets = parts.groupBy("bucket").agg(
+            F.sum("n").alias("m"),
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
+            F.min(F.struct(F.col("p.h").alias("h"), F.col("p.node").alias("node"), F.col("root").alias("root"))).alias("pivot"),
+        )
+        open_ = cut_lineage(buckets.where("pairs > 0").select("bucket", "m", "pairs", F.col("pivot.node").alias("pivot"), F.col("pivot.root").alias("pivot_root")), "open-buckets")
+        pairs_left = float(open_.agg(F.sum("pairs")).first()[0] or 0)
         if not pairs_left:
-            break
-        last = pairs_left <= PAIRS_PER_MEMBER * members_left or turn == PIVOT_TURNS
-        if last:
-            # Pairs of different components; of a component with one member and many others, each pair once.
-            live = placed.join(open_.select("bucket"), "bucket", "left_semi")
-            other = live.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = live.join(other, "bucket").where("node < other and root <> other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        else:
-            pivot = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("root").alias("root"))).alias("p"))
-            chosen = cut_lineage(open_.join(pivot, "bucket").select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
-            met = placed.join(chosen, "bucket")
-            pairs = met.where("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-            left = met.where("node <> pivot").select("bucket", "node")
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        checked = cut_lineage(similarities(cut_lineage(pairs, "pairs"), texts, weights), "similarities")
-        compared = checked.select("a", "b") if compared is None else compared.unionByName(checked.select("a", "b"))
-        linked = checked.where(F.col("similarity") >= least).select("a", "b")
-        found = linked if found is None else found.unionByName(linked)
-        if last:
-            break
+            return found
+        met = placed.join(open_, "bucket")
+        if pairs_left > before / 2:
+            return found.unionByName(_tile_links(met.select("bucket", "node", "m"), texts, weights, least))
+        pairs = met.where("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        checked = similarities(cut_lineage(pairs, "pairs"), texts, weights)
+        linked = cut_lineage(checked.where(F.col("similarity") >= least).select("a", "b"), "verified")
+        found = found.unionByName(linked)
         roots = cut_lineage(connected_components(found), "roots")
-        turn += 1
-    return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if found is None else found
+        left, before, seed = met.where("node <> pivot").select("bucket", "node"), pairs_left, seed + 1
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text", weights: Weights | None = None) -> DataFrame:
