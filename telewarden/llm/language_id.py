@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from telewarden.llm.sampling import drawn
 from telewarden.llm.token_counts import byte_slices
@@ -147,17 +148,18 @@ def identify(docs: DataFrame, model: LanguageFilter, *, keep: Column | None = No
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *([] if keep is None else [keep.alias("row")])]
     chosen = docs.select(*columns)
+    with_row = keep is not None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text", _TEXTS_BYTES):
                 names, score = shared.value.predict(pc.fill_null(batch.column("text"), "").to_pylist())
-                rows = [batch.column("row")] if keep is not None else []
+                rows = [batch.column("row")] if with_row else []
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), *rows], ["doc_id", "lang_pred", "score", *(["row"] if rows else [])]
                 )
 
-    schema = "doc_id long, lang_pred string, score double"
-    if keep is not None:
-        schema += f", row {chosen.schema['row'].dataType.simpleString()}"
+    schema = StructType.fromDDL("doc_id long, lang_pred string, score double")
+    if with_row:
+        schema.add(chosen.schema["row"])
     return chosen.mapInArrow(predict, schema)

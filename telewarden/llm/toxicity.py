@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from telewarden.llm.sampling import drawn
 from telewarden.llm.token_counts import byte_slices
@@ -336,17 +337,18 @@ def score(docs: DataFrame, model: ToxicityModel, *, keep: Column | None = None)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *([] if keep is None else [keep.alias("row")])]
     chosen = docs.select(*columns)
+    with_row = keep is not None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text", _TEXTS_BYTES):
                 found = shared.value.score([t or "" for t in batch.column("text").to_pylist()])
                 arrays, names = [batch.column("doc_id"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"]
-                if keep is not None:
+                if with_row:
                     arrays, names = [*arrays, batch.column("row")], [*names, "row"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "doc_id long, score double, predicted int"
-    if keep is not None:
-        schema += f", row {chosen.schema['row'].dataType.simpleString()}"
+    schema = StructType.fromDDL("doc_id long, score double, predicted int")
+    if with_row:
+        schema.add(chosen.schema["row"])
     return chosen.mapInArrow(predict, schema)
