@@ -10,7 +10,7 @@ find their place by their rank among pieces of equal length.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,11 @@ from telewarden.llm import pieces
 from telewarden.llm.token_counts import byte_slices
 from telewarden.session import cut_lineage
 
-#: Linear programs solved one after the other, each over what rounding has left of the one before, and prices tried in each.
-ROUNDS, PRICINGS = 3, 160
-#: Largest factor by which one pricing lowers a price.
-LEARNING_RATE = 0.5
+#: Linear programs solved one after the other, each over what rounding has left of the one before: the share of the scarcest length
+#: that a pricing covers, and the number of pricings. Small shares come close to the optimum, large ones cover many lengths.
+ROUNDS = ((0.05, 200), (0.1, 200), (1.0, 400))
+#: How fast the price of a length falls with its cover.
+LEARNING_RATE = 3.0
 #: Pieces that share a ranking group: of one length and one hash bucket, at most about this many.
 GROUP_ROWS = 100_000
 LEAST_BUCKETS = 256
@@ -79,24 +80,24 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -
     return found
 
 
-def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, pricings: int = PRICINGS) -> list[tuple[dict[int, int], float]]:
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float, pricings: int) -> list[tuple[dict[int, int], float]]:
     """A fractional solution by multiplicative weights: configurations with the number of sequences each is used for.
 
-    Prices start at the share of a sequence that a length takes. Each pricing uses the best configuration as often as a
-    share of the scarcest length in it allows, and lowers the prices of what it holds by what is now covered.
+    The price of a length is the share of a sequence it takes times ``exp(-LEARNING_RATE * cover)``. Each pricing uses the best
+    configuration of lengths not yet covered, as often as ``share`` of the scarcest length in it allows.
     """
-    prices = lengths / capacity
-    covered = np.zeros(len(lengths))
+    cover = np.zeros(len(lengths))
     used: dict[tuple[tuple[int, int], ...], float] = {}
     for _ in range(pricings):
-        open_ = np.flatnonzero(covered < counts)
+        open_ = np.flatnonzero(cover < 1)
         if not len(open_):
             break
-        found = {int(open_[k]): n for k, n in best_configuration(lengths[open_], prices[open_], capacity).items()}
+        prices = lengths[open_] / capacity * np.exp(-LEARNING_RATE * cover[open_])
+        found = {int(open_[k]): n for k, n in best_configuration(lengths[open_], prices, capacity).items()}
         at, n = np.array(list(found)), np.array(list(found.values()))
-        times = float(np.min((counts[at] - covered[at]) / n))
-        covered[at] = np.where((counts[at] - covered[at]) / n <= times, counts[at], covered[at] + n * times)
-        prices[at] *= 1 - LEARNING_RATE * np.minimum(1, n * times / counts[at])
+        times = float((np.minimum(share, 1 - cover[at]) * counts[at] / n).min())
+        cover[at] += n * times / counts[at]
+        cover[at[cover[at] > 1 - 1e-9]] = 1
         key = tuple(sorted(found.items()))
         used[key] = used.get(key, 0.0) + times
     return [(dict(key), times) for key, times in used.items()]
@@ -124,16 +125,16 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return plan
 
 
-def packing_plan(histogram: Mapping[int, int], capacity: int, rounds: int = ROUNDS, pricings: int = PRICINGS) -> list[tuple[dict[int, int], int]]:
+def packing_plan(histogram: Mapping[int, int], capacity: int, rounds: Sequence[tuple[float, int]] = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """Configurations as ``{length: copies}`` with whole numbers of sequences; together they hold exactly the histogram."""
     lengths = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[int(n)] for n in lengths], np.int64)
     plan: list[tuple[dict[int, int], int]] = []
-    for _ in range(rounds):
+    for share, pricings in rounds:
         live = np.flatnonzero(left)
         if not len(live):
             break
-        for found, times in configuration_program(lengths[live], left[live].astype(float), capacity, pricings):
+        for found, times in configuration_program(lengths[live], left[live].astype(float), capacity, share, pricings):
             own = {int(live[k]): n for k, n in found.items()}
             whole = min([int(times + 1e-9), *(int(left[k] // n) for k, n in own.items())])
             if whole:
