@@ -33,7 +33,7 @@ COUNTERS, SLICES, LEAST_FREQUENCY = 1 << 18, 64, 0.01
 #: Slices added up in two steps, so that no task gets those of all scan tasks.
 FAN_IN = 64
 #: Members of a bucket's chunk, two of which meet in a task.
-CHUNK_MEMBERS = 400
+CHUNK_MEMBERS = 250
 _DRAWS = BANDS * ROWS
 _TABLE = 1 << 16
 _BAGS = 256

@@ -63,7 +63,7 @@ def _seats(size: Column, seats: Column, total: Column, parties: Column) -> tuple
     """Seats that a party surely has, and those it may have at most, when ``seats`` go to ``parties`` of ``total`` size by highest quotients."""
 
     def at(houses: Column) -> Column:
-        return F.when((houses > 0) & (total > 0), F.floor(size / (total / houses) + 0.5)).otherwise(F.lit(0)).cast("long")
+        return F.when(houses > 0, F.coalesce(F.floor(F.try_divide(size * houses, total) + 0.5), F.lit(0))).otherwise(F.lit(0)).cast("long")
 
     return at(seats - parties / 2), at(seats + parties / 2 + 1)
 
@@ -99,7 +99,7 @@ def apportion_shards(shards: DataFrame) -> DataFrame:
 def _taken(block_words: int, seed: int) -> Column:
     """Words taken of a document at ``start`` of a stream of ``shard_size`` words of which ``words`` are wanted."""
     size, stream, wanted = F.col("size"), F.col("shard_size"), F.col("words")
-    passes = F.floor(wanted / stream).cast("long")
+    passes = F.coalesce(F.floor(F.try_divide(wanted, stream)), F.lit(0)).cast("long")  # a stream of empty texts has no words
     rest = wanted - passes * stream
     blocks = F.floor(stream / block_words).cast("long")
     full = F.floor(rest / block_words).cast("long")
