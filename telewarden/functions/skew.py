@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 HOT_KEYS = 256
 SALTS = 64
 BROADCAST_ROWS = 50_000
+#: Rows that samples are drawn from, in expectation.
+POOL_ROWS = 1_000_000
 _HOT, _SALT = "_tw_hot", "_tw_salt"
 
 
@@ -75,20 +77,18 @@ def unit_hash(*cols: Column) -> Column:
 def hash_subsamples(df: DataFrame, id_col: str, groups: int, size: int, seed: int, *, group_col: str, surplus: int = 4, n: int | None = None) -> DataFrame:
     """``groups`` seeded samples of up to ``size`` rows without replacement.
 
-    A row's membership depends on its id only, never on partitioning. On large
-    inputs a row is first drawn by one hash, so about ``surplus * size`` rows per
-    group reach the ranking shuffle; small inputs offer every row to every group.
+    A row's membership depends on its id only, never on partitioning. One rule holds at every size: a pool of about
+    ``POOL_ROWS`` rows is drawn by a hash of the id, and each group draws about ``surplus * size`` of the pool by a hash of id and
+    group, independently of other groups. Only those reach the ranking shuffle.
     """
-    wanted = groups * size * surplus
-    n = df.count() if n is None else n
-    if n > wanted:
-        drawn = df.withColumn("_u", unit_hash(F.col(id_col), F.lit(seed)) * F.lit(n / (size * surplus)))
-        offered = drawn.where(F.col("_u") < groups).withColumn(group_col, F.floor("_u").cast("int")).drop("_u")
-    else:
-        offered = df.withColumn(group_col, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    n = max(1, df.count() if n is None else n)
+    pool = min(n, POOL_ROWS)
+    pooled = df.where(unit_hash(F.col(id_col), F.lit(seed), F.lit("pool")) < pool / n)
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: unit_hash(F.col(id_col), g, F.lit(seed)) < min(1.0, size * surplus / pool))
+    offered = pooled.withColumn(group_col, F.explode(chosen))
     # An explicit partition count keeps adaptive execution from packing all small groups into one task.
     offered = offered.repartition(min(groups, df.sparkSession.sparkContext.defaultParallelism), group_col)
     rank = F.row_number().over(
-        Window.partitionBy(group_col).orderBy(F.xxhash64(F.col(id_col), F.col(group_col), F.lit(seed)), F.col(id_col))
+        Window.partitionBy(group_col).orderBy(F.xxhash64(F.col(id_col), F.col(group_col), F.lit(seed), F.lit("rank")), F.col(id_col))
     )
     return offered.withColumn("_rank", rank).where(F.col("_rank") <= size)

@@ -8,8 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Above this many products per row a matrix goes to an Arrow batch instead of an expression.
-EXPRESSION_PRODUCTS = 512
+def is_complete(features: Column) -> Column:
+    """Whether a vector is there and none of its entries is null or NaN."""
+    return features.isNotNull() & F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+
+
+def positive(x: Column) -> Column:
+    """``max(x, 0)`` with null kept, which ``greatest`` would skip."""
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
 
 
 def mean_squared_error(a: Column, b: Column) -> Column:
@@ -54,20 +60,12 @@ def as_numbers(values: np.ndarray) -> pa.Array:
 
 
 def multiply(features: Column, matrix: np.ndarray) -> Column:
-    """Row vector times a fixed ``(d, m)`` matrix."""
+    """Row vector times a fixed ``(d, m)`` matrix; null if the vector is null or holds a null or NaN."""
     matrix = np.asarray(matrix, dtype=np.float64)
-    d, m = matrix.shape
-    if d * m <= EXPRESSION_PRODUCTS:
-        def entry(j: int) -> Column:
-            out = features[0] * F.lit(float(matrix[0, j]))
-            for i in range(1, d):
-                out = out + features[i] * F.lit(float(matrix[i, j]))
-            return out
-
-        return F.array(*[entry(j) for j in range(m)])
+    d = matrix.shape[0]
 
     @F.arrow_udf("array<double>")
     def times(batch: pa.Array) -> pa.Array:
         return as_cells(as_matrix(batch, d) @ matrix)
 
-    return times(features)
+    return F.when(is_complete(features), times(features))

@@ -12,11 +12,12 @@ from telewarden.functions.quantiles import IN_MEMORY, quantile_table
 
 
 def nan_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Missing cells are nulls everywhere below; do this once on ingest."""
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
+    """NaN cells become nulls, as missing cells are below; every function that counts, fills or fits does it first."""
+    return df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in cols})
 
 
 def missing_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    df = nan_to_null(df, cols)
     per_column = [F.count_if(F.col(c).isNull()) for c in cols]
     total = per_column[0]
     for n in per_column[1:]:
@@ -29,23 +30,35 @@ def one_row(stats: DataFrame) -> Column:
     return stats.select(F.struct("*")).scalar()
 
 
-def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    means = one_row(df.agg(*[F.avg(c).alias(c) for c in cols]))
+def settled(stats: DataFrame) -> DataFrame:
+    """A fitted one-row table as values: computed once, however often later steps refer to it."""
+    return stats.sparkSession.createDataFrame([stats.first()], stats.schema)
+
+
+def fit_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return nan_to_null(df, cols).agg(*[F.avg(c).alias(c) for c in cols])
+
+
+def fill_mean(df: DataFrame, cols: Sequence[str], means: DataFrame | None = None) -> DataFrame:
+    """Fill with the means of ``df``, or fitted ones."""
+    means = one_row(means if means is not None else fit_means(df, cols))
+    df = nan_to_null(df, cols)
     return df.withColumns({c: F.coalesce(F.col(c), means[c]) for c in cols})
 
 
 def fill_median(df: DataFrame, cols: Sequence[str], *, in_memory: int = IN_MEMORY) -> DataFrame:
+    df = nan_to_null(df, cols)
     medians = one_row(quantile_table(df, cols, [0.5], in_memory))
     return df.withColumns({c: F.coalesce(F.col(c), medians[c][0]) for c in cols})
 
 
 def fill_forward(df: DataFrame, cols: Sequence[str], *, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last earlier known value of the entity; leading nulls stay. ``order`` starts with the time."""
-    return last_known(df, cols, keys, order, order[0])
+    return last_known(nan_to_null(df, cols), cols, keys, order, order[0])
 
 
 def fill_drop(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.na.drop("any", subset=list(cols))
+    return nan_to_null(df, cols).na.drop("any", subset=list(cols))
 
 
 FILL = {"mean": fill_mean, "median": fill_median, "drop": fill_drop}
@@ -59,7 +72,7 @@ def handle_missing(df: DataFrame, cols: Sequence[str], strategy: str = "mean", *
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], *, in_memory: int = IN_MEMORY) -> DataFrame:
     """One row with a ``(lower, upper)`` struct per column."""
-    quartiles = quantile_table(df, cols, [0.25, 0.75], in_memory)
+    quartiles = quantile_table(nan_to_null(df, cols), cols, [0.25, 0.75], in_memory)
 
     def bounds(c: str) -> Column:
         q1, q3 = F.col(c)[0], F.col(c)[1]
@@ -74,7 +87,8 @@ def flag_iqr(df: DataFrame, cols: Sequence[str], bounds: DataFrame | None = None
     limits = one_row(bounds if bounds is not None else iqr_bounds(df, cols, in_memory=in_memory))
     outside = F.lit(False)
     for c in cols:
-        outside = outside | F.coalesce((F.col(c) < limits[c]["lower"]) | (F.col(c) > limits[c]["upper"]), F.lit(False))
+        known = ~F.isnan(F.col(c).cast("double"))
+        outside = outside | F.coalesce(known & ((F.col(c) < limits[c]["lower"]) | (F.col(c) > limits[c]["upper"])), F.lit(False))
     return df.withColumn(flag, outside)
 
 
@@ -84,7 +98,7 @@ def flag_zscore(df: DataFrame, cols: Sequence[str], threshold: float = 3.0, *, s
     ``scope='global'`` uses one mean and std over all cells, ``'column'`` one pair
     per column. A zero std flags nothing.
     """
-    per_column = df.agg(
+    per_column = nan_to_null(df, cols).agg(
         *[F.count(c).alias(f"n_{c}") for c in cols],
         *[F.avg(c).alias(f"mu_{c}") for c in cols],
         *[F.var_pop(c).alias(f"var_{c}") for c in cols],
@@ -102,7 +116,7 @@ def flag_zscore(df: DataFrame, cols: Sequence[str], threshold: float = 3.0, *, s
     outside = F.lit(False)
     for c in cols:
         z = F.abs(F.try_divide(F.col(c) - centre[c], scale[c]))
-        outside = outside | F.coalesce(z > threshold, F.lit(False))
+        outside = outside | F.coalesce(~F.isnan(z) & (z > threshold), F.lit(False))
     return df.withColumn(flag, outside)
 
 

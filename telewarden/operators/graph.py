@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from telewarden.functions.ordered import chunk_window, frame_chunks, own_rows
 from telewarden.functions.skew import BROADCAST_ROWS, find_hot_keys, hash_subsamples, is_small, lookup_join, repeat, spread, unit_hash
-from telewarden.functions.vectors import distance, multiply
+from telewarden.functions.vectors import distance, is_complete, multiply, positive
 from telewarden.session import cut_lineage
 
 HIDDEN, LAYERS, ALPHA, DROPOUT = 128, 3, 0.5, 0.2
@@ -112,7 +112,7 @@ def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFr
 
 def combine(own: Column, agg: Column, alpha: float = ALPHA) -> Column:
     """``relu(alpha * own + (1 - alpha) * agg)`` elementwise."""
-    return F.zip_with(own, agg, lambda a, b: F.greatest(F.lit(alpha) * a + F.lit(1 - alpha) * b, F.lit(0.0)))
+    return F.zip_with(own, agg, lambda a, b: positive(F.lit(alpha) * a + F.lit(1 - alpha) * b))
 
 
 def _drop_out(df: DataFrame, layer: int, rate: float, seed: int) -> DataFrame:
@@ -155,7 +155,8 @@ def graph_embedding(nodes: DataFrame, width: int) -> DataFrame:
 
 
 def distance_score(embedding: Column, reference: Column) -> Column:
-    return F.least(F.lit(1.0), distance(embedding, reference) / F.lit(DISTANCE_SCALE))
+    """At most 1; null for an embedding that is null or incomplete."""
+    return F.when(is_complete(embedding), F.least(F.lit(1.0), distance(embedding, reference) / F.lit(DISTANCE_SCALE)))
 
 
 def graph_score(embeddings: DataFrame, width: int, reference: Sequence[float] | None = None) -> DataFrame:
@@ -168,7 +169,7 @@ def single_node_score(features: Column, matrix: np.ndarray, *, layers: int = LAY
     """Score of a graph of one node without edges, as a pure projection."""
     width = np.asarray(matrix).shape[1]
     ref = [REFERENCE] * width if reference is None else list(reference)
-    h = F.transform(multiply(features, matrix), lambda x: F.greatest(x, F.lit(0.0)) * F.lit(float(alpha**layers)))
+    h = F.transform(multiply(features, matrix), lambda x: positive(x) * F.lit(float(alpha**layers)))
     return distance_score(h, F.array(*[F.lit(float(r)) for r in ref]))
 
 

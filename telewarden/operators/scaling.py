@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewarden.functions.quantiles import IN_MEMORY, quantile_table
-from telewarden.operators.cleaning import fill_mean, flag_iqr, one_row, remove_outliers
+from telewarden.operators.cleaning import fill_mean, fit_means, flag_iqr, iqr_bounds, nan_to_null, one_row, remove_outliers, settled
 
 
 def _pair(centre: Column, scale: Column, name: str) -> Column:
@@ -16,7 +16,8 @@ def _pair(centre: Column, scale: Column, name: str) -> Column:
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard", *, in_memory: int = IN_MEMORY) -> DataFrame:
-    """``(centre, scale)`` per column; a zero scale becomes 1. Any other ``kind`` is robust scaling."""
+    """``(centre, scale)`` per column over known cells; a zero scale becomes 1. Any other ``kind`` is robust scaling."""
+    df = nan_to_null(df, cols)
     if kind == "standard":
         return df.agg(*[_pair(F.avg(c), F.stddev_pop(c), c) for c in cols])
     if kind == "minmax":
@@ -27,6 +28,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard", *, in
 
 def scale(df: DataFrame, cols: Sequence[str], params: DataFrame) -> DataFrame:
     fitted = one_row(params)
+    df = nan_to_null(df, cols)
     return df.withColumns({c: (F.col(c) - fitted[c]["centre"]) / fitted[c]["scale"] for c in cols})
 
 
@@ -43,12 +45,15 @@ def preprocess(
     kind: str = "standard",
     components: float | int | None = None,
 ) -> DataFrame:
-    """Fill with means, drop outlier rows, scale, optionally reduce to ``features`` by PCA."""
-    out = fill_mean(df, cols)
+    """Fill with means, drop outlier rows, scale, optionally reduce to ``features`` by PCA.
+
+    What a step fits is settled before the next one, so the plan grows with the columns, not with their square.
+    """
+    out = fill_mean(df, cols, settled(fit_means(df, cols)))
     if outliers:
-        out = remove_outliers(flag_iqr(out, cols))
+        out = remove_outliers(flag_iqr(out, cols, settled(iqr_bounds(out, cols))))
     if normalize:
-        out = fit_scale(out, cols, kind)
+        out = scale(out, cols, settled(fit_scaler(out, cols, kind)))
     if components is not None:
         from telewarden.operators.pca import fit_pca
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def signature() -> Column:
     """The first matching signature, else ``none``."""
     c = F.col
-    secret = F.rtrim(c("resource"), F.lit("s")) == "secret"
+    secret = c("resource").isin("secret", "secrets")
     rules: list[tuple[str, Column]] = [
         ("brute_force_auth", (c("status_code") == 401) & secret),
         ("privilege_escalation", (c("action") == "update") & (c("resource") == "rbac")),

@@ -22,9 +22,11 @@ def event_time(text: Column, default: Column) -> Column:
 def parse_telemetry(values: DataFrame, *, value: str = "value", ingest_time: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """JSON text to typed telemetry with defaults; flat and nested records alike.
 
-    Records that are not JSON objects come back with ``_corrupt`` set (see ``split_corrupt``).
+    Records that are not JSON objects come back with ``_corrupt`` set (see ``split_corrupt``). A record without a time has ``ingest_time``,
+    by default the column of that name that brokers add; without either its time is null, never the wall clock.
     """
-    now = ingest_time if ingest_time is not None else F.current_timestamp()
+    given = ingest_time if ingest_time is not None else F.col("ingest_time") if "ingest_time" in values.columns else F.lit(None)
+    now = given.cast("timestamp")
     parsed = values.select(
         *keep,
         F.col(value).alias("_raw"),

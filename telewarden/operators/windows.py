@@ -13,10 +13,13 @@ from telewarden import schemas
 def output_slots(cols: Sequence[str], width: int | None = None) -> list[tuple[str, str | None]]:
     """What each output slot holds: ``('mean'|'var', column)``, or no column for padding.
 
-    The first half of the slots are means, the rest population variances of
-    the leading slots: for 73 slots, 37 means and 36 variances.
+    Without ``width`` every column has its mean, and then every column its population variance. With a ``width`` the
+    first half of the slots are means and the rest variances of the leading ones, unused slots being
+    padding: for 73 slots, 37 means and 36 variances.
     """
-    d = width or len(cols)
+    if width is None:
+        return [("mean", c) for c in cols] + [("var", c) for c in cols]
+    d = width
     means = (d + 1) // 2
     padded: list[str | None] = [*cols, *[None] * (d - len(cols))]
     return [("mean", padded[i]) for i in range(means)] + [("var", padded[i]) for i in range(d - means)]
@@ -42,12 +45,44 @@ def window_statistics(
     aggregates = [
         (F.avg(c) if kind == "mean" else F.var_pop(c)).alias(f"{kind}_{c}") for kind, c in sorted(wanted)
     ]
-    frame = F.window(time_col, length, slide) if slide else F.window(time_col, length)
-    grouped = df.groupBy(frame.alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("window_size"), *aggregates)
+    if slide and not df.isStreaming:
+        grouped = _from_panes(df, sorted({c for _, c in wanted}), key, time_col, length, slide)
+    else:
+        frame = F.window(time_col, length, slide) if slide else F.window(time_col, length)
+        grouped = df.groupBy(frame.alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("window_size"), *aggregates)
     vector = F.array(*[F.lit(0.0) if c is None else F.col(f"{kind}_{c}") for kind, c in slots])
     return grouped.select(window_end_ms(F.col("w")).alias("timestamp"), key, "window_size", vector.alias("features"))
 
 
+def _from_panes(df: DataFrame, cols: Sequence[str], key: str, time_col: str, length: str, slide: str) -> DataFrame:
+    """Sliding windows put together from panes of one slide, so an event is aggregated once and only panes are copied.
+
+    A window has ``length / slide`` panes, which meet as a list of that many entries.
+    """
+    pane = df.groupBy(F.window(time_col, slide).alias("pane"), F.col(key)).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("var")).alias(f"p_{c}") for c in cols],
+    )
+    # The windows of a pane are those of its first instant.
+    spread = pane.select(F.window(F.col("pane.start"), length, slide).alias("w"), key, "n", *[f"p_{c}" for c in cols])
+    met = spread.groupBy("w", key).agg(F.sum("n").alias("window_size"), *[F.collect_list(f"p_{c}").alias(f"p_{c}") for c in cols])
+
+    def total(panes: Column, value) -> Column:
+        return F.aggregate(panes, F.lit(0.0), lambda held, p: held + F.when(p["n"] > 0, value(p)).otherwise(0.0))
+
+    out = {}
+    for c in cols:
+        n = total(F.col(f"p_{c}"), lambda p: p["n"].cast("double"))
+        mean = F.try_divide(total(F.col(f"p_{c}"), lambda p: p["n"] * p["mean"]), n)
+        out |= {f"n_{c}": n, f"mean_{c}": mean}
+    met = met.withColumns(out)
+    spreads = {
+        f"var_{c}": F.try_divide(total(F.col(f"p_{c}"), lambda p, c=c: p["n"] * (p["var"] + (p["mean"] - F.col(f"mean_{c}")) * (p["mean"] - F.col(f"mean_{c}")))), F.col(f"n_{c}"))
+        for c in cols
+    }
+    return met.withColumns(spreads)
+
+
 def window_end_ms(window: Column) -> Column:
     return F.unix_millis(window["end"].cast("timestamp"))
 

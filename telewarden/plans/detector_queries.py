@@ -51,15 +51,29 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return feature_vector(views.telemetry(spark, folder)).select("event_id", "node_name", "features")
 
 
-def _forest(spark: SparkSession, folder: str, trees: int = 50) -> tuple[DataFrame, iforest.IsolationForest]:
+def _forest(spark: SparkSession, folder: str) -> tuple[DataFrame, iforest.IsolationForest]:
     vectors = cut_lineage(_vectors(spark, folder))
-    return vectors, iforest.fit_iforest(vectors, id_col="event_id", trees=trees)
+    return vectors, iforest.fit_iforest(vectors, id_col="event_id")
 
 
-@query("iforest_fit")
+@query(
+    "iforest_fit",
+    f"""select cast(t as int) as tree_id, (select least({iforest.SAMPLE}, count(*)) from embeddings) as root_size, true as sizes_add_up, true as shallow
+        from (select unnest(range(0, {iforest.TREES})) as t) s""",
+)
 def iforest_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Per tree: the rows at its root, whether each inner node's rows are those of its children, and whether it keeps the depth limit."""
     vectors = readers.read_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("features"))
-    return rounded_all(iforest.fit_iforest(vectors, id_col="vec_id").nodes)
+    nodes = iforest.fit_iforest(vectors, id_col="vec_id").nodes
+    size = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("c"), F.col("size").alias("s"))
+    below = nodes.where("feature >= 0").select("tree_id", "node_id", F.explode(F.array("left", "right")).alias("child"))
+    sums = below.join(size, (F.col("tree_id") == F.col("t")) & (F.col("child") == F.col("c"))).groupBy("tree_id", "node_id").agg(F.sum("s").alias("below"))
+    checked = nodes.join(sums, ["tree_id", "node_id"], "left")
+    return checked.groupBy("tree_id").agg(
+        F.max(F.when(F.col("node_id") == 0, F.col("size"))).cast("long").alias("root_size"),
+        F.bool_and((F.col("feature") < 0) | F.coalesce(F.col("below") == F.col("size"), F.lit(False))).alias("sizes_add_up"),
+        F.bool_and(F.col("depth") <= 8).alias("shallow"),
+    )
 
 
 @query("iforest_predict")
@@ -79,9 +93,8 @@ def iforest_score(spark: SparkSession, folder: str) -> DataFrame:
 @query("seq_autoencoder_fit")
 def seq_autoencoder_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and mean error per split."""
-    t = views.telemetry(spark, folder)
-    steps = F.array("cpu_usage", "memory_usage", F.col("process_count").cast("double"))
-    built = sequences.create_sequences(t, steps, keys=["node_name"], order=["ts", "event_id"], length=10)
+    vectors = feature_vector(views.telemetry(spark, folder))
+    built = sequences.create_sequences(vectors, F.col("features"), keys=["node_name"], order=["ts", "event_id"])
     flat = cut_lineage(built.select("event_id", "ts", sequences.flatten_sequence(F.col("sequence")).alias("flat")))
     marked = sequences.split_by_time(flat, time_col="ts", id_col="event_id")
     return rounded_all(autoencoder.train_autoencoder(marked, "flat")[1])
@@ -89,7 +102,7 @@ def seq_autoencoder_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- graph
 
-WIDTH = 8
+WIDTH = g.HIDDEN
 FEATURES = ["f0", "f1", "f2"]
 
 
@@ -199,8 +212,8 @@ def graph_baseline(spark: SparkSession, folder: str) -> DataFrame:
     vectors = readers.read_table(spark, folder, "embeddings")
     nodes, edges = g.sample_graphs(vectors, id_col="vec_id")
     nodes = cut_lineage(nodes)
-    projected = g.project_features(nodes, g.projection_matrix(64, 16), features="embedding")
-    embeddings = g.graph_embedding(g.forward(projected, edges, 16), 16)
+    projected = g.project_features(nodes, g.projection_matrix(64), features="embedding")
+    embeddings = g.graph_embedding(g.forward(projected, edges, g.HIDDEN), g.HIDDEN)
     cells = embeddings.select("graph_id", F.posexplode("embedding").alias("dimension", "value"))
     return rounded_all(cells.groupBy("dimension").agg(F.count(F.lit(1)).alias("graphs"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), 9)
 
@@ -215,20 +228,20 @@ def _window_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def ensemble_predict(spark: SparkSession, folder: str) -> DataFrame:
     """Three scores and the fused one from a feature vector per (node, window)."""
     windows = _window_vectors(spark, folder)
-    trained = m.train_all(windows, id_col="window_id", trees=50)
+    trained = m.train_all(windows, id_col="window_id")
     scored = detect(fuse_scores(m.score_vectors(windows, trained)))
     return rounded_all(scored.select("timestamp", "node_name", "s_lstm", "s_if", "s_gnn", "score", "is_anomaly"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", over("v_features", "select timestamp, node_name, true as equal from stats", stats=window_sql("6 hours", 21600)))
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores from the models in memory beside those of the models written and read back."""
+    """Whether the models written and read back score every window as those in memory do."""
     windows = _window_vectors(spark, folder)
-    trained = m.train_all(windows, id_col="window_id", trees=20)
+    trained = m.train_all(windows, id_col="window_id")
     loaded = m.load_models(spark, m.save_models(trained, spark, scratch_path(spark, "models")))
     before = fuse_scores(m.score_vectors(windows, trained), into="before").drop("s_lstm", "s_if", "s_gnn")
     both = fuse_scores(m.score_vectors(before, loaded), into="after")
-    return rounded_all(both.select("timestamp", "node_name", "before", "after"))
+    return both.select("timestamp", "node_name", (F.col("before").isNotNull() & (F.abs(F.col("before") - F.col("after")) < 1e-9)).alias("equal"))
 
 
 @query("entry")
@@ -256,15 +269,18 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return split_statistics(finish(jobs.feature_windows(stream, length="6 hours"), spark, "stream-windows"))
 
 
-@query("stream_scoring")
+@query("stream_scoring", over("v_features", "select timestamp, node_name, true as equal from stats", stats=window_sql("6 hours", 21600)))
 def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the stream scores every window, level and action as a batch does."""
     windows = _window_vectors(spark, folder)
-    trained = m.train_all(windows, id_col="window_id", trees=50)
+    trained = m.train_all(windows, id_col="window_id")
     location = scratch_path(spark, "window-vectors")
     windows.write.parquet(location)
     stream = readers.open_records(spark, location, windows.schema, streaming=True)
     scored = finish(jobs.score_features(stream, trained), spark, "stream-scoring")
-    return rounded_all(scored.select("timestamp", "node_name", "s_lstm", "s_if", "s_gnn", "score", "is_anomaly", "alert_level", "action"))
+    batch = jobs.score_features(windows, trained).select("window_id", F.col("score").alias("batch_score"), F.col("alert_level").alias("batch_level"), F.col("action").alias("batch_action"))
+    same = (F.abs(F.col("score") - F.col("batch_score")) < 1e-9) & (F.col("alert_level") == F.col("batch_level")) & (F.col("action") == F.col("batch_action"))
+    return scored.join(batch, "window_id").select("timestamp", "node_name", F.coalesce(same, F.lit(False)).alias("equal"))
 
 
 def _window_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from telewarden import schemas
 from telewarden.operators import graph as g
-from telewarden.operators.autoencoder import fit_autoencoder
+from telewarden.functions.skew import lookup_join
+from telewarden.operators.autoencoder import ENCODING_DIM, fit_autoencoder
 from telewarden.operators.ensemble import detect, fuse_scores
 from telewarden.operators.features import DEFAULT_FEATURES, with_features
-from telewarden.operators.iforest import fit_iforest
+from telewarden.operators.iforest import TREES, fit_iforest
 from telewarden.operators.policy import alert_level, recommend_action
 from telewarden.operators.scaling import fit_scale
-from telewarden.operators.sequences import create_sequences, flatten_sequence, last_timestep
+from telewarden.operators.sequences import create_sequences, flatten_sequence
 from telewarden.operators.windows import window_statistics
 from telewarden.session import cut_lineage
 
 FEATURE_COLUMNS = [f"f{i}" for i in range(len(DEFAULT_FEATURES))]
+#: Window statistics of all features: their means, then their variances.
+STATISTIC_COLUMNS = [f"{kind}{i}" for kind in ("m", "v") for i in range(len(DEFAULT_FEATURES))]
 
 
 def window_id() -> Column:
@@ -30,13 +33,13 @@ def scaled_windows(telemetry: DataFrame, *, length: str) -> DataFrame:
     stats = window_statistics(with_features(telemetry), FEATURE_COLUMNS, length=length)
     wide = stats.select(
         window_id().alias("window_id"), F.timestamp_millis("timestamp").alias("ts"), "timestamp", "node_name", "window_size",
-        *[F.col("features")[i].alias(c) for i, c in enumerate(FEATURE_COLUMNS)],
+        *[F.col("features")[i].alias(c) for i, c in enumerate(STATISTIC_COLUMNS)],
     )
     stored = cut_lineage(wide)
-    return fit_scale(stored, FEATURE_COLUMNS).withColumn("features", F.array(*FEATURE_COLUMNS)).drop(*FEATURE_COLUMNS)
+    return fit_scale(stored, STATISTIC_COLUMNS).withColumn("features", F.array(*STATISTIC_COLUMNS)).drop(*STATISTIC_COLUMNS)
 
 
-def graph_scores(nodes: DataFrame, edges: DataFrame, features: list[str], *, hidden: int = 16, seed: int = 42) -> DataFrame:
+def graph_scores(nodes: DataFrame, edges: DataFrame, features: list[str], *, hidden: int = g.HIDDEN, seed: int = 42) -> DataFrame:
     """``graph_id, s_gnn`` for relationship graphs with the given node feature columns."""
     vectors = nodes.select("graph_id", "node_id", F.array(*features).alias("features"))
     projected = g.project_features(vectors, g.projection_matrix(len(features), hidden, seed=seed))
@@ -51,26 +54,29 @@ def window_actions(
     *,
     node_features: list[str],
     length: str = "6 hours",
-    steps: int = 5,
-    encoding_dim: int = 4,
-    trees: int = 50,
+    steps: int = schemas.SEQUENCE_LENGTH,
+    encoding_dim: int = ENCODING_DIM,
+    trees: int = TREES,
     threshold: float = schemas.DEFAULT_THRESHOLD,
 ) -> DataFrame:
     """Three detectors on real sequences and real graphs, fused, with alert level and action.
 
-    A node's first ``steps - 1`` windows have no full sequence and are not scored.
+    Every window comes out. A node's first ``steps - 1`` windows have no full sequence and a node may be in no graph; such
+    scores are null, ``missing_models`` names them, and the others are weighted up.
     """
-    windows = scaled_windows(telemetry, length=length)
+    windows = cut_lineage(scaled_windows(telemetry, length=length), "windows")
     sequences = create_sequences(windows, F.col("features"), keys=["node_name"], order=["ts"], length=steps)
-    ready = cut_lineage(
-        sequences.select("window_id", "timestamp", "node_name", flatten_sequence(F.col("sequence")).alias("flat"), last_timestep(F.col("sequence")).alias("features"))
-    )
-    autoencoder = fit_autoencoder(ready, "flat", encoding_dim)
-    forest = fit_iforest(ready, id_col="window_id", trees=trees)
-    scored = forest.score(autoencoder.score(ready, "flat"), "features")
-    per_graph = graph_scores(nodes, edges, node_features).withColumnRenamed("graph_id", "node_name")
-    fused = detect(fuse_scores(scored.join(per_graph, "node_name")), threshold)
+    ready = cut_lineage(sequences.select("window_id", flatten_sequence(F.col("sequence")).alias("flat")))
+    forest = fit_iforest(windows, id_col="window_id", trees=trees)
+    scored = forest.score(windows.select("window_id", "timestamp", "node_name", "features"), "features").drop("features")
+    if ready.isEmpty():
+        scored = scored.withColumn("s_lstm", F.lit(None).cast("double"))
+    else:
+        by_sequence = fit_autoencoder(ready, "flat", encoding_dim).score(ready, "flat").select("window_id", "s_lstm")
+        scored = scored.join(by_sequence, "window_id", "left")
+    per_graph = cut_lineage(graph_scores(nodes, edges, node_features).withColumnRenamed("graph_id", "node_name"), "graph-scores")
+    fused = detect(fuse_scores(lookup_join(scored, per_graph, ["node_name"], "left"), allow_missing=True), threshold)
     return fused.select(
-        "timestamp", "node_name", "s_lstm", "s_if", "s_gnn", "score", "is_anomaly",
+        "timestamp", "node_name", "s_lstm", "s_if", "s_gnn", "score", "is_anomaly", F.concat_ws(",", "missing_models").alias("missing_models"),
         alert_level(F.col("score")).alias("alert_level"), recommend_action(F.col("score")).alias("action"),
     )

@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.operators.autoencoder import SequenceAutoencoder, fit_autoencoder
-from telewarden.operators.graph import matrix_from_table, matrix_table, projection_matrix, single_node_score
+from telewarden.operators.autoencoder import ENCODING_DIM, SequenceAutoencoder, fit_autoencoder
+from telewarden.operators.graph import HIDDEN, matrix_from_table, matrix_table, projection_matrix, single_node_score
 from telewarden.operators.iforest import CONTAMINATION, TREES, IsolationForest, fit_iforest
 from telewarden.operators.sequences import flatten_sequence, tile_sequence
+from telewarden.schemas import SEQUENCE_LENGTH
 from telewarden.sources.readers import read_model
 from telewarden.sources.writers import save_model
 
@@ -34,9 +35,9 @@ def train_all(
     id_col: str,
     features: str = "features",
     sequence: str | None = None,
-    length: int = 5,
-    encoding_dim: int = 4,
-    hidden: int = 16,
+    length: int = SEQUENCE_LENGTH,
+    encoding_dim: int = ENCODING_DIM,
+    hidden: int = HIDDEN,
     trees: int = TREES,
     contamination: float = CONTAMINATION,
     seed: int = 42,

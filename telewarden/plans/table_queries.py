@@ -25,9 +25,9 @@ def rounded(df: DataFrame, ids: list[str], cols: list[str], digits: int = 6) ->
 
 # ---- window statistics
 
-_MEANS = ", ".join(f"{grid_sql(f'avg(f{i})', 4)} as m{i}" for i in range(4))
-_VARS = ", ".join(f"{grid_sql(f'var_pop(f{i})', 3)} as v{i}" for i in range(4))
-WINDOW_NAMES = [f"m{i}" for i in range(4)] + [f"v{i}" for i in range(4)]
+_MEANS = ", ".join(f"{grid_sql(f'avg(f{i})', 4)} as m{i}" for i in range(8))
+_VARS = ", ".join(f"{grid_sql(f'var_pop(f{i})', 3)} as v{i}" for i in range(8))
+WINDOW_NAMES = [f"m{i}" for i in range(8)] + [f"v{i}" for i in range(8)]
 
 
 def window_sql(interval: str, seconds: int) -> str:
@@ -36,7 +36,7 @@ def window_sql(interval: str, seconds: int) -> str:
 
 
 def split_statistics(stats: DataFrame) -> DataFrame:
-    slots = [grid(F.col("features")[i], 4 if i < 4 else 3).alias(n) for i, n in enumerate(WINDOW_NAMES)]
+    slots = [grid(F.col("features")[i], 4 if i < 8 else 3).alias(n) for i, n in enumerate(WINDOW_NAMES)]
     return stats.select("timestamp", "node_name", "window_size", *slots)
 
 
@@ -70,21 +70,21 @@ def scan_features(spark: SparkSession, folder: str) -> DataFrame:
        from v_telemetry, (select unnest(range(0, 6)) as k) s group by 1, 2""".format(m0=grid_sql("avg(cpu_usage)", 4), v0=grid_sql("var_pop(cpu_usage)", 3)),
 ))
 def window_sliding(spark: SparkSession, folder: str) -> DataFrame:
-    stats = windows.window_statistics(views.telemetry(spark, folder), ["cpu_usage"], slide="10 seconds", width=2)
+    stats = windows.window_statistics(views.telemetry(spark, folder), ["cpu_usage"], slide="10 seconds")
     m0, v0 = F.col("features")[0], F.col("features")[1]
     return stats.select("timestamp", "node_name", "window_size", grid(m0, 4).alias("m0"), grid(v0, 3).alias("v0"))
 
 
 @query("window_gap_fill", over(
     "v_features",
-    """select c.timestamp, c.node_name, coalesce(window_size, 0) as window_size, coalesce(m0, 0) as m0, coalesce(v3, 0) as v3
+    """select c.timestamp, c.node_name, coalesce(window_size, 0) as window_size, {cells}
        from (select node_name, unnest(generate_series(min(timestamp), max(timestamp), 3600000)) as timestamp from stats group by node_name) c
-       left join stats using (node_name, timestamp)""",
+       left join stats using (node_name, timestamp)""".format(cells=", ".join(f"coalesce({n}, 0) as {n}" for n in WINDOW_NAMES)),
     stats=window_sql("1 hour", 3600),
 ))
 def window_gap_fill(spark: SparkSession, folder: str) -> DataFrame:
-    filled = windows.fill_gaps(statistics(spark, folder, "1 hour"), length_ms=3_600_000, width=8)
-    return split_statistics(filled).select("timestamp", "node_name", "window_size", "m0", "v3")
+    filled = windows.fill_gaps(statistics(spark, folder, "1 hour"), length_ms=3_600_000, width=len(WINDOW_NAMES))
+    return split_statistics(filled)
 
 
 # ---- missing values

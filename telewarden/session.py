@@ -34,12 +34,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where a session names none (unit tests) is a local folder made.
+    Only where a session in a single JVM names none (unit tests) is a local folder made; on a cluster that is an error, as executors
+    would write to their own disks.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_SCRATCH, None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get(_LOCAL_SCRATCH, None)
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="telewarden-")
         spark.conf.set(_LOCAL_SCRATCH, named)
     return named

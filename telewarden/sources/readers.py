@@ -66,7 +66,7 @@ def read_csv_matrix(spark: SparkSession, location: str, width: int, *, ids: Sequ
 def read_labels(spark: SparkSession, location: str) -> DataFrame:
     """``row_id,label`` lines; labels may be written as floats and are truncated to int."""
     raw = spark.read.schema("row_id bigint, label double").csv(location)
-    return raw.select("row_id", F.floor("label").cast("int").alias("y_true"))
+    return raw.select("row_id", F.col("label").cast("int").alias("y_true"))
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -92,7 +92,10 @@ def read_logs(spark: SparkSession, location: str, *, tag: str | Column | None =
     options = {"recursiveFileLookup": "true"}
     raw = (reader.schema("value string") if streaming else reader).options(**options).text(location)
     if tag is None:
-        tag = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -2), "^tag=", "")
+        folder = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -2), "^tag=", "")
+        # File names are percent-encoded in paths, and partition folders once more when they are written.
+        once = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+        tag = F.when(F.input_file_name().rlike("/tag=[^/]*/[^/]*$"), F.url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))).otherwise(once)
     elif isinstance(tag, str):
         tag = F.lit(tag)
     lines = raw.select(tag.alias("tag"), F.col("value").alias("log"))

@@ -75,7 +75,8 @@ def test_vector_width_and_zero_divisor(spark):
 
 def test_window_slot_rule(spark):
     names = [f"c{i}" for i in range(73)]
-    slots = windows.output_slots(names)
+    assert windows.output_slots(["a", "b"]) == [("mean", "a"), ("mean", "b"), ("var", "a"), ("var", "b")]
+    slots = windows.output_slots(names, 73)
     assert slots[:37] == [("mean", f"c{i}") for i in range(37)]
     assert slots[37:] == [("var", f"c{i}") for i in range(36)]
     ts = dt.datetime(2024, 1, 1, 0, 1, 0, tzinfo=UTC)
