@@ -48,7 +48,8 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[
         if depth >= limit or len(rows) <= 1 or not len(usable):
             continue
         feature = int(rng.choice(usable))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        # A cut below the highest value leaves no side empty, however close the values are.
+        cut = min(float(rng.uniform(low[feature], high[feature])), float(np.nextafter(high[feature], low[feature])))
         goes_left = part[:, feature] <= cut
         nodes[me][1:3] = [feature, cut]
         todo.append((rows[~goes_left], depth + 1, me, 4))
