@@ -14,7 +14,7 @@ from telewarden.plans import models as m
 from telewarden.plans import views
 from telewarden.plans.flagship import scaled_windows, window_actions
 from telewarden.plans.ingest_queries import finish
-from telewarden.plans.registry import over, query
+from telewarden.plans.registry import grid, grid_sql, over, query
 from telewarden.plans.scoring_queries import fused, rounded_all
 from telewarden.plans.table_queries import split_statistics, window_sql
 from telewarden.session import cut_lineage, scratch_path
@@ -165,13 +165,17 @@ def _layer(source: str) -> str:
 
 
 _LAYERS = {"l0": _PROJECT, "l1": _layer("l0"), "l2": _layer("l1"), "l3": _layer("l2")}
-_ROUND_H = ", ".join(f"round({h}, 6) as {h}" for h in _H)
+_ROUND_H = ", ".join(f"{grid_sql(h, 6)} as {h}" for h in _H)
 _EMBED = "select graph_id, " + ", ".join(f"avg({h}) as {h}" for h in _H) + " from l3 group by graph_id"
 
 
+def _grid_h(df: DataFrame, array: str, ids: list[str]) -> DataFrame:
+    return df.select(*ids, *[grid(F.col(array)[i], 6).alias(n) for i, n in enumerate(_H)])
+
+
 @query("project_features", over("v_nodes", f"select graph_id, node_id, {_ROUND_H} from l0", l0=_PROJECT))
 def project_features(spark: SparkSession, folder: str) -> DataFrame:
-    return _spread(_projected(spark, folder), "h", ["graph_id", "node_id"], _H)
+    return _grid_h(_projected(spark, folder), "h", ["graph_id", "node_id"])
 
 
 def _embedded_nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,12 +184,12 @@ def _embedded_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("gnn_forward", over("v_nodes v_edges", f"select graph_id, node_id, {_ROUND_H} from l3", **_LAYERS))
 def gnn_forward(spark: SparkSession, folder: str) -> DataFrame:
-    return _spread(_embedded_nodes(spark, folder), "h", ["graph_id", "node_id"], _H)
+    return _grid_h(_embedded_nodes(spark, folder), "h", ["graph_id", "node_id"])
 
 
 @query("graph_embedding", over("v_nodes v_edges", f"select graph_id, {_ROUND_H} from emb", **_LAYERS, emb=_EMBED))
 def graph_embedding(spark: SparkSession, folder: str) -> DataFrame:
-    return _spread(g.graph_embedding(_embedded_nodes(spark, folder), WIDTH), "embedding", ["graph_id"], _H)
+    return _grid_h(g.graph_embedding(_embedded_nodes(spark, folder), WIDTH), "embedding", ["graph_id"])
 
 
 @query("graph_score", over(

@@ -119,3 +119,19 @@ def test_no_local_scratch_on_a_cluster(master):
         session.scratch_root(fake)
     fake.sparkContext.getCheckpointDir = lambda: "shared:/folder"
     assert session.scratch_root(fake) == "shared:/folder"
+
+
+@pytest.mark.parametrize("n", [20_000, 80_000])
+def test_quantiles_of_two_piles_stay_bounded(spark, monkeypatch, n):
+    from telewarden.functions import quantiles
+
+    held = []
+    select = quantiles._select
+    monkeypatch.setattr(quantiles, "_select", lambda df, brackets: held.extend(b.inside for b in brackets if not b.single()) or select(df, brackets))
+    x = F.when(F.col("id") % 1000 == 0, F.rand(1) * 0.8 + 0.1).otherwise((F.col("id") % 2).cast("double"))
+    df = spark.range(n).select(x.alias("x")).cache()
+    values = np.array([r.x for r in df.collect()])
+    probs = [0.1, 0.4995, 0.5, 0.5004, 0.9]
+    got = quantiles.exact_quantiles(df, ["x"], probs, in_memory=100)["x"]
+    assert got == pytest.approx(list(np.quantile(values, probs)))
+    assert all(k <= 100 for k in held)
