@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from telewarden import schemas
 from telewarden.functions.ordered import with_position
 from telewarden.functions.skew import lookup_join
+from telewarden.session import cut_lineage
 
 
 def event_time(text: Column, default: Column) -> Column:
@@ -111,12 +112,14 @@ def modulo_pair(audit: DataFrame, metrics: DataFrame, *, audit_order: Sequence[s
     """Audit row ``i`` beside metric row ``i % n``; columns of ``metrics`` must be distinct from ``audit``'s.
 
     Both orders start with a time column. Positions come from bucket totals, so
-    no side is sorted in one task; the modulo spreads the join keys evenly.
+    no side is sorted in one task. The metric rows are stored once, as their count, their positions and the join all need them; few of them are broadcast,
+    else slots that many audit rows share are salted.
     """
+    metrics = cut_lineage(metrics, "metrics")
     left = with_position(audit, [], audit_order, audit_order[0], name="_i")
-    right = with_position(metrics, [], metric_order, metric_order[0], name="_slot")
-    n = metrics.agg(F.count(F.lit(1))).scalar()
-    return left.withColumn("_slot", F.col("_i") % n).join(right, "_slot").drop("_slot", "_i")
+    right = cut_lineage(with_position(metrics, [], metric_order, metric_order[0], name="_slot"), "slots")
+    n = metrics.count()
+    return lookup_join(left.withColumn("_slot", F.col("_i") % F.lit(max(n, 1))), right, ["_slot"]).drop("_slot", "_i")
 
 
 def enrich_metadata(records: DataFrame, pods: DataFrame, on: str = "node_name") -> DataFrame:

@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telewarden import schemas
 from telewarden.operators import autoencoder, iforest, sequences
 from telewarden.operators import graph as g
-from telewarden.operators.ensemble import detect, fuse_scores
+from telewarden.operators.ensemble import SCORE_COLUMNS, detect, fuse_scores
 from telewarden.operators.features import feature_vector
 from telewarden.plans import models as m
 from telewarden.plans import views
@@ -228,13 +229,20 @@ def _window_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return cut_lineage(scaled_windows(views.telemetry(spark, folder), length="6 hours"))
 
 
-@query("ensemble_predict")
+@query("ensemble_predict", over("v_features", "select timestamp, node_name, true as in_range, true as fused, true as flagged from stats", stats=window_sql("6 hours", 21600)))
 def ensemble_predict(spark: SparkSession, folder: str) -> DataFrame:
-    """Three scores and the fused one from a feature vector per (node, window)."""
+    """Whether each (node, window) has three scores from 0 to 1, their weighted sum and the flag that follows from it."""
     windows = _window_vectors(spark, folder)
     trained = m.train_all(windows, id_col="window_id")
     scored = detect(fuse_scores(m.score_vectors(windows, trained)))
-    return rounded_all(scored.select("timestamp", "node_name", "s_lstm", "s_if", "s_gnn", "score", "is_anomaly"))
+    parts = {SCORE_COLUMNS[model]: w for model, w in schemas.ENSEMBLE_WEIGHTS.items()}
+    total = sum((F.col(c) * F.lit(w) for c, w in parts.items()), F.lit(0.0))
+    in_range = F.forall(F.array(*parts), lambda s: s.between(0, 1))
+    return scored.select(
+        "timestamp", "node_name", F.coalesce(in_range, F.lit(False)).alias("in_range"),
+        F.coalesce(F.abs(F.col("score") - total) < 1e-9, F.lit(False)).alias("fused"),
+        F.coalesce(F.col("is_anomaly") == (F.col("score") >= schemas.DEFAULT_THRESHOLD), F.lit(False)).alias("flagged"),
+    )
 
 
 @query("model_roundtrip", over("v_features", "select timestamp, node_name, true as equal from stats", stats=window_sql("6 hours", 21600)))

@@ -71,7 +71,7 @@ def parse_telemetry(spark: SparkSession, folder: str) -> DataFrame:
        node_name, cpu_usage, memory_usage, process_count from v_telemetry t join v_audit a using (event_id)""",
 ))
 def flatten_telemetry(spark: SparkSession, folder: str) -> DataFrame:
-    both = views.telemetry(spark, folder).drop("action", "user_name").join(views.audit(spark, folder).drop("ts"), "event_id")
+    both = views.telemetry_with_audit(spark, folder)
     nested = both.select(
         "event_id",
         F.struct(F.col("ts").alias("timestamp"), "user_name", "action", "resource", "namespace", "status_code").alias("audit_log"),
@@ -87,7 +87,7 @@ def flatten_telemetry(spark: SparkSession, folder: str) -> DataFrame:
        'memory_usage': memory_usage, 'process_count': process_count}}) as value from v_telemetry t join v_audit a using (event_id)""",
 ))
 def telemetry_json(spark: SparkSession, folder: str) -> DataFrame:
-    both = views.telemetry(spark, folder).drop("action", "user_name").join(views.audit(spark, folder).drop("ts"), "event_id")
+    both = views.telemetry_with_audit(spark, folder)
     audit = F.struct("event_id", "user_name", "action", "resource", "namespace")
     metrics = F.struct(millis().alias("timestamp"), "node_name", "cpu_usage", "memory_usage", "process_count")
     return both.select("event_id", writers.telemetry_json(audit, metrics).alias("value"))

@@ -28,6 +28,10 @@ def _pick(number: Column, values: Sequence, otherwise) -> Column:
     return F.coalesce(*[F.when(number == i, F.lit(v)) for i, v in enumerate(values)], F.lit(otherwise))
 
 
+def _metric_columns() -> list[Column]:
+    return [F.col("value").alias("cpu_usage"), _k().alias("memory_usage"), (F.col("event_id") % 200).cast("int").alias("process_count")]
+
+
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).select(
         "event_id",
@@ -35,12 +39,15 @@ def telemetry(spark: SparkSession, folder: str) -> DataFrame:
         _node().alias("node_name"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("user_name"),
         F.col("event_type").alias("action"),
-        F.col("value").alias("cpu_usage"),
-        _k().alias("memory_usage"),
-        (F.col("event_id") % 200).cast("int").alias("process_count"),
+        *_metric_columns(),
     )
 
 
+def telemetry_with_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics and the audit log of each event, in one projection."""
+    return events(spark, folder).select("event_id", "ts", _node().alias("node_name"), *_metric_columns(), *_audit_columns())
+
+
 def dirty(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).select(
         "event_id",
