@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Iterator
 
 #: Remembered pieces and words of a worker; beyond that it starts afresh, so memory stays bounded.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 #: Longer texts are cut into segments of about this many characters.
 SEGMENT_CHARS = 1 << 20
 #: Texts handed over at once, in characters.
@@ -25,6 +25,11 @@ _RARE_SPACE = re.compile("[" + "".join(map(chr, _RARE_CODES)) + "]")
 _LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 # Runs that no tokenizer word spans: Latin letters (not the one whose lower case is two characters), one digit run, plain punctuation (no apostrophe), one line feed.
 _RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+| ?[0-9]+| ?[.,;:!?$%&#*()\"|+=@/_-]+|\n")
+# Texts of nothing but such runs and single blanks or line feeds between them are cut into runs at once. The lower case of these
+# letters is among them, too.
+_RUN_CLASS = r"[A-Za-zÀ-ÖØ-öø-įı-ž0-9.,;:!?$%&#*()\"|+=@/_-]"
+_PLAIN = re.compile(rf" ?{_RUN_CLASS}++(?:[ \n]{_RUN_CLASS}++)*+")
+_BLANK_RUNS = re.compile(r"[a-zß-öø-įı-ž]+|[0-9]|[.,;:!?$%&#*()\"|+=@/_-]+")
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
 _encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
@@ -96,16 +101,23 @@ class PieceEncoder:
         if len(self._words) > self._remembered:
             self._words.clear()
         out = []
-        split = [[self._split(s) for s in segments(t)] for t in texts]
-        self._learn({p for parts in split for pieces in parts for p in pieces}.difference(self._pieces))
-        get = self._pieces.__getitem__
-        for parts in split:
+        parts = [[self._parts(s) for s in segments(t)] for t in texts]
+        self._learn_words({w for own in parts for plain, words in own if plain for w in words}.difference(self._words))
+        self._learn({p for own in parts for plain, pieces in own if not plain for p in pieces}.difference(self._pieces))
+        words, pieces = self._words.__getitem__, self._pieces.__getitem__
+        for own in parts:
             if self._lengths_only:
-                out.append(sum(sum(map(get, pieces)) for pieces in parts))
+                out.append(sum(sum(map(words if plain else pieces, found)) for plain, found in own))
             else:
-                out.append(b"".join(b"".join(map(get, pieces)) for pieces in parts))
+                out.append(b"".join(b"".join(map(words if plain else pieces, found)) for plain, found in own))
         return out
 
+    def _parts(self, text: str) -> tuple[bool, list[str]]:
+        """Runs of a plain text, each a word of its own to the tokenizer, or else pieces."""
+        if not _PLAIN.fullmatch(text):
+            return False, self._split(text)
+        return True, _RUNS.findall(text) if self._spaces_kept else _BLANK_RUNS.findall(text.lower())
+
     def _split(self, text: str) -> list[str]:
         if not self._spaces_kept:
             return text.replace("\n", " ").split(" ")
@@ -128,7 +140,12 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         runs = {p: self._runs(p) for p in pieces}
-        words = {r for rs in runs.values() for r in rs}.difference(self._words)
+        self._learn_words({r for rs in runs.values() for r in rs}.difference(self._words))
+        get = self._words.__getitem__
+        for piece, own in runs.items():
+            self._pieces[piece] = get(own[0]) if len(own) == 1 else sum(map(get, own)) if self._lengths_only else b"".join(map(get, own))
+
+    def _learn_words(self, words: set[str]) -> None:
         plain = [w for w in words if _LETTERS.fullmatch(w)]
         others = list(words.difference(plain))
         model, table = self._tokenizer.model.tokenize, self._byte_letters
@@ -136,6 +153,3 @@ class PieceEncoder:
         ids += [x.ids for x in self._tokenizer.encode_batch(others, add_special_tokens=False)]
         values = map(len, ids) if self._lengths_only else (array("I", x).tobytes() for x in ids)
         self._words.update(zip(plain + others, values, strict=True))
-        get = self._words.__getitem__
-        for piece, own in runs.items():
-            self._pieces[piece] = get(own[0]) if len(own) == 1 else sum(map(get, own)) if self._lengths_only else b"".join(map(get, own))
