@@ -239,6 +239,12 @@ def _count(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return sample.select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
+def _fetched(counts: DataFrame) -> dict[str, int]:
+    """Counts of a sample's entries, by Arrow, which takes a fraction of the memory of rows."""
+    table = counts.toArrow()
+    return dict(zip(table.column("entry").to_pylist(), table.column("n").to_pylist(), strict=True))
+
+
 def choose_entries(inside: dict[str, int], outside: dict[str, int], toxic: int, clean: int) -> tuple[list[tuple[str, bool]], np.ndarray]:
     """Entries with their log odds, by texts that hold them, from counts by ``=term`` and ``^stem``."""
 
@@ -306,8 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_docs: int =
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
     texts = cut_lineage(texts.select("text", "toxic").distinct(), "labelled")  # copies of a text say nothing new
     drawn_sizes = {1: 0, 0: 0} | {int(r["toxic"]): r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    inside = {r["entry"]: r["n"] for r in _count(texts.where("toxic = 1"), None).where(F.col("n") >= LEAST_DOCS).collect()}
-    outside = {r["entry"]: r["n"] for r in _count(texts.where("toxic = 0"), frozenset(inside)).collect()}
+    inside = _fetched(_count(texts.where("toxic = 1"), None).where(F.col("n") >= LEAST_DOCS))
+    outside = _fetched(_count(texts.where("toxic = 0"), frozenset(inside)))
     entries, weights = choose_entries(inside, outside, drawn_sizes[1], drawn_sizes[0]) if min(drawn_sizes.values()) else ([], np.zeros(0))
     model = ToxicityModel(entries, weights, np.zeros(len(FEATURES) + 1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
