@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from telewarden import schemas
 
 
+#: Windows of one node that a row of its calendar stands for until it is written out.
+CALENDAR_SLOTS = 1_440
+
+
 def output_slots(cols: Sequence[str], width: int | None = None) -> list[tuple[str, str | None]]:
     """What each output slot holds: ``('mean'|'var', column)``, or no column for padding.
 
@@ -88,9 +92,14 @@ def window_end_ms(window: Column) -> Column:
 
 
 def fill_gaps(stats: DataFrame, *, length_ms: int, width: int, key: str = "node_name") -> DataFrame:
-    """Add a zero vector for every window a node has no row for, between its first and last one."""
+    """Add a zero vector for every window a node has no row for, between its first and last one.
+
+    A node's calendar is first cut into parts of ``CALENDAR_SLOTS`` windows, which are dealt out before they are written out.
+    """
+    step, part = F.lit(length_ms).cast("long"), F.lit(length_ms * CALENDAR_SLOTS).cast("long")
     spans = stats.groupBy(key).agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
-    calendar = spans.select(key, F.explode(F.sequence("lo", "hi", F.lit(length_ms).cast("long"))).alias("timestamp"))
+    parts = spans.select(key, "hi", F.explode(F.sequence("lo", "hi", part)).alias("begin")).repartition(key, "begin")
+    calendar = parts.select(key, F.explode(F.sequence("begin", F.least("hi", F.col("begin") + part - step), step)).alias("timestamp"))
     return calendar.join(stats, [key, "timestamp"], "left").select(
         "timestamp",
         key,

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from telewarden import schemas
 from telewarden.operators.ensemble import detect, fuse_scores
@@ -96,6 +96,29 @@ def use_rocksdb(spark: SparkSession) -> None:
     )
 
 
+class LateRows(StreamingQueryListener):
+    """Rows dropped behind the watermark by each query of a session, over all its batches: ``total[query.id]``.
+
+    Register it with ``spark.streams.addListener`` before the query starts; a query's own progress keeps recent batches only.
+    """
+
+    def __init__(self) -> None:
+        self.total: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.total.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.total[str(event.progress.id)] = self.total.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def dropped_late(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark over the query's recent batches."""
+    """Rows dropped behind the watermark over the query's recent batches; ``LateRows`` counts all of them."""
     return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])

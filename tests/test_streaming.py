@@ -58,10 +58,15 @@ def test_edges_and_late_rows(spark):
         [event(7, 700)],
         [event(5, 10), event(6, 1200)],  # rows are late against the watermark of the batch before
     )
+    counter = jobs.LateRows()
+    spark.streams.addListener(counter)
     got, query = run(spark, jobs.feature_windows(stream), "late")
     rows = {(r.timestamp - 1704067200000) // 1000: (r.window_size, r.features[0]) for r in got.collect()}
     assert rows == {60: (2, 3.0), 120: (1, 1.0), 660: (1, 1.0), 720: (1, 1.0)}
     assert jobs.dropped_late(query) == 1
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(counter)
+    assert counter.total[str(query.id)] == 1
 
 
 def test_runs_continue_across_batches(spark):

@@ -87,7 +87,9 @@ def test_window_slot_rule(spark):
     assert out[0].features[:2] == [2.0, 6.0] and out[0].features[37:39] == [1.0, 1.0] and len(out[0].features) == 73
 
 
-def test_gap_fill(spark):
+@pytest.mark.parametrize("slots", [1, 2, 1440])
+def test_gap_fill(spark, monkeypatch, slots):
+    monkeypatch.setattr(windows, "CALENDAR_SLOTS", slots)
     stats = spark.createDataFrame([(0, "a", 2, [1.0, 2.0]), (180_000, "a", 1, [3.0, 4.0]), (60_000, "b", 1, [5.0, 6.0])], schemas.FEATURE_WINDOW)
     rows = windows.fill_gaps(stats, length_ms=60_000, width=2).orderBy("node_name", "timestamp").collect()
     assert [(r.node_name, r.timestamp, r.window_size) for r in rows] == [("a", 0, 2), ("a", 60_000, 0), ("a", 120_000, 0), ("a", 180_000, 1), ("b", 60_000, 1)]
