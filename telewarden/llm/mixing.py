@@ -1,8 +1,8 @@
 """Mixing of sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Sources get whole blocks by highest quotients, and the blocks of a source are apportioned to its shards the same way. A
-source's documents in a shard, in seeded order, form a stream that is cut into blocks; seeded blocks are taken until
-the shard's quota is met, a full pass over the stream before any second one.
+Sources get whole blocks by highest quotients, and the blocks of a source are apportioned to its shards the same way; words
+above a shard's most go to the source's other shards. A source's documents in a shard, in seeded order, form a stream that is
+cut into blocks; seeded blocks are taken until the shard's quota is met, a full pass over the stream before any second one.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from telewarden.session import cut_lineage
 
 #: Words of a block.
 BLOCK_WORDS = 64
-#: Documents a shard should have, and the most shards; a group holds one source's documents of a shard.
+#: Documents a shard should have, and the most shards of a source; each source has its own shards.
 SHARD_DOCS, MAX_SHARDS = 1_000, 4_096
 #: A source's target is at most so many times its size, and so is what is taken of a document.
 MOST_REPEATS = 3
@@ -28,11 +28,11 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_table(sized: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """``source, source_size, source_no, weight``: sources numbered from 0 in code point order, null last.
+    """``source, source_size, source_docs, source_no, weight``: sources numbered from 0 in code point order, null last.
 
     Sources are cut into ranges, numbered inside each, and the ranges' counts are added up, so no task sees all of them.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     ranged = cut_lineage(totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
     counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
@@ -41,7 +41,7 @@ def source_table(sized: DataFrame, weights: Sequence[float]) -> DataFrame:
     numbered = ranged.withColumn("no", F.row_number().over(inside) - 1).join(F.broadcast(before), "part")
     number = F.col("no") + F.col("before")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights) + 1).cast("int"))
-    return numbered.select("source", "source_size", number.alias("source_no"), weight.alias("weight"))
+    return numbered.select("source", "source_size", "source_docs", number.alias("source_no"), weight.alias("weight"))
 
 
 def with_targets(sources: DataFrame, most_repeats: int) -> DataFrame:
@@ -96,6 +96,27 @@ def apportion_shards(shards: DataFrame) -> DataFrame:
     return seats.withColumn("place", place).groupBy("source_no", "shard").agg((F.first("sure") + F.sum(won)).alias("blocks"))
 
 
+def shard_words(quotas: DataFrame, block_words: int, most_repeats: int) -> DataFrame:
+    """Add ``words`` to ``source_no, shard, shard_size, source_size, source_blocks, blocks``: the words wanted of each shard.
+
+    No shard gives more than ``most_repeats`` times its words. What is above goes to the source's other shards in proportion to
+    what they can still give, so a source's words are those of its blocks unless the whole source has fewer.
+    """
+    quotas = quotas.withColumn("own", F.least(F.col("blocks") * block_words, F.col("shard_size") * most_repeats).cast("long"))
+    quotas = quotas.withColumn("room", F.col("shard_size") * most_repeats - F.col("own"))
+    source = Window.partitionBy("source_no")
+    upto = source.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = F.least(F.col("source_blocks") * block_words, F.col("source_size") * most_repeats).cast("long")
+    quotas = quotas.withColumns({"over": wanted - F.sum("own").over(source), "all_room": F.sum("room").over(source), "room_upto": F.sum("room").over(upto)})
+
+    def dealt(room: str) -> Column:  # exact: the product may exceed a long, and `over` is at most `all_room`
+        share = F.expr(f"cast(over as decimal(19, 0)) * cast({room} as decimal(19, 0)) div cast(all_room as decimal(19, 0))")
+        return F.when(F.col("over") > 0, share).otherwise(F.lit(0)).cast("long")
+
+    words = F.col("own") + dealt("room_upto") - dealt("room_upto - room")
+    return quotas.withColumn("words", words).drop("own", "room", "over", "all_room", "room_upto")
+
+
 def _taken(block_words: int, seed: int) -> Column:
     """Words taken of a document at ``start`` of a stream of ``shard_size`` words of which ``words`` are wanted."""
     size, stream, wanted = F.col("size"), F.col("shard_size"), F.col("words")
@@ -136,29 +157,28 @@ def mix(
 
     Sizes are words of the whole text; a null text has none and nothing of it is taken. A null source is a source of its
     own, the last one. Equal documents of one id lie side by side in a stream and are taken like others. An empty
-    table gives an empty one; columns that are not needed are not read. A source's taken words differ
-    from its target by half a block, and by what rounding to its cap leaves of each shard's last block. Which blocks
-    are taken depends on the ids, the texts and the seed only.
+    table gives an empty one; columns that are not needed are not read. A source's taken words are those of
+    its blocks, so they differ from its target by half a block or so, whatever the number of its shards and the size of the
+    table. Which blocks are taken depends on the ids, the texts and the seed only.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
     kept = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("tie")]
     sized = cut_lineage(docs.select(*kept), "sizes")
-    shard_count = min(MAX_SHARDS, max(1, -(-sized.count() // SHARD_DOCS)))
-    shard = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed), F.lit("shard")), F.lit(shard_count)).alias("shard")
     sources = cut_lineage(apportion_sources(with_targets(source_table(sized, weights), most_repeats), block_words), "quotas")
-    groups = sized.groupBy("source", shard).agg(F.sum("size").alias("shard_size"))
-    facts = sources.select(F.col("source").alias("own"), "source_no", "source_size", "target", F.col("blocks").alias("source_blocks"))
+    shard_count = F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_docs") / SHARD_DOCS)).cast("long")
+    facts = sources.select(F.col("source").alias("own"), "source_no", "source_size", "target", F.col("blocks").alias("source_blocks"), shard_count.alias("shard_count"))
     same = F.col("source").eqNullSafe(F.col("own"))
-    held = groups.join(facts, same).drop("own", "source")
+    shard = F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed), F.lit("shard")), F.col("shard_count")).alias("shard")
+    groups = sized.join(facts.select("own", "source_no", "shard_count"), same).groupBy("source_no", shard).agg(F.sum("size").alias("shard_size"))
+    held = groups.join(facts.select("source_no", "source_size", "source_blocks"), "source_no")
     held = held.withColumn("source_shards", F.count(F.lit(1)).over(Window.partitionBy("source_no")))
-    quotas = apportion_shards(held).withColumnRenamed("source_no", "q_source").withColumnRenamed("shard", "q_shard")
-    wanted = held.join(quotas, (F.col("source_no") == F.col("q_source")) & (F.col("shard") == F.col("q_shard"))).select(
-        F.col("source_no").alias("q_source"), F.col("shard").alias("q_shard"), "shard_size",
-        F.least(F.col("blocks") * block_words, F.col("shard_size") * most_repeats).alias("words"),
+    quotas = held.join(apportion_shards(held), ["source_no", "shard"])
+    wanted = shard_words(quotas, block_words, most_repeats).select(
+        F.col("source_no").alias("q_source"), F.col("shard").alias("q_shard"), "shard_size", "words"
     )
     wanted = cut_lineage(wanted, "shard-quotas")
     rows = sized if row is None else docs.select(*kept, row.alias("row"))
-    placed = rows.select("*", shard).join(facts.drop("source_blocks"), same).drop("own", "source")
+    placed = rows.join(facts.drop("source_blocks"), same).withColumn("shard", shard).drop("own", "source", "shard_count")
     stream = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "tie")
     start = F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     joined = placed.withColumn("start", start).join(wanted, (F.col("source_no") == F.col("q_source")) & (F.col("shard") == F.col("q_shard")))

@@ -190,6 +190,35 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_docs", [10, 1])
+def test_small_source_of_a_large_table_meets_its_target(spark, monkeypatch, shard_docs):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", shard_docs)
+    small = F.col("id") < 1000
+    docs = spark.range(41_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(small, 10).otherwise(1)).alias("text"), F.when(small, "b").otherwise("a").alias("source")
+    )
+    for weights, repeats in (((1.0, 0.42), 1.5), ((1.0, 9.0), 3.0)):
+        rows = mixing.mix(docs, weights=weights).where("doc_id < 1000").select("size", "source_size", "target", "taken").collect()
+        target = rows[0]["target"]
+        assert target == pytest.approx(repeats * 10_000, rel=0.02) and rows[0]["source_size"] == 10_000
+        assert abs(sum(r["taken"] for r in rows) - target) <= 33
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+
+
+def test_words_above_a_shards_most_go_to_the_others(spark):
+    rng = random.Random(12)
+    for seats, factor in ((40, 1), (900, 1), (10**6, 10**7)):
+        sizes = [rng.choice([0, 1, 3, 20, 700]) * factor for _ in range(60)]
+        blocks = [0] * 60
+        for _ in range(60):
+            blocks[rng.randrange(60)] += seats // 60 * factor
+        rows = [(5, k, n, sum(sizes), sum(blocks), b) for k, (n, b) in enumerate(zip(sizes, blocks, strict=True))]
+        df = spark.createDataFrame(rows, "source_no long, shard long, shard_size long, source_size long, source_blocks long, blocks long")
+        words = {r["shard"]: r["words"] for r in mixing.shard_words(df.repartition(4), 64, 3).collect()}
+        assert sum(words.values()) == min(sum(blocks) * 64, 3 * sum(sizes))
+        assert all(min(blocks[k] * 64, 3 * sizes[k]) <= w <= 3 * sizes[k] for k, w in words.items())
+
+
 def test_lookup_table():
     names = [f"s{k}" for k in range(7)]
     table = sharding.lookup_table(names, 1009)
