@@ -16,7 +16,7 @@ from telewarden.session import cut_lineage
 
 #: A text is taken to be in no known language if its best one has less than this share of its n-grams.
 LEAST_LANGUAGE_SCORE = 0.2
-#: Seed of the mix's choice between the copies next to what it takes of a document.
+#: Seed of the mix and of the order in which its copies are rounded.
 MIX_SEED = 7
 
 
@@ -57,11 +57,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes its words, rounded up or down by a seeded draw of that chance."""
-    mixed = mixing.mix(docs, seed=MIX_SEED, row=_whole_row(docs))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(MIX_SEED), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(F.lit(0)).cast("int")
-    return _rows(mixed.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    """Each document comes as often as the mix takes its words, rounded up or down along its source's streams."""
+    mixed = mixing.whole_copies(mixing.mix(docs, seed=MIX_SEED, row=_whole_row(docs)), MIX_SEED)
+    return _rows(mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +75,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can't state these stages; tests/llm compares them with brute force.
+#: SQL can't state these stages; tests/llm compares their operators and the mix's copies with brute force.
 ORACLE_SQL = None
 
 

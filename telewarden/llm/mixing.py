@@ -24,6 +24,8 @@ MOST_REPEATS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Multipliers of the block order; a multiplier must have no factor in common with the number of blocks.
 _MULTIPLIERS = (1_000_003, 1_000_033, 1_000_037, 1_000_039)
+#: Units of a copy in running sums, and the step of the offsets from stream to stream, the golden section of it.
+_UNIT, _SPREAD = 1 << 30, 663_608_941
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -153,7 +155,8 @@ def mix(
     block_words: int = BLOCK_WORDS,
     row: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each row of ``docs``, with ``row`` beside them if given.
+    """``doc_id, size, source_size, target, taken`` for each row of ``docs``, with ``row``, and ``source_no, shard, tie`` of its
+    stream, beside them if given.
 
     Sizes are words of the whole text; a null text has none and nothing of it is taken. A null source is a source of its
     own, the last one. Equal documents of one id lie side by side in a stream and are taken like others. An empty
@@ -184,4 +187,19 @@ def mix(
     joined = placed.withColumn("start", start).join(wanted, (F.col("source_no") == F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     plan, taken = _taken(block_words, seed)
     out = ["doc_id", "size", "source_size", "target", "taken"]
-    return joined.withColumn("plan", plan).withColumn("taken", taken).select(*out, *([] if row is None else ["row"]))
+    return joined.withColumn("plan", plan).withColumn("taken", taken).select(*out, *([] if row is None else ["row", "source_no", "shard", "tie"]))
+
+
+def whole_copies(mixed: DataFrame, seed: int) -> DataFrame:
+    """Add ``copies`` to what ``mix`` gives beside a ``row``: ``taken / size`` of each document, rounded up or down along its stream.
+
+    From the longest document down, copies are the whole numbers that the running sum of shares passes, so a stream's words differ
+    from what is taken of it by less than its longest document, and by half of it at most in a source of one stream. The sums start
+    at evenly spread offsets in a source's streams, so that these differences cancel. Sums are exact, in units of 2^-30.
+    """
+    stream = Window.partitionBy("source_no", "shard").orderBy(F.col("size").desc(), F.xxhash64("doc_id", F.lit(seed), F.lit("copies")), "doc_id", "tie")
+    share = F.when(F.col("size") > 0, F.expr(f"taken * {_UNIT}L div size")).otherwise(F.lit(0))
+    offset = F.pmod(F.lit(_UNIT // 2) + F.col("shard") * _SPREAD, F.lit(_UNIT))
+    upto = mixed.withColumn("share", share).withColumn("upto", F.sum("share").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    copies = F.shiftright(F.col("upto") + offset, 30) - F.shiftright(F.col("upto") - F.col("share") + offset, 30)
+    return upto.withColumn("copies", copies.cast("int")).drop("share", "upto")

@@ -339,6 +339,30 @@ def test_pipeline_stages(spark, folder, copied):
     assert {(r["doc_id"], r["text"]) for r in mixed} <= texts and max(Counter((r["doc_id"], r["text"]) for r in mixed).values()) <= 9
 
 
+def test_copies_of_uneven_texts_meet_what_the_mix_takes(spark, folder):
+    rng = random.Random(13)
+    rows = []
+    for s in range(40):
+        for size in [rng.randint(4000, 9000), *rng.sample(range(1, 60), 25)]:
+            rows.append((len(rows), "w " * size, "xx", f"s{s:02}"))
+    rows += [(len(rows), "", "xx", "s00"), (len(rows) + 1, None, "xx", "s01")]
+    docs = docs_of(spark, rows)
+    source_of, size_of = {r[0]: r[3] for r in rows}, {r[0]: len((r[1] or "").split()) for r in rows}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, seed=corpus_pipeline.MIX_SEED).collect()}
+    want, words, target = Counter(), Counter(), Counter()
+    for s in sorted(set(source_of.values())):  # one stream per source
+        upto = 1 << 29
+        for k in sorted((k for k in taken if source_of[k] == s and size_of[k]), key=lambda k: -size_of[k]):
+            before, upto = upto, upto + (taken[k] << 30) // size_of[k]
+            want[k] = (upto >> 30) - (before >> 30)
+            words[s], target[s] = words[s] + want[k] * size_of[k], target[s] + taken[k]
+    got = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, folder).select("doc_id").collect())
+    for s in target:
+        out = sum(n * size_of[k] for k, n in got.items() if source_of[k] == s)
+        assert abs(out - target[s]) <= 0.5 * max(n for k, n in size_of.items() if source_of[k] == s) + 1, s
+    assert got == +want and words == Counter({s: sum(n * size_of[k] for k, n in got.items() if source_of[k] == s) for s in target})
+
+
 def test_pipeline_runs(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     total, sequences = sum(r["length"] for r in rows), {r["sequence_id"] for r in rows}
