@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, sampling, sharding, token_counts, token_files, topk_search, toxicity
+from telewarden.llm import collocations, embedding_dedup, language_id, minhash_dedup, mixing, packing, sampling, sharding, spelling, token_counts, token_files, topk_search, toxicity
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,8 @@ PACKED_END_ID = 0
 LANGUAGE_FOLDS, HELD_LANGUAGE_FOLD = 4, 2
 #: The same for toxicity.
 TOXICITY_FOLDS, HELD_TOXICITY_FOLD = 5, 0
+#: One in so many (document, run) pairs loses a letter before spelling variants are sought.
+DAMAGED_SHARE = 97
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -128,3 +130,71 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Component of near copies of every document, and whether it stays."""
     return minhash_dedup.near_duplicates(table(spark, folder, "documents")).drop("key")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text of code points up to 255, half a byte at a time."""
+    steps = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        steps.append(str(c))
+    byte = "case when u < 128 then [u & 15, u >> 4] else [(192 + (u >> 6)) & 15, (192 + (u >> 6)) >> 4, (128 + (u & 63)) & 15, (128 + (u & 63)) >> 4] end"
+    halves = f"flatten([{byte} for u in [unicode(c)::bigint for c in string_split({text}, '')]])"
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, {halves}),
+        lambda c, h: xor(c >> 4, [{", ".join(steps)}][(xor(c, h) & 15) + 1]::bigint)), 4294967295::bigint)"""
+
+
+@query(
+    "op11_spelling_variants",
+    f"""with recursive runs as (select cast(doc_id as varchar) as id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents),
+        low as (select id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') as run from runs),
+        once as (select id, run, count(*) as c from low group by id, run),
+        hashed as (select *, {_crc32_sql("concat(id, ':', run)")} as h from once),
+        damaged as (select c, case when h % {DAMAGED_SHARE} <> 0 then run
+            else concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) end as word from hashed),
+        words as (select word, cast(sum(c) as bigint) as n from damaged where length(word) >= 5 group by word having sum(c) >= 3),
+        holes as (select word, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) as rest
+            from (select word, unnest(range(1, length(word) + 1)) as i from words) p),
+        near as (select a.word, b.word as other from holes a join holes b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+            union select h.word, w.word from holes h join words w on h.rest = w.word
+            union select w.word, h.word from holes h join words w on h.rest = w.word),
+        best as (select near.word, count(*) as n_near, first(struct_pack(form := o.word, n := o.n) order by o.n desc, o.word) as b
+            from near join words o on near.other = o.word group by near.word),
+        formed as (select words.word, words.n, coalesce(n_near, 0) as n_near, case when b.n >= 2 * words.n then b.form end as form,
+            case when b.n >= 2 * words.n then b.n end as form_n from words left join best on words.word = best.word),
+        steps as (select word, word as here, 0 as depth from formed
+            union all select s.word, f.form, depth + 1 from steps s join formed f on s.here = f.word where f.form is not null)
+        select f.word, n, n_near, form, form_n, root from formed f
+        join (select word, arg_max(here, depth) as root from steps group by word) r on f.word = r.word""",
+)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Near words, form and root of every word of the documents, after one letter in some of the runs was lost."""
+    runs = spelling.letter_runs(table(spark, folder, "documents"))
+    return spelling.group_variants(spelling.vocabulary(spelling.plant_deletions(runs, DAMAGED_SHARE)))
+
+
+@query(
+    "op12_phrase_collocations",
+    rf"""with pieces as (select coalesce(lang, 'und') as lang,
+            unnest(string_split_regex(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '{collocations.PIECE_ENDS}')) as piece from documents),
+        cut as (select lang, regexp_extract_all(piece, '[^ \x09]+') as w from pieces),
+        spans as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from (select lang, w, unnest(range(1, 5)) as k from cut) s where len(w) >= k),
+        f as (select lang, k, w[i:i + k - 1] as p, count(*) as a from spans group by all),
+        totals as (select lang, sum(len(w)) as n from cut group by lang),
+        c as (select * from f where k >= 2 and a >= 30),
+        cuts as (select lang, p, k, a, unnest(range(1, k)) as j from c),
+        scores as (select cuts.*, x.a as l, y.a as r, (2000000::hugeint * cuts.a) // (x.a + y.a) as score from cuts
+            join f x on x.lang = cuts.lang and x.p = cuts.p[1:j] join f y on y.lang = cuts.lang and y.p = cuts.p[j + 1:]),
+        least_cut as (select lang, p, first(struct_pack(a := a, l := l, r := r, score := score) order by score, j) as s from scores group by lang, p),
+        sizes as (select lang, p, a, k, unnest(range(2, k)) as m from c where k > 2),
+        inner_spans as (select lang, p, a, m, unnest(range(1, k - m + 2)) as i from sizes),
+        held as (select lang, p[i:i + m - 1] as p, max(a) as held from inner_spans group by all),
+        kept as (select o.lang, array_to_string(o.p, ' ') as phrase, s.a as a, s.l as l, s.r as r, cast(s.score as bigint) as score from least_cut o
+            left join held h on h.lang = o.lang and h.p = o.p where h.held is null or 100 * h.held < 80 * s.a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select ranked.lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked join totals on ranked.lang = totals.lang where rank <= 2000""",
+)
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of two to four words per language."""
+    return collocations.collocations(table(spark, folder, "documents"))
