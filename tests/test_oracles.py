@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import pandas
 import pytest
 
 import __spark_entry__ as entry_point
@@ -22,7 +23,7 @@ def duck(folder):
 
 
 def cell(v):
-    if v is None or v != v:
+    if v is None or v is pandas.NA or v != v:
         return (0, "")
     if hasattr(v, "item"):
         v = v.item()
