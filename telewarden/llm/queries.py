@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.llm import collocations, embedding_dedup, language_id, minhash_dedup, mixing, packing, sampling, sharding, spelling, token_counts, token_files, topk_search, toxicity
+from telewarden.llm import collocations, curve_packing, embedding_dedup, language_id, minhash_dedup, mixing, packing, sampling, sharding, spelling, token_counts, token_files, topk_search, toxicity
 from telewarden.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ ORACLES: dict[str, str] = {}
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Tokens a training sequence holds.
 SEQUENCE_TOKENS = 2048
+#: And one that is filled along the curve.
+CURVE_TOKENS = 1024
 #: Ends each document in the token files.
 DOCUMENT_END_ID = 2
 #: Ends each document in the training sequences.
@@ -198,3 +200,9 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The best phrases of two to four words per language."""
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_curve_packing")
+def op13_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and where each lies in sequences of neighbouring documents."""
+    return curve_packing.pack(table(spark, folder, "documents"), public_tokenizers.path(BYTE_VOCABULARY), PACKED_END_ID, CURVE_TOKENS)
