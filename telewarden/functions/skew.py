@@ -74,6 +74,22 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+_LEHMER = 2_147_483_647
+
+
+def lehmer_unit(number: Column, group: Column, tag: int) -> Column:
+    """Like ``unit_hash`` for whole numbers, by arithmetic that any SQL engine can repeat: two Lehmer steps around a square."""
+    base = F.pmod(number.cast("long"), F.lit(_LEHMER)) * 48_271 % _LEHMER
+    moved = (base + group.cast("long") * 7_919 + tag * 104_729) % _LEHMER
+    return (moved * moved % _LEHMER * 48_271 % _LEHMER).cast("double") / F.lit(float(_LEHMER))
+
+
+def lehmer_unit_sql(number: str, group: str, tag: int) -> str:
+    """SQL for ``lehmer_unit``."""
+    moved = f"((({number}) % {_LEHMER} * 48271 % {_LEHMER} + ({group}) * 7919 + {tag * 104_729}) % {_LEHMER})"
+    return f"(cast({moved} * {moved} % {_LEHMER} * 48271 % {_LEHMER} as double) / {_LEHMER}e0)"
+
+
 def hash_subsamples(df: DataFrame, id_col: str, groups: int, size: int, seed: int, *, group_col: str, surplus: int = 4, n: int | None = None) -> DataFrame:
     """``groups`` seeded samples of up to ``size`` rows without replacement.
 

@@ -8,6 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def known(x: Column) -> Column:
+    """NaN becomes null, as both stand for a missing value and NaN would compare as larger than any number."""
+    return F.when(~F.isnan(x.cast("double")), x)
+
+
 def is_complete(features: Column) -> Column:
     """Whether a vector is there and none of its entries is null or NaN."""
     return features.isNotNull() & F.forall(features, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
@@ -29,8 +35,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    """Clip to [0, 1]; null stays null, though ``greatest`` and ``least`` skip nulls."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    """Clip to [0, 1]; null and NaN give null, though ``greatest`` and ``least`` skip nulls."""
+    return F.when(known(x).isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def stack_arrays(column: pd.Series, width: int) -> np.ndarray:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from telewarden.functions.vectors import as_cells, as_matrix, as_numbers, mean_squared_error
 from telewarden.operators.ensemble import fixed_minmax, minmax_score, score_bounds
-from telewarden.operators.pca import PcaModel, fit_pca
+from telewarden.operators.pca import PcaModel, fit_pca, leading_axes
+from telewarden.operators.sequence_moments import map_sequences, marked, sequence_moments, step_width
+from telewarden.session import cut_lineage
 
 ENCODING_DIM = 16
 
@@ -47,6 +49,20 @@ class SequenceAutoencoder:
 
         return residual(F.col(flat) if isinstance(flat, str) else flat)
 
+    def errors(self, sequences: np.ndarray) -> np.ndarray:
+        """Mean squared reconstruction error of flattened sequences in rows."""
+        centred = sequences - self.pca.mean
+        missed = centred - (centred @ self.pca.components.T) @ self.pca.components
+        return np.mean(missed * missed, axis=1)
+
+    def row_errors(self, stored: DataFrame, length: int, *, into: str = "error") -> DataFrame:
+        """Error of the sequence that ends at each marked row of stored ``stretches``."""
+        return map_sequences(stored, len(self.pca.mean) // length, length, self.errors, into)
+
+    def score_rows(self, stored: DataFrame, length: int, *, into: str = "s_lstm") -> DataFrame:
+        """``row_errors`` by the bounds seen at fit time."""
+        return self.row_errors(stored, length, into=into).withColumn(into, fixed_minmax(F.col(into), self.low, self.high))
+
     def score(self, df: DataFrame, flat: str = "flat", *, into: str = "s_lstm", normalizer: str = "fitted") -> DataFrame:
         raw = df.withColumn("_e", self.error(flat))
         if normalizer == "fitted":
@@ -70,13 +86,32 @@ def fit_autoencoder(df: DataFrame, flat: str = "flat", encoding_dim: int = ENCOD
     return SequenceAutoencoder(model.pca, ends["lo"], ends["hi"])
 
 
-def train_autoencoder(marked: DataFrame, flat: str = "flat", encoding_dim: int = ENCODING_DIM, *, split: str = "split") -> tuple[SequenceAutoencoder, DataFrame]:
+def fit_autoencoder_on_rows(stored: DataFrame, length: int, encoding_dim: int = ENCODING_DIM) -> SequenceAutoencoder:
+    """The same code from the marked rows of ``sequence_moments.stretches``, without building their sequences; none at all are an error."""
+    _, mean, covariance = sequence_moments(stored, step_width(stored), length)
+    model = SequenceAutoencoder(leading_axes(mean, covariance, encoding_dim))
+    ends = score_bounds(model.row_errors(stored, length, into="e"), "e").first()
+    return SequenceAutoencoder(model.pca, ends["lo"], ends["hi"])
+
+
+def train_autoencoder_on_rows(stored: DataFrame, length: int, is_train: Column, encoding_dim: int = ENCODING_DIM) -> tuple[SequenceAutoencoder, DataFrame]:
+    """Fit on stretches whose sequences end in ``is_train`` rows, by kept columns; also report rows and errors per split."""
+    _, mean, covariance = sequence_moments(marked(stored, is_train), step_width(stored), length)
+    model = SequenceAutoencoder(leading_axes(mean, covariance, encoding_dim))
+    split = F.when(is_train, "train").otherwise("val")
+    errors = cut_lineage(model.row_errors(stored, length, into="e").where("e is not null").select(split.alias("split"), "e"), "errors")
+    ends = score_bounds(errors.where("split = 'train'"), "e").first()
+    return SequenceAutoencoder(model.pca, ends["lo"], ends["hi"]), _per_split(errors, "split")
+
+
+def _per_split(errors: DataFrame, split: str) -> DataFrame:
+    return errors.groupBy(split).agg(F.count(F.lit(1)).alias("sequences"), F.avg("e").alias("mean_error"), F.max("e").alias("max_error"))
+
+
+def train_autoencoder(sequences: DataFrame, flat: str = "flat", encoding_dim: int = ENCODING_DIM, *, split: str = "split") -> tuple[SequenceAutoencoder, DataFrame]:
     """Fit on ``train`` rows; also report rows and mean error per split."""
-    model = fit_autoencoder(marked.where(F.col(split) == "train"), flat, encoding_dim)
-    report = marked.select(split, model.error(flat).alias("e")).groupBy(split).agg(
-        F.count(F.lit(1)).alias("sequences"), F.avg("e").alias("mean_error"), F.max("e").alias("max_error")
-    )
-    return model, report
+    model = fit_autoencoder(sequences.where(F.col(split) == "train"), flat, encoding_dim)
+    return model, _per_split(sequences.select(split, model.error(flat).alias("e")), split)
 
 
 def reconstruction_error(df: DataFrame, actual: str, decoded: str, *, into: str = "error") -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from telewarden.functions.ordered import last_known
 from telewarden.functions.quantiles import IN_MEMORY, quantile_table
+from telewarden.functions.vectors import known
 
 
 def nan_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NaN cells become nulls, as missing cells are below; every function that counts, fills or fits does it first."""
-    return df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in cols})
+    return df.withColumns({c: known(F.col(c)) for c in cols})
 
 
 def missing_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:

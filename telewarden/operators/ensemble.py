@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewarden import schemas
-from telewarden.functions.vectors import clip01
+from telewarden.functions.vectors import clip01, known
 from telewarden.operators.cleaning import one_row
 
 SCORE_COLUMNS = {"lstm": "s_lstm", "isolation_forest": "s_if", "gnn": "s_gnn"}
 
 
 def score_bounds(df: DataFrame, raw: str) -> DataFrame:
-    return df.agg(F.min(raw).alias("lo"), F.max(raw).alias("hi"))
+    return df.agg(F.min(known(F.col(raw))).alias("lo"), F.max(known(F.col(raw))).alias("hi"))
 
 
 def minmax_score(df: DataFrame, raw: str, into: str, *, bounds: DataFrame | None = None, invert: bool = False) -> DataFrame:
@@ -34,6 +34,7 @@ def fixed_minmax(raw: Column, lo: float, hi: float, *, invert: bool = False) ->
 
 
 def _bounded(raw: Column, lo: Column, hi: Column, invert: bool) -> Column:
+    raw = known(raw)
     part = (hi - raw) if invert else (raw - lo)
     return F.when(raw.isNotNull(), F.when(hi > lo, clip01(part / (hi - lo))).otherwise(F.lit(0.0)))
 
@@ -46,27 +47,28 @@ def align_scores(lstm: DataFrame, forest: DataFrame, graph: DataFrame, on: Seque
 def fuse_scores(df: DataFrame, weights: Mapping[str, float] | None = None, *, into: str = "score", allow_missing: bool = False) -> DataFrame:
     """Weighted sum of the model scores, clipped to [0, 1].
 
-    A null model score makes the result null. With ``allow_missing`` the remaining
+    A null or NaN model score makes the result null. With ``allow_missing`` the remaining
     weights are rescaled instead and ``missing_models`` names what was absent.
     """
     weights = dict(weights or schemas.ENSEMBLE_WEIGHTS)
-    terms = [F.lit(float(w)) * F.col(SCORE_COLUMNS[m]) for m, w in weights.items()]
+    scores = {m: known(F.col(SCORE_COLUMNS[m])) for m in weights}
+    terms = [F.lit(float(w)) * scores[m] for m, w in weights.items()]
     if not allow_missing:
         return df.withColumn(into, clip01(sum(terms[1:], terms[0])))
-    present = [F.when(F.col(SCORE_COLUMNS[m]).isNotNull(), F.lit(float(w))).otherwise(0.0) for m, w in weights.items()]
+    present = [F.when(scores[m].isNotNull(), F.lit(float(w))).otherwise(0.0) for m, w in weights.items()]
     total = sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0))
     weight = sum(present, F.lit(0.0))
-    absent = F.array_compact(F.array(*[F.when(F.col(SCORE_COLUMNS[m]).isNull(), F.lit(m)) for m in weights]))
+    absent = F.array_compact(F.array(*[F.when(scores[m].isNull(), F.lit(m)) for m in weights]))
     return df.withColumns({into: F.when(weight > 0, clip01(total * F.lit(float(sum(weights.values()))) / weight)), "missing_models": absent})
 
 
 def detect(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, score: str = "score") -> DataFrame:
-    """Add the inclusive anomaly flag."""
-    return df.withColumn("is_anomaly", F.col(score) >= threshold)
+    """Add the inclusive anomaly flag; null for a missing score."""
+    return df.withColumn("is_anomaly", known(F.col(score)) >= threshold)
 
 
 def score_summary(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, score: str = "score") -> DataFrame:
-    s = F.col(score)
+    s = known(F.col(score))
     return df.agg(
         F.count(F.lit(1)).alias("samples"),
         F.count_if(s >= threshold).alias("anomalies"),
@@ -85,7 +87,7 @@ def explain(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, weights
     for model, column in SCORE_COLUMNS.items():
         short = column.removeprefix("s_")
         parts[f"{short}_weight"] = F.lit(float(weights[model]))
-        parts[f"{short}_contribution"] = F.col(column) * F.lit(float(weights[model]))
+        parts[f"{short}_contribution"] = known(F.col(column)) * F.lit(float(weights[model]))
     out = detect(fuse_scores(df, weights).withColumns(parts), threshold)
     names = [c.removeprefix("s_") for c in SCORE_COLUMNS.values()]
     most = F.greatest(*[F.col(f"{n}_contribution") for n in names])

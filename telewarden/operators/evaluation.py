@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telewarden import schemas
 from telewarden.functions.prefix import ROWS_PER_RANGE, running_totals, value_ranges
+from telewarden.functions.vectors import known
 from telewarden.operators.cleaning import one_row
 
 STEPS = 100  # thresholds 0, 0.01 .. 1
@@ -45,7 +46,7 @@ def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
 
 
 def confusion(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, label: str = "y_true", score: str = "score") -> DataFrame:
-    said, truth = F.col(score) >= threshold, F.col(label) == 1
+    said, truth = known(F.col(score)) >= threshold, known(F.col(label)) == 1
     return df.agg(
         F.count_if(said & truth).alias("tp"),
         F.count_if(said & ~truth).alias("fp"),
@@ -62,19 +63,16 @@ def binary_metrics(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD,
 
 def _cumulative(df: DataFrame, label: str, score: str, rows_per_range: int) -> DataFrame:
     """Per distinct score, descending: own and running positives and negatives, ties collapsed."""
-    known = df.where(F.col(score).isNotNull())
-    cuts = value_ranges(known, score, rows_per_range)
-    groups = known.groupBy(F.col(score).cast("double").alias("threshold")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
-    )
+    scored = df.where(known(F.col(score)).isNotNull())
+    cuts = value_ranges(scored, score, rows_per_range)
+    truth = known(F.col(label))
+    groups = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(truth == 1).alias("pos"), F.count_if(truth != 1).alias("neg"))
     return running_totals(groups, "threshold", ["pos", "neg"], cuts)
 
 
 def _class_totals(df: DataFrame, label: str, score: str) -> DataFrame:
-    known = F.col(score).isNotNull()
-    return df.agg(
-        F.count_if(known & (F.col(label) == 1)).cast("double").alias("p"), F.count_if(known & (F.col(label) != 1)).cast("double").alias("n")
-    )
+    scored, truth = known(F.col(score)).isNotNull(), known(F.col(label))
+    return df.agg(F.count_if(scored & (truth == 1)).cast("double").alias("p"), F.count_if(scored & (truth != 1)).cast("double").alias("n"))
 
 
 def roc_curve(df: DataFrame, *, label: str = "y_true", score: str = "score", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -123,13 +121,13 @@ def threshold_sweep(df: DataFrame, *, label: str = "y_true", score: str = "score
     Each row is counted once, under the highest threshold it reaches; the counts at
     a threshold are sums over the at most 102 groups.
     """
-    s = F.col(score).cast("double")
+    s, truth = known(F.col(score).cast("double")), known(F.col(label))
     guess = F.floor(F.least(F.greatest(s, F.lit(-1.0)), F.lit(2.0)) * F.lit(100.0))
     step = F.lit(0.01)
     exact = F.when((guess + 1) * step <= s, guess + 1).when(guess * step > s, guess - 1).otherwise(guess)
     reached = F.least(F.greatest(exact, F.lit(-1)), F.lit(STEPS)).cast("long")
     groups = df.where(s.isNotNull()).groupBy(reached.alias("i")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
+        F.count_if(truth == 1).alias("pos"), F.count_if(truth != 1).alias("neg")
     )
     grid = df.sparkSession.range(-1, STEPS + 1).withColumnRenamed("id", "i")
     full = grid.join(groups, "i", "left").na.fill(0, ["pos", "neg"])
@@ -191,7 +189,7 @@ def dataset_stats(df: DataFrame, *, label: str = "y_true") -> DataFrame:
         F.count(F.lit(1)).alias("total_samples"),
         F.count_if(F.col(label) == 0).alias("normal_samples"),
         F.count_if(F.col(label) == 1).alias("anomaly_samples"),
-        F.avg(label).alias("anomaly_ratio"),
+        F.avg(known(F.col(label))).alias("anomaly_ratio"),
     )
 
 

@@ -6,15 +6,16 @@ Nodes: ``graph_id, node_id, h`` (array). Edges: ``graph_id, src, dst`` and optio
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telewarden.functions.ordered import chunk_window, frame_chunks, own_rows
-from telewarden.functions.skew import BROADCAST_ROWS, find_hot_keys, hash_subsamples, is_small, lookup_join, repeat, spread, unit_hash
+from telewarden.functions.skew import BROADCAST_ROWS, find_hot_keys, is_small, lookup_join, repeat, spread, unit_hash
+from telewarden.functions.vector_sums import sum_by_key
 from telewarden.functions.vectors import distance, is_complete, multiply, positive
 from telewarden.session import cut_lineage
 
@@ -92,7 +93,8 @@ def count_edges(edges: DataFrame, nodes: DataFrame, *, small_rows: int = BROADCA
 def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFrame:
     """Mean ``h`` of the sources of each node's in-edges as ``agg``; duplicate edges count again, no in-edge gives 0.
 
-    The mean per target is a partial aggregate, so hot targets are summed before the shuffle.
+    Sums per target are partial aggregates of whole vectors, so hot targets are added up before the shuffle. Sources without a complete
+    vector are left out.
     """
     source = nodes.select("graph_id", F.col("node_id").alias("src"), "h")
     if counted.few_nodes:
@@ -102,14 +104,16 @@ def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFr
     else:
         salted = repeat(source, _SOURCE, counted.hot)
         sent = counted.table.join(salted, [c for c in salted.columns if c != "h"])
-    sums = sent.groupBy("graph_id", F.col("dst").alias("node_id")).agg(
-        F.sum("times").alias("_n"), *[F.sum(F.col("h")[j] * F.col("times")).alias(f"_s{j}") for j in range(width)]
-    )
-    means = sums.select("graph_id", "node_id", F.array(*[F.col(f"_s{j}") / F.col("_n") for j in range(width)]).alias("agg"))
+    sums = sum_by_key(sent.select("graph_id", F.col("dst").alias("node_id"), "h", "times"), ["graph_id", "node_id"], "h", width, weight="times")
+    means = sums.select("graph_id", "node_id", _mean().alias("agg"))
     zeros = F.array_repeat(F.lit(0.0), width)
     return nodes.join(means, ["graph_id", "node_id"], "left").withColumn("agg", F.coalesce("agg", zeros))
 
 
+def _mean() -> Column:
+    return F.transform("total", lambda x: x / F.col("n"))
+
+
 def combine(own: Column, agg: Column, alpha: float = ALPHA) -> Column:
     """``relu(alpha * own + (1 - alpha) * agg)`` elementwise."""
     return F.zip_with(own, agg, lambda a, b: positive(F.lit(alpha) * a + F.lit(1 - alpha) * b))
@@ -149,9 +153,8 @@ def forward(
 
 
 def graph_embedding(nodes: DataFrame, width: int) -> DataFrame:
-    """Mean of the node embeddings per graph."""
-    means = nodes.groupBy("graph_id").agg(*[F.avg(F.col("h")[j]).alias(f"_m{j}") for j in range(width)])
-    return means.select("graph_id", F.array(*[F.col(f"_m{j}") for j in range(width)]).alias("embedding"))
+    """Mean of the complete node embeddings per graph; a graph without any is left out."""
+    return sum_by_key(nodes, ["graph_id"], "h", width).select("graph_id", _mean().alias("embedding"))
 
 
 def distance_score(embedding: Column, reference: Column) -> Column:
@@ -173,23 +176,63 @@ def single_node_score(features: Column, matrix: np.ndarray, *, layers: int = LAY
     return distance_score(h, F.array(*[F.lit(float(r)) for r in ref]))
 
 
+Draw = Callable[[Column, Column, int], Column]
+
+
+def seeded_draw(seed: int) -> Draw:
+    return lambda node, sample, tag: unit_hash(node, sample, F.lit(tag), F.lit(seed))
+
+
+#: Rows that compete for a place in a sample, in expectation: so many for its graph, and so many times its size for its nodes.
+RIVALS, SURPLUS = 64, 4
+
+
 def sample_graphs(
-    df: DataFrame, *, id_col: str, graphs: int = 100, smallest: int = 5, largest: int = 24, seed: int = 42
+    nodes: DataFrame, edges: DataFrame, *, graphs: int = 100, smallest: int = 5, largest: int = 24, draw: Draw | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Random graphs over sampled rows: ``smallest..largest`` nodes each, random edges with random traffic.
+    """Induced subgraphs: ``smallest..largest`` nodes of one graph each, with all edges between them. Pass stored tables.
 
-    Nodes keep ``df``'s columns and are numbered from 0 inside each graph.
+    The graph of a sample is that of the node of smallest draw, so large graphs are met more often; its nodes are those of smallest
+    draw in the graph. Both results have ``graph_id`` (the sample's number) and ``source_graph``; edges keep their columns. Draws depend on
+    ids only. A sampled table has at most ``graphs * largest`` rows, so it is broadcast to the edges, whose ends may be hot.
     """
-    sampled = hash_subsamples(df, id_col, graphs, largest, seed, group_col="graph_id")
-    wanted = F.pmod(F.xxhash64("graph_id", F.lit(seed)), F.lit(largest - smallest + 1)) + smallest
-    nodes = sampled.where(F.col("_rank") <= wanted).withColumn("node_id", (F.col("_rank") - 1).cast("long")).drop("_rank")
-    sizes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size"))
-
-    def draw(tag: str, *more: Column) -> Column:
-        return unit_hash(F.col("graph_id"), F.lit(f"{tag}{seed}"), *more)
-
-    count = F.greatest(F.lit(5), F.floor(F.lit(5) + draw("n") * (F.col("size") * 2 - 5)).cast("int"))
-    numbered = sizes.select("graph_id", "size", F.explode(F.sequence(F.lit(1), count)).alias("edge"))
-    end = lambda tag: F.floor(draw(tag, F.col("edge")) * F.col("size")).cast("long")
-    edges = numbered.select("graph_id", end("s").alias("src"), end("d").alias("dst"), draw("t", F.col("edge")).alias("traffic"))
-    return nodes, edges
+    draw = draw or seeded_draw(42)
+    node, sample = F.col("node_id"), F.col("sample")
+    samples = F.sequence(F.lit(0), F.lit(graphs - 1))
+    sizes = cut_lineage(nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size")), "graph-sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 1
+    rivals = nodes.select("graph_id", "node_id", F.explode(F.filter(samples, lambda s: draw(node, s, 1) < min(1.0, RIVALS / total))).alias("sample"))
+    firsts = rivals.groupBy("sample").agg(F.min(F.struct(draw(node, sample, 1).alias("h"), "graph_id", "node_id")).alias("first"))
+    chosen = firsts.select("sample", F.col("first.graph_id").alias("graph_id")).groupBy("graph_id").agg(F.collect_list("sample").alias("samples"))
+    drawn_for = nodes.join(F.broadcast(chosen), "graph_id").join(sizes, "graph_id")  # at most ``graphs`` rows are broadcast
+    share = F.lit(float(largest * SURPLUS)) / F.col("size")
+    offered = drawn_for.withColumn("sample", F.explode(F.filter("samples", lambda s: draw(node, s, 2) < share)))
+    rank = F.row_number().over(Window.partitionBy("sample").orderBy(draw(node, sample, 2), "node_id"))
+    wanted = F.lit(smallest) + F.floor(draw(sample, sample, 3) * (largest - smallest + 1))
+    kept = offered.withColumn("rank", rank).where(F.col("rank") <= wanted).drop("rank", "samples", "size")
+    sampled = cut_lineage(kept.withColumnRenamed("graph_id", "source_graph").withColumnRenamed("sample", "graph_id"), "sampled-nodes")
+
+    def end(name: str) -> DataFrame:
+        return F.broadcast(sampled.select("source_graph", "graph_id", F.col("node_id").alias(name)))
+
+    inside = edges.withColumnRenamed("graph_id", "source_graph").join(end("src"), ["source_graph", "src"]).join(end("dst"), ["source_graph", "graph_id", "dst"])
+    return sampled, inside
+
+
+def baseline(nodes: DataFrame, edges: DataFrame, matrix: np.ndarray, features: Sequence[str], **sampling) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of the embeddings of sampled subgraphs, dimension by dimension: what a graph usually looks like."""
+    found = embedding_spread(sampled_embeddings(nodes, edges, matrix, features, **sampling)).orderBy("dimension").collect()
+    return np.array([r["mean"] for r in found]), np.array([r["std"] for r in found])
+
+
+def sampled_embeddings(nodes: DataFrame, edges: DataFrame, matrix: np.ndarray, features: Sequence[str], **sampling) -> DataFrame:
+    some, between = sample_graphs(nodes, edges, **sampling)
+    vectors = some.select("graph_id", "node_id", F.array(*features).alias("features"))
+    width = matrix.shape[1]
+    return graph_embedding(forward(project_features(vectors, matrix), between.select("graph_id", "src", "dst"), width), width)
+
+
+def embedding_spread(embeddings: DataFrame) -> DataFrame:
+    """``dimension, graphs, mean, std`` over one embedding per graph."""
+    cells = embeddings.select(F.posexplode("embedding").alias("dimension", "value"))
+    return cells.groupBy("dimension").agg(F.count(F.lit(1)).alias("graphs"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from telewarden import schemas
 from telewarden.functions.quantiles import exact_quantiles
 from telewarden.functions.skew import hash_subsamples
-from telewarden.functions.vectors import as_matrix, as_numbers, stack_arrays
+from telewarden.functions.vectors import as_matrix, as_numbers, is_complete, stack_arrays
 from telewarden.operators.ensemble import fixed_minmax
 from telewarden.session import cut_lineage
 
@@ -158,9 +158,9 @@ def fit_iforest(
     """Draw ``sample`` rows per tree by hash, grow trees in parallel, set the offset.
 
     A tree sees at most ``sample`` rows, whatever the table size; the same ids and seed give
-    the same forest for any partitioning. Later passes only score, so pass a stored table if ``df`` is costly.
+    the same forest for any partitioning. Incomplete vectors are left out. Later passes only score, so pass a stored table if ``df`` is costly.
     """
-    data = df.select(F.col(id_col), F.col(features).cast("array<double>").alias("features")).where("features is not null")
+    data = df.select(F.col(id_col), F.col(features).cast("array<double>").alias("features")).where(is_complete(F.col("features")))
     size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width")).first()
     if not size["n"]:
         raise ValueError("cannot fit a forest on an empty table")

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telewarden.functions.vectors import multiply
+from telewarden.functions.vectors import is_complete, multiply
 
 
 @dataclass(frozen=True)
@@ -48,17 +48,29 @@ def fit_pca(df: DataFrame, features: str, components: float | int = 0.95) -> Pca
 
     A whole number keeps that many components; a fraction keeps the fewest
     whose cumulative variance ratio exceeds it. The largest loading of each
-    component is positive.
+    component is positive. Incomplete vectors are left out.
     """
-    vectors = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("v")).where("v is not null")
+    vectors = df.where(is_complete(F.col(features))).select(array_to_vector(F.col(features).cast("array<double>")).alias("v"))
     mean = vectors.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
     d = len(mean)
     wanted = d if isinstance(components, float) else min(int(components), d)
     fitted = PCA(k=wanted, inputCol="v", outputCol="z").fit(vectors)
-    loadings = fitted.pc.toArray().T
-    ratios = fitted.explainedVariance.toArray()
+    return _signed(mean, fitted.pc.toArray().T, fitted.explainedVariance.toArray(), components)
+
+
+def leading_axes(mean: np.ndarray, covariance: np.ndarray, components: float | int) -> PcaModel:
+    """The same from a mean and a covariance that are known."""
+    values, vectors = np.linalg.eigh(covariance)
+    values, loadings = np.maximum(values[::-1], 0.0), vectors.T[::-1]
+    if not isinstance(components, float):
+        loadings = loadings[: int(components)]
+    ratios = values[: len(loadings)] / (values.sum() or 1.0)
+    return _signed(mean, loadings, ratios, components)
+
+
+def _signed(mean: np.ndarray, loadings: np.ndarray, ratios: np.ndarray, components: float | int) -> PcaModel:
     if isinstance(components, float):
-        keep = min(int(np.searchsorted(np.cumsum(ratios), components, side="right")) + 1, d)
+        keep = min(int(np.searchsorted(np.cumsum(ratios), components, side="right")) + 1, len(mean))
         loadings, ratios = loadings[:keep], ratios[:keep]
     strongest = np.abs(loadings).argmax(axis=1)
     signs = np.where(loadings[np.arange(len(loadings)), strongest] < 0, -1.0, 1.0)

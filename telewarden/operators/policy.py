@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telewarden import schemas
 from telewarden.functions.ordered import chunk_window, frame_chunks, own_rows, with_position
+from telewarden.functions.vectors import known
 
 LOW, MEDIUM, HIGH, CRITICAL = (
     schemas.SEVERITY_LOW, schemas.SEVERITY_MEDIUM, schemas.SEVERITY_HIGH, schemas.SEVERITY_CRITICAL,
@@ -27,7 +28,8 @@ def _rule(condition: Column) -> Column:
 
 
 def _by_severity(score: Column, names: Sequence[str], otherwise: str) -> Column:
-    """Names from critical down to low."""
+    """Names from critical down to low; ``otherwise`` for a missing score, too."""
+    score = known(score)
     return F.coalesce(
         *[F.when(score >= bound, F.lit(name)) for bound, name in zip((CRITICAL, HIGH, MEDIUM, LOW), names)], F.lit(otherwise)
     )
@@ -42,17 +44,17 @@ def recommend_action(score: Column) -> Column:
 
 
 def isolate(score: Column, confidence: Column) -> Column:
-    return _rule((score >= HIGH) & (confidence >= 0.90))
+    return _rule((known(score) >= HIGH) & (known(confidence) >= 0.90))
 
 
 def quarantine(score: Column, confidence: Column) -> Column:
-    return _rule((score >= CRITICAL) & (confidence >= 0.95))
+    return _rule((known(score) >= CRITICAL) & (known(confidence) >= 0.95))
 
 
 def namespace_allowed(namespace: Column, score: Column) -> Column:
     allowed = F.lit(False)
     for name, limit in NAMESPACE_LIMITS.items():
-        allowed = allowed | ((namespace == name) & (score < limit))
+        allowed = allowed | ((namespace == name) & (known(score) < limit))
     return _rule(allowed)
 
 
@@ -73,24 +75,25 @@ def business_hours(ts: Column) -> Column:
 
 
 def high_confidence(confidence: Column) -> Column:
-    return _rule(confidence >= 0.85)
+    return _rule(known(confidence) >= 0.85)
 
 
 def model_confidence(s_lstm: Column, s_if: Column, s_gnn: Column) -> Column:
-    """1 minus the spread of the model scores; null if a score is."""
-    known = s_lstm.isNotNull() & s_if.isNotNull() & s_gnn.isNotNull()
-    return F.when(known, F.lit(1.0) - (F.greatest(s_lstm, s_if, s_gnn) - F.least(s_lstm, s_if, s_gnn)))
+    """1 minus the spread of the model scores; null if a score is missing."""
+    scores = [known(s) for s in (s_lstm, s_if, s_gnn)]
+    complete = scores[0].isNotNull() & scores[1].isNotNull() & scores[2].isNotNull()
+    return F.when(complete, F.lit(1.0) - (F.greatest(*scores) - F.least(*scores)))
 
 
 def consensus(threshold: float, *scores: Column) -> Column:
     agreed = F.lit(True)
     for s in scores:
-        agreed = agreed & (s >= threshold)
+        agreed = agreed & (known(s) >= threshold)
     return _rule(agreed)
 
 
 def audit_required(score: Column) -> Column:
-    return _rule(score >= HIGH)
+    return _rule(known(score) >= HIGH)
 
 
 def violations(namespace_ok: Column, role_ok: Column, suspicious: Column) -> Column:
@@ -129,7 +132,7 @@ def consecutive_anomalies(df: DataFrame, anomalous: Column, *, keys: Sequence[st
 
 
 def compliance_metrics(df: DataFrame, *, score: str = "score", confidence: str = "confidence") -> DataFrame:
-    s, c = F.col(score), F.col(confidence)
+    s, c = known(F.col(score)), known(F.col(confidence))
     return df.agg(
         F.count_if((s >= LOW) & (s < MEDIUM)).alias("alerts_generated"),
         F.count_if(isolate(s, c)).alias("isolations_triggered"),

@@ -54,16 +54,21 @@ def split_by_time(df: DataFrame, *, time_col: str, id_col: str, train_share: flo
     The border row is an exact order statistic of the time, and of the id among rows of that very
     time, so nothing is sorted as a whole and marking is a filter on two numbers.
     """
+    inside = earliest_share(df, time_col=time_col, id_col=id_col, share=train_share, in_memory=in_memory)
+    return df.withColumn(into, F.when(inside, "train").otherwise("val"))
+
+
+def earliest_share(df: DataFrame, *, time_col: str, id_col: str, share: float = 0.8, in_memory: int = IN_MEMORY) -> Column:
+    """Whether a row is among the earliest ``int(n * share)`` of ``df``, as a comparison of its time and id with the border row's."""
     keys = df.select(epoch_micros(time_col).alias("us"), F.col(id_col).alias("id"))
-    last = int(keys.count() * train_share) - 1
+    last = int(keys.count() * share) - 1
     if last < 0:
-        return df.withColumn(into, F.lit("val"))
+        return F.lit(False)
     us = nth_smallest(keys, "us", last, in_memory)
     before = keys.where(F.col("us") < us).count()
     border = nth_smallest(keys.where(F.col("us") == us), "id", last - before, in_memory)
     micros = epoch_micros(time_col)
-    inside = (micros < us) | ((micros == us) & (F.col(id_col) <= border))
-    return df.withColumn(into, F.when(inside, "train").otherwise("val"))
+    return (micros < us) | ((micros == us) & (F.col(id_col) <= border))
 
 
 def split_by_hash(df: DataFrame, *, id_col: str, train_share: float = 0.8, seed: int = 42, into: str = "split") -> DataFrame:

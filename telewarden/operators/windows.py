@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewarden import schemas
-
+from telewarden.operators.cleaning import nan_to_null
 
 #: Windows of one node that a row of its calendar stands for until it is written out.
 CALENDAR_SLOTS = 1_440
@@ -42,10 +42,11 @@ def window_statistics(
     """One row per node and window: ``timestamp`` (window end, ms), ``window_size``, ``features``.
 
     Incremental aggregates only, so map-side partial sums absorb busy nodes and a
-    stream keeps sums as state, not rows.
+    stream keeps sums as state, not rows. A missing value counts in no statistic of its column.
     """
     slots = output_slots(cols, width)
     wanted = {(k, c) for k, c in slots if c is not None}
+    df = nan_to_null(df, sorted({c for _, c in wanted}))
     aggregates = [
         (F.avg(c) if kind == "mean" else F.var_pop(c)).alias(f"{kind}_{c}") for kind, c in sorted(wanted)
     ]

@@ -7,19 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telewarden import schemas
-from telewarden.operators import autoencoder, iforest, sequences
+from telewarden.functions.skew import lehmer_unit, lehmer_unit_sql
+from telewarden.operators import autoencoder, iforest, sequence_moments, sequences
 from telewarden.operators import graph as g
-from telewarden.operators.ensemble import SCORE_COLUMNS, detect, fuse_scores
-from telewarden.operators.features import feature_vector
+from telewarden.operators.features import DEFAULT_FEATURES, feature_vector
+from telewarden.operators.pca import PcaModel
 from telewarden.plans import models as m
 from telewarden.plans import views
-from telewarden.plans.flagship import scaled_windows, window_actions
+from telewarden.plans.flagship import fused_actions, window_actions, window_id, window_stretches
 from telewarden.plans.ingest_queries import finish
 from telewarden.plans.registry import grid, grid_sql, over, query
-from telewarden.plans.scoring_queries import fused, rounded_all
-from telewarden.plans.table_queries import split_statistics, window_sql
+from telewarden.plans.scoring_queries import ACTION_SQL, ALERT_SQL, fused, rounded_all
+from telewarden.plans.table_queries import split_statistics, statistics, window_sql
 from telewarden.session import cut_lineage, scratch_path
-from telewarden.sources import readers
+from telewarden.sources import readers, writers
 from telewarden.streaming import jobs
 
 # ---- isolation forest
@@ -93,12 +94,12 @@ def iforest_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("seq_autoencoder_fit")
 def seq_autoencoder_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows and mean error per split."""
+    """Rows and errors per split of sequences of 60 events, none of which is ever stored."""
     vectors = feature_vector(views.telemetry(spark, folder))
-    built = sequences.create_sequences(vectors, F.col("features"), keys=["node_name"], order=["ts", "event_id"])
-    flat = cut_lineage(built.select("event_id", "ts", sequences.flatten_sequence(F.col("sequence")).alias("flat")))
-    marked = sequences.split_by_time(flat, time_col="ts", id_col="event_id")
-    return rounded_all(autoencoder.train_autoencoder(marked, "flat")[1])
+    length = schemas.SEQUENCE_LENGTH
+    stored = sequence_moments.stretches(vectors, F.col("features"), keys=["node_name"], order=["ts", "event_id"], length=length, keep=["event_id", "ts"])
+    is_train = sequences.earliest_share(sequence_moments.sequence_ends(stored, length), time_col="ts", id_col="event_id")
+    return rounded_all(autoencoder.train_autoencoder_on_rows(stored, length, is_train)[1])
 
 
 # ---- graph
@@ -203,57 +204,136 @@ def graph_score(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_all(scored.select("graph_id", "s_gnn"))
 
 
-@query("sample_graphs")
-def sample_graphs(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = readers.read_table(spark, folder, "embeddings")
-    nodes, edges = g.sample_graphs(vectors, id_col="vec_id")
-    counts = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
-    return nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"), F.min("vec_id").alias("first_id")).join(counts, "graph_id")
+# ---- sampled graphs
+
+def _stored_graphs(spark: SparkSession, folder: str) -> m.Graphs:
+    return m.Graphs(cut_lineage(views.nodes(spark, folder), "nodes"), cut_lineage(views.edges(spark, folder), "edges"), FEATURES)
+
+
+GRAPHS, SMALLEST, LARGEST = 100, 5, 24
+_DRAW = [lehmer_unit_sql("node_id", "sample", tag) for tag in range(4)]
+_SAMPLED = {
+    "draws": f"select *, {_DRAW[1]} as first_draw, {_DRAW[2]} as draw from v_nodes, (select unnest(range(0, {GRAPHS})) as sample) s",
+    "sizes": "select graph_id, count(*) as size from v_nodes group by graph_id",
+    "chosen": f"""select sample, arg_min(graph_id, first_draw) as graph_id from draws
+        where first_draw < least(1e0, {g.RIVALS}e0 / (select count(*) from v_nodes)) group by sample""",
+    "offered": f"""select draws.*, row_number() over (partition by sample order by draw, node_id) as rank from draws join chosen using (sample, graph_id)
+        join sizes using (graph_id) where draw < {LARGEST * g.SURPLUS}e0 / size""",
+    "s_nodes": f"""select sample, graph_id, node_id, f0, f1, f2 from offered
+        where rank <= {SMALLEST} + floor({lehmer_unit_sql("sample", "sample", 3)} * {LARGEST - SMALLEST + 1})""",
+    "s_edges": """select a.sample, e.graph_id, e.src, e.dst, e.traffic, e.n_events from v_edges e join s_nodes a on a.graph_id = e.graph_id and a.node_id = e.src
+        join s_nodes b on b.graph_id = e.graph_id and b.node_id = e.dst and a.sample = b.sample""",
+}
 
 
-@query("graph_baseline")
+@query("sample_graphs", over(
+    "v_nodes v_edges",
+    """select n.sample as graph_id, min(n.graph_id) as source_graph, count(*) as nodes, min(node_id) as first_id, coalesce(max(edges), 0) as edges,
+       round(coalesce(max(traffic), 0), 4) as traffic from s_nodes n
+       left join (select sample, count(*) as edges, sum(traffic) as traffic from s_edges group by sample) e on e.sample = n.sample group by n.sample""",
+    **_SAMPLED,
+))
+def sample_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, smallest node, edges and traffic of subgraphs induced by sampled nodes."""
+    stored = _stored_graphs(spark, folder)
+    nodes, edges = g.sample_graphs(stored.nodes, stored.edges, graphs=GRAPHS, smallest=SMALLEST, largest=LARGEST, draw=lehmer_unit)
+    counts = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("traffic").alias("traffic"))
+    sizes = nodes.groupBy("graph_id").agg(F.min("source_graph").alias("source_graph"), F.count(F.lit(1)).alias("nodes"), F.min("node_id").alias("first_id"))
+    traffic = F.round(F.coalesce("traffic", F.lit(0.0)), 4).alias("traffic")
+    return sizes.join(counts, "graph_id", "left").select("graph_id", "source_graph", "nodes", "first_id", F.coalesce("edges", F.lit(0)).alias("edges"), traffic)
+
+
+_BASELINE = {
+    **_SAMPLED,
+    "t_nodes": "select cast(sample as varchar) as graph_id, node_id, f0, f1, f2 from s_nodes",
+    "t_edges": "select cast(sample as varchar) as graph_id, src, dst from s_edges",
+    "t0": _PROJECT.replace("v_nodes", "t_nodes"),
+    **{f"t{k}": _layer(f"t{k - 1}").replace("v_edges", "t_edges") for k in (1, 2, 3)},
+    "temb": _EMBED.replace("l3", "t3"),
+    "cells": "select unnest(range(0, " + str(WIDTH) + ")) as dimension, unnest([" + ", ".join(_H) + "]) as value from temb",
+}
+
+
+@query("graph_baseline", over(
+    "v_nodes v_edges",
+    f"""select cast(dimension as int) as dimension, count(*) as graphs, {grid_sql("avg(value)", 6)} as mean, {grid_sql("stddev_pop(value)", 6)} as std
+        from cells group by dimension""",
+    **_BASELINE,
+))
 def graph_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean and spread of the embeddings of 100 sampled graphs per dimension."""
-    vectors = readers.read_table(spark, folder, "embeddings")
-    nodes, edges = g.sample_graphs(vectors, id_col="vec_id")
-    nodes = cut_lineage(nodes)
-    projected = g.project_features(nodes, g.projection_matrix(64), features="embedding")
-    embeddings = g.graph_embedding(g.forward(projected, edges, g.HIDDEN), g.HIDDEN)
-    cells = embeddings.select("graph_id", F.posexplode("embedding").alias("dimension", "value"))
-    return rounded_all(cells.groupBy("dimension").agg(F.count(F.lit(1)).alias("graphs"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), 9)
+    """Mean and spread, per dimension, of the embeddings of 100 sampled subgraphs."""
+    stored = _stored_graphs(spark, folder)
+    embedded = g.sampled_embeddings(stored.nodes, stored.edges, WEIGHTS, FEATURES, graphs=GRAPHS, smallest=SMALLEST, largest=LARGEST, draw=lehmer_unit)
+    return g.embedding_spread(embedded).select("dimension", "graphs", grid(F.col("mean"), 6).alias("mean"), grid(F.col("std"), 6).alias("std"))
+
+
+# ---- all detectors, with models that SQL can repeat
+
+STEPS, SLOTS = schemas.SEQUENCE_LENGTH, 2 * len(DEFAULT_FEATURES)
+ERROR_LIMIT, DECISION_OFFSET, DECISION_LIMIT = 2.5e13, -0.5, 0.15
+
+
+def given_models(spark: SparkSession) -> m.Models:
+    """Models with stated numbers: two components (level, and even against odd slots), the fixed forest, the fixed projection."""
+    size = STEPS * SLOTS
+    components = np.stack([np.ones(size), np.tile([1.0, -1.0], size // 2)]) / np.sqrt(size)
+    coder = autoencoder.SequenceAutoencoder(PcaModel(np.zeros(size), components, np.zeros(2)), 0.0, ERROR_LIMIT)
+    depth = {0: 0, 1: 1, 2: 1, 3: 2, 4: 2}
+    nodes = spark.createDataFrame([(*n, depth[n[1]]) for n in FIXED_FOREST], schemas.FOREST_NODE)
+    forest = iforest.IsolationForest(nodes, SLOTS, 8, 3, DECISION_OFFSET, -DECISION_LIMIT, DECISION_LIMIT)
+    return m.Models(coder, forest, WEIGHTS, STEPS)
+
+
+_FEATURE_COLUMNS = [f"f{i}" for i in range(len(DEFAULT_FEATURES))]
+_STATISTICS = [f"avg({c})" for c in _FEATURE_COLUMNS] + [f"var_pop({c})" for c in _FEATURE_COLUMNS]
+_PREDICTED = {
+    **_LAYERS, "emb": _EMBED,
+    "windows": f"""select epoch_ms(time_bucket(interval '6 hours', ts)) + 21600000 as timestamp, node_name,
+        {", ".join(f"{x} as x{i}" for i, x in enumerate(_STATISTICS))} from v_features group by 1, 2""",
+    "moments": "select *, " + " + ".join(f"x{i}" for i in range(SLOTS)) + " as level, " + " + ".join(f"{'-' if i % 2 else ''}x{i}" for i in range(SLOTS))
+    + " as odd, " + " + ".join(f"x{i} * x{i}" for i in range(SLOTS)) + " as squares from windows",
+    "errors": f"""select *, case when count(*) over w = {STEPS} then
+        (sum(squares) over w - (power(sum(level) over w, 2) + power(sum(odd) over w, 2)) / {STEPS * SLOTS}e0) / {STEPS * SLOTS}e0 end as error
+        from moments window w as (partition by node_name order by timestamp rows between {STEPS - 1} preceding and current row)""",
+    "paths": f"""select *, ((case when x0 <= 20 then 1 + {_c(5)} when x1 <= 50 then 2 + {_c(2)} else 2 + {_c(1)} end)
+        + (case when x1 <= 30 then 1 + {_c(3)} when x2 <= 100 then 2 + {_c(4)} else 2 + {_c(1)} end)
+        + (case when x2 > 150 then 1 + {_c(1)} when x0 <= 60 then 2 + {_c(6)} else 2 + {_c(1)} end)) / 3e0 as path from errors""",
+    "three": f"""select timestamp, node_name, case when error is not null then least(greatest(error / {ERROR_LIMIT!r}, 0e0), 1e0) end as s_lstm,
+        least(greatest(({DECISION_LIMIT!r} - (-pow(2e0, -path / {_c(8)}) - ({DECISION_OFFSET!r}))) / {2 * DECISION_LIMIT!r}, 0e0), 1e0) as s_if,
+        least(1e0, sqrt({" + ".join(f"({h} - 0.5e0) * ({h} - 0.5e0)" for h in _H)}) / 10e0) as s_gnn from paths left join emb on graph_id = node_name""",
+    "fused": """select *, case when s_lstm is null then (0.28e0 * s_if + 0.25e0 * s_gnn) / 0.53e0
+        else 0.47e0 * s_lstm + 0.28e0 * s_if + 0.25e0 * s_gnn end as score from three""",
+}
+_PREDICTION = over(
+    "v_features v_nodes v_edges",
+    f"""select timestamp, node_name, round(s_lstm, 6) as s_lstm, round(s_if, 6) as s_if, round(s_gnn, 6) as s_gnn, round(score, 6) as score,
+        score >= 0.85e0 as is_anomaly, case when s_lstm is null then 'lstm' else '' end as missing_models, {ALERT_SQL} as alert_level, {ACTION_SQL} as action from fused""",
+    **_PREDICTED,
+)
 
 
-# ---- all detectors
+def _raw_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Window statistics as they are, with ``ts`` and ``window_id``."""
+    found = statistics(spark, folder, "6 hours").withColumns({"window_id": window_id(), "ts": F.timestamp_millis("timestamp")})
+    return cut_lineage(found.drop("window_size"), "windows")
 
-def _window_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return cut_lineage(scaled_windows(views.telemetry(spark, folder), length="6 hours"))
 
+def _predicted(windows: DataFrame, models: m.Models, graphs: m.Graphs) -> DataFrame:
+    scored = m.predict(windows, models, id_col="window_id", stretches=window_stretches(windows, models.length), graphs=graphs, graph=F.col("node_name"))
+    return rounded_all(fused_actions(scored))
 
-@query("ensemble_predict", over("v_features", "select timestamp, node_name, true as in_range, true as fused, true as flagged from stats", stats=window_sql("6 hours", 21600)))
+
+@query("ensemble_predict", _PREDICTION)
 def ensemble_predict(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each (node, window) has three scores from 0 to 1, their weighted sum and the flag that follows from it."""
-    windows = _window_vectors(spark, folder)
-    trained = m.train_all(windows, id_col="window_id")
-    scored = detect(fuse_scores(m.score_vectors(windows, trained)))
-    parts = {SCORE_COLUMNS[model]: w for model, w in schemas.ENSEMBLE_WEIGHTS.items()}
-    total = sum((F.col(c) * F.lit(w) for c, w in parts.items()), F.lit(0.0))
-    in_range = F.forall(F.array(*parts), lambda s: s.between(0, 1))
-    return scored.select(
-        "timestamp", "node_name", F.coalesce(in_range, F.lit(False)).alias("in_range"),
-        F.coalesce(F.abs(F.col("score") - total) < 1e-9, F.lit(False)).alias("fused"),
-        F.coalesce(F.col("is_anomaly") == (F.col("score") >= schemas.DEFAULT_THRESHOLD), F.lit(False)).alias("flagged"),
-    )
+    """Scores, fusion and action of every (node, window) by its real sequence and graph."""
+    return _predicted(_raw_windows(spark, folder), given_models(spark), _stored_graphs(spark, folder))
 
 
-@query("model_roundtrip", over("v_features", "select timestamp, node_name, true as equal from stats", stats=window_sql("6 hours", 21600)))
+@query("model_roundtrip", _PREDICTION)
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether the models written and read back score every window as those in memory do."""
-    windows = _window_vectors(spark, folder)
-    trained = m.train_all(windows, id_col="window_id")
-    loaded = m.load_models(spark, m.save_models(trained, spark, scratch_path(spark, "models")))
-    before = fuse_scores(m.score_vectors(windows, trained), into="before").drop("s_lstm", "s_if", "s_gnn")
-    both = fuse_scores(m.score_vectors(before, loaded), into="after")
-    return both.select("timestamp", "node_name", (F.col("before").isNotNull() & (F.abs(F.col("before") - F.col("after")) < 1e-9)).alias("equal"))
+    """The same by models that were stored and read back."""
+    loaded = m.load_models(spark, m.save_models(given_models(spark), spark, scratch_path(spark, "models")))
+    return _predicted(_raw_windows(spark, folder), loaded, _stored_graphs(spark, folder))
 
 
 @query("entry")
@@ -281,18 +361,38 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return split_statistics(finish(jobs.feature_windows(stream, length="6 hours"), spark, "stream-windows"))
 
 
-@query("stream_scoring", over("v_features", "select timestamp, node_name, true as equal from stats", stats=window_sql("6 hours", 21600)))
+@query("feature_json_stream", over(
+    "v_features", "select * from stats where timestamp <= (select epoch_us(max(ts)) // 1000 - 120000 from events)", stats=window_sql("6 hours", 21600)
+))
+def feature_json_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Closed windows streamed out as JSON text, one record a line, and read back."""
+    source = views.telemetry(spark, folder)
+    location = scratch_path(spark, "telemetry-table")
+    source.write.parquet(location)
+    stream = jobs.feature_windows(readers.open_records(spark, location, source.schema, streaming=True), length="6 hours")
+    out = scratch_path(spark, "feature-json")
+    lines = stream.select(writers.feature_json(F.col("timestamp"), F.col("node_name"), F.col("features"), F.col("window_size")).alias("value"))
+    writers.stream_to(lines, out, scratch_path(spark, "feature-json-progress"), fmt="text").awaitTermination()
+    parsed = readers.open_values(spark, out).select(F.from_json("value", schemas.FEATURE_WINDOW).alias("r")).select("r.*")
+    return split_statistics(parsed)
+
+
+@query("stream_scoring", _PREDICTION)
 def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether the stream scores every window, level and action as a batch does."""
-    windows = _window_vectors(spark, folder)
-    trained = m.train_all(windows, id_col="window_id")
+    """The same by a stream: a batch of the first windows starts the state, and micro-batches go on from there."""
+    windows = _raw_windows(spark, folder).drop("window_id", "ts")
+    graphs, models = _stored_graphs(spark, folder), given_models(spark)
+    per_graph = cut_lineage(m.score_graphs(graphs, models), "graph-scores")
+    ends = windows.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
+    borders = [ends["lo"] + (ends["hi"] - ends["lo"]) * i // 10 for i in (2, 5, 7, 10)]
     location = scratch_path(spark, "window-vectors")
-    windows.write.parquet(location)
-    stream = readers.open_records(spark, location, windows.schema, streaming=True)
-    scored = finish(jobs.score_features(stream, trained), spark, "stream-scoring")
-    batch = jobs.score_features(windows, trained).select("window_id", F.col("score").alias("batch_score"), F.col("alert_level").alias("batch_level"), F.col("action").alias("batch_action"))
-    same = (F.abs(F.col("score") - F.col("batch_score")) < 1e-9) & (F.col("alert_level") == F.col("batch_level")) & (F.col("action") == F.col("batch_action"))
-    return scored.join(batch, "window_id").select("timestamp", "node_name", F.coalesce(same, F.lit(False)).alias("equal"))
+    for after, upto in zip(borders[:-1], borders[1:], strict=True):  # files are read in the order of their times
+        windows.where((F.col("timestamp") > after) & (F.col("timestamp") <= upto)).coalesce(1).write.mode("append").parquet(location)
+    stream = readers.open_records(spark, location, windows.schema, streaming=True, options={"maxFilesPerTrigger": "1"})
+    past = windows.where(F.col("timestamp") <= borders[0])
+    scored = finish(jobs.score_sequences(stream, models, per_graph, history=past), spark, "stream-scoring")
+    first = past.withColumns({"window_id": window_id(), "ts": F.timestamp_millis("timestamp")})
+    return rounded_all(scored).unionByName(_predicted(cut_lineage(first, "first-windows"), models, graphs))
 
 
 def _window_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telewarden import schemas
-from telewarden.operators import graph as g
-from telewarden.functions.skew import lookup_join
-from telewarden.operators.autoencoder import ENCODING_DIM, fit_autoencoder
+from telewarden.operators.autoencoder import ENCODING_DIM
 from telewarden.operators.ensemble import detect, fuse_scores
 from telewarden.operators.features import DEFAULT_FEATURES, with_features
-from telewarden.operators.iforest import TREES, fit_iforest
+from telewarden.operators.iforest import TREES
 from telewarden.operators.policy import alert_level, recommend_action
 from telewarden.operators.scaling import fit_scale
-from telewarden.operators.sequences import create_sequences, flatten_sequence
+from telewarden.operators.sequence_moments import stretches
 from telewarden.operators.windows import window_statistics
+from telewarden.plans import models as m
 from telewarden.session import cut_lineage
 
 FEATURE_COLUMNS = [f"f{i}" for i in range(len(DEFAULT_FEATURES))]
@@ -39,14 +38,6 @@ def scaled_windows(telemetry: DataFrame, *, length: str) -> DataFrame:
     return fit_scale(stored, STATISTIC_COLUMNS).withColumn("features", F.array(*STATISTIC_COLUMNS)).drop(*STATISTIC_COLUMNS)
 
 
-def graph_scores(nodes: DataFrame, edges: DataFrame, features: list[str], *, hidden: int = g.HIDDEN, seed: int = 42) -> DataFrame:
-    """``graph_id, s_gnn`` for relationship graphs with the given node feature columns."""
-    vectors = nodes.select("graph_id", "node_id", F.array(*features).alias("features"))
-    projected = g.project_features(vectors, g.projection_matrix(len(features), hidden, seed=seed))
-    embedded = g.graph_embedding(g.forward(projected, edges, hidden), hidden)
-    return g.graph_score(embedded, hidden).select("graph_id", "s_gnn")
-
-
 def window_actions(
     telemetry: DataFrame,
     nodes: DataFrame,
@@ -59,24 +50,26 @@ def window_actions(
     trees: int = TREES,
     threshold: float = schemas.DEFAULT_THRESHOLD,
 ) -> DataFrame:
-    """Three detectors on real sequences and real graphs, fused, with alert level and action.
+    """Three detectors on real sequences and real graphs, trained and applied, fused, with alert level and action.
 
     Every window comes out. A node's first ``steps - 1`` windows have no full sequence and a node may be in no graph; such
     scores are null, ``missing_models`` names them, and the others are weighted up.
     """
     windows = cut_lineage(scaled_windows(telemetry, length=length), "windows")
-    sequences = create_sequences(windows, F.col("features"), keys=["node_name"], order=["ts"], length=steps)
-    ready = cut_lineage(sequences.select("window_id", flatten_sequence(F.col("sequence")).alias("flat")))
-    forest = fit_iforest(windows, id_col="window_id", trees=trees)
-    scored = forest.score(windows.select("window_id", "timestamp", "node_name", "features"), "features").drop("features")
-    if ready.isEmpty():
-        scored = scored.withColumn("s_lstm", F.lit(None).cast("double"))
-    else:
-        by_sequence = fit_autoencoder(ready, "flat", encoding_dim).score(ready, "flat").select("window_id", "s_lstm")
-        scored = scored.join(by_sequence, "window_id", "left")
-    per_graph = cut_lineage(graph_scores(nodes, edges, node_features).withColumnRenamed("graph_id", "node_name"), "graph-scores")
-    fused = detect(fuse_scores(lookup_join(scored, per_graph, ["node_name"], "left"), allow_missing=True), threshold)
+    rows = window_stretches(windows, steps)
+    graphs = m.Graphs(cut_lineage(nodes, "nodes"), cut_lineage(edges, "edges"), node_features)
+    trained = m.train_all(windows, id_col="window_id", stretches=rows, graphs=graphs, length=steps, encoding_dim=encoding_dim, trees=trees)
+    return fused_actions(m.predict(windows, trained, id_col="window_id", stretches=rows, graphs=graphs, graph=F.col("node_name")), threshold)
+
+
+def window_stretches(windows: DataFrame, steps: int = schemas.SEQUENCE_LENGTH) -> DataFrame:
+    return stretches(windows, F.col("features"), keys=["node_name"], order=["ts"], length=steps, keep=["window_id"])
+
+
+def fused_actions(scored: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD) -> DataFrame:
+    """Scored windows with fused score, what it lacks, level and action."""
+    fused = detect(fuse_scores(scored, allow_missing=True), threshold)
     return fused.select(
         "timestamp", "node_name", "s_lstm", "s_if", "s_gnn", "score", "is_anomaly", F.concat_ws(",", "missing_models").alias("missing_models"),
         alert_level(F.col("score")).alias("alert_level"), recommend_action(F.col("score")).alias("action"),
-    )
+    )

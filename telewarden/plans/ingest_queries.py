@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telewarden import schemas
-from telewarden.operators import ensemble, evaluation, features, signatures, telemetry
+from telewarden.operators import activity, ensemble, evaluation, features, signatures, telemetry
 from telewarden.plans import views
 from telewarden.plans.registry import over, query
-from telewarden.session import scratch_path
+from telewarden.session import cut_lineage, scratch_path
 from telewarden.sources import readers, writers
-from telewarden.streaming import jobs
+from telewarden.streaming import delivery, jobs
 
 
 def millis(c: str = "ts") -> Column:
@@ -323,3 +324,69 @@ def audit_features(spark: SparkSession, folder: str) -> DataFrame:
 ))
 def audit_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return signatures.tag_signatures(views.audit(spark, folder)).select("event_id", "signature")
+
+
+_ACTIVITY = {
+    "hourly": "select user_name, cast(floor(epoch_us(ts) / 3600e6) as bigint) as hour, count(*) as events from v_audit group by 1, 2",
+    "weighed": f"select *, events * pow(2e0, (hour - (select min(hour) from hourly)) / {activity.HALF_LIFE_HOURS}e0) as w from hourly",
+    "summed": f"""select *, sum(w) over (partition by user_name order by hour range between {activity.HISTORY_HOURS} preceding and 1 preceding) as past,
+        sum(w) over (partition by user_name, hour % 24 order by hour range between {activity.HISTORY_HOURS} preceding and 1 preceding) as same,
+        least(hour - min(hour) over (partition by user_name), {activity.HISTORY_HOURS}) as n from weighed""",
+    "measured": f"""select user_name, hour, events, case when n >= {activity.LEAST_HOURS} then coalesce(past * events / w, 0e0)
+            / list_sum([pow(2e0, -i / {activity.HALF_LIFE_HOURS}e0) for i in range(1, n + 1)]) end as expected,
+        case when n >= {activity.LEAST_HOURS} then coalesce(same, 0e0) / past end as hour_share from summed""",
+    "activity": f"""select *, coalesce(events >= {activity.LEAST_EVENTS} and events > expected * {activity.MOST_RATE}, false) as frequency_anomaly,
+        coalesce(hour_share < {activity.LEAST_SHARE}, false) as unusual_time from measured""",
+}
+
+
+@query("activity_baseline", over(
+    "v_audit", "select user_name, hour, events, round(expected, 6) as expected, round(hour_share, 6) as hour_share, frequency_anomaly, unusual_time from activity", **_ACTIVITY
+))
+def activity_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected events and share of the hour for every user and hour, and what departs from them."""
+    found = activity.activity_baseline(activity.hourly_activity(views.audit(spark, folder)))
+    return found.withColumns({c: F.round(c, 6) for c in ("expected", "hour_share")})
+
+
+@query("audit_signatures_all", over(
+    "v_audit",
+    """select event_id, case when status_code = 401 and resource in ('secret', 'secrets') then 'brute_force_auth'
+       when action = 'update' and resource = 'rbac' then 'privilege_escalation'
+       when response_time_ms >= 5000 and object_count >= 1000 then 'data_exfiltration'
+       when action = 'delete' and bulk_delete then 'malicious_deletion'
+       when status_code = 403 and resource = 'rbac' and namespace = 'kube-system' then 'unauthorized_access'
+       when unusual_time or frequency_anomaly then 'unusual_patterns'
+       else 'none' end as signature from v_audit join activity a on a.user_name = v_audit.user_name and a.hour = floor(epoch_us(ts) / 3600e6)""",
+    **_ACTIVITY,
+))
+def audit_signatures_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All six signatures; the inputs of the last are taken from the users' own history."""
+    logs = views.audit(spark, folder)
+    baseline = cut_lineage(activity.activity_baseline(activity.hourly_activity(logs)), "activity")
+    return signatures.tag_signatures(activity.flag_activity(logs, baseline)).select("event_id", "signature")
+
+
+_ROUTED = over(
+    "v_telemetry",
+    """select event_id, coalesce(route, 'good') as route from (
+         select event_id, case when event_id % 50 = 3 then 'corrupt' when ms < (select max(ms) from parts b where b.part < parts.part
+             and b.event_id % 50 <> 3) - 120000 then 'late' else 'good' end as route from parts) r""",
+    parts="select event_id, epoch_us(ts) // 1000 as ms, event_id % 3 as part from v_telemetry",
+)
+
+
+@query("route_telemetry", _ROUTED)
+def route_telemetry(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of three batches in exactly one of good, late and corrupt; each fiftieth is cut short."""
+    topic, out = scratch_path(spark, "telemetry"), scratch_path(spark, "routed")
+    values = _telemetry_values(spark, folder)
+    whole = F.col("event_id") % 50 != 3
+    text = values.select("event_id", F.when(whole, F.col("value")).otherwise(F.concat(F.col("event_id").cast("string"), F.lit("{"))).alias("value"))
+    for part in range(3):  # a batch each
+        text.where(F.col("event_id") % 3 == part).select("value").coalesce(1).write.mode("append").text(topic)
+    parsed = telemetry.parse_telemetry(readers.open_values(spark, topic, streaming=True, options={"maxFilesPerTrigger": "1"}))
+    delivery.route_records(parsed, out, scratch_path(spark, "routed-progress")).awaitTermination()
+    found = delivery.read_delivered(spark, out, T.StructType([*parsed.schema.fields, T.StructField("route", T.StringType())]))
+    number = F.when(F.col("route") == delivery.CORRUPT, F.regexp_extract("_corrupt", r"^(\d+)", 1)).otherwise(F.col("event_id"))
+    return found.select(number.cast("long").alias("event_id"), "route")

@@ -60,6 +60,13 @@ VIEWS: dict[str, str] = {
     "v_policy": """select f.*, a.user_name, a.action, a.namespace,
         case when a.user_name in ('admin', 'developer') then a.user_name else 'system' end as user_role
         from v_fused f join v_audit a using (event_id)""",
+    "v_gappy_scored": """select event_id, ts, node_name, case when event_id % 9 <> 4 then s_lstm end as s_lstm,
+        case when event_id % 7 <> 3 then s_if end as s_if, s_gnn, y_true from v_scored""",
+    "v_gappy_fused": """select *, 0.47e0 * s_lstm + 0.28e0 * s_if + 0.25e0 * s_gnn as raw, case when s_lstm is not null and s_if is not null
+        then least(greatest(0.47e0 * s_lstm + 0.28e0 * s_if + 0.25e0 * s_gnn, 0e0), 1e0) end as score,
+        least(greatest((0.47e0 * coalesce(s_lstm, 0) + 0.28e0 * coalesce(s_if, 0) + 0.25e0 * s_gnn)
+        / (0.25e0 + case when s_lstm is null then 0e0 else 0.47e0 end + case when s_if is null then 0e0 else 0.28e0 end), 0e0), 1e0) as weighted
+        from v_gappy_scored""",
     "v_nodes": """select concat('node-', cast(user_id % 8 as varchar)) as graph_id, user_id as node_id, avg(value) as f0,
         avg(cast(regexp_extract(props, '([0-9]+)', 1) as double)) as f1, avg(cast(event_id % 200 as double)) as f2
         from events group by user_id""",
@@ -84,6 +91,8 @@ VIEWS: dict[str, str] = {
 _NEEDS = {
     "v_fused": ["v_scored"],
     "v_policy": ["v_scored", "v_fused", "v_audit"],
+    "v_gappy_scored": ["v_scored"],
+    "v_gappy_fused": ["v_scored", "v_gappy_scored"],
     "v_codes": ["v_telemetry"],
     "v_features": ["v_telemetry", "v_codes"],
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telewarden.operators import ensemble, evaluation, policy
 from telewarden.plans import views
-from telewarden.plans.registry import over, query
+from telewarden.plans.registry import grid, grid_sql, over, query
 
 
 def fused(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,11 +75,48 @@ def explain(spark: SparkSession, folder: str) -> DataFrame:
     return ensemble.explain(views.scored(spark, folder)).drop("ts", "node_name", "y_true")
 
 
+# ---- missing scores, as NaN and as null
+
+def _gappy(spark: SparkSession, folder: str) -> DataFrame:
+    return ensemble.detect(ensemble.fuse_scores(views.gappy_scored(spark, folder)))
+
+
+@query("fuse_scores_missing", over(
+    "v_gappy_fused",
+    f"""select event_id, {grid_sql("score", 6)} as score, score >= 0.85e0 as is_anomaly, {grid_sql("weighted", 6)} as weighted,
+       concat_ws(',', case when s_lstm is null then 'lstm' end, case when s_if is null then 'isolation_forest' end) as missing_models from v_gappy_fused""",
+))
+def fuse_scores_missing(spark: SparkSession, folder: str) -> DataFrame:
+    both = ensemble.fuse_scores(_gappy(spark, folder), into="weighted", allow_missing=True)
+    snapped = [grid(F.col(c), 6).alias(c) for c in ("score", "weighted")]
+    return both.select("event_id", *snapped, "is_anomaly", F.concat_ws(",", "missing_models").alias("missing_models"))
+
+
+@query("score_summary_missing", over(
+    "v_gappy_fused",
+    """select count(*) as samples, count(*) filter (where score >= 0.85e0) as anomalies, count(*) filter (where score < 0.85e0) as normals, round(min(score), 6) as min,
+       round(max(score), 6) as max, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std from v_gappy_fused""",
+))
+def score_summary_missing(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded_all(ensemble.score_summary(_gappy(spark, folder)))
+
+
+@query("minmax_scores_missing", over(
+    "v_gappy_scored",
+    """select event_id, round((s_lstm - lo) / (hi - lo), 6) as s_lstm, round((hif - s_if) / (hif - lif), 6) as s_if
+       from v_gappy_scored, (select min(s_lstm) as lo, max(s_lstm) as hi, min(s_if) as lif, max(s_if) as hif from v_gappy_scored) b""",
+))
+def minmax_scores_missing(spark: SparkSession, folder: str) -> DataFrame:
+    t = views.gappy_scored(spark, folder)
+    both = ensemble.minmax_score(ensemble.minmax_score(t, "s_lstm", "s_lstm"), "s_if", "s_if", invert=True)
+    return rounded_all(both.select("event_id", "s_lstm", "s_if"))
+
+
 # ---- policy
 
-_ALERT = """case when score >= 0.95e0 then 'critical' when score >= 0.85e0 then 'high' when score >= 0.75e0 then 'medium'
+ALERT_SQL = """case when score >= 0.95e0 then 'critical' when score >= 0.85e0 then 'high' when score >= 0.75e0 then 'medium'
     when score >= 0.50e0 then 'low' else 'none' end"""
-_ACTION = """case when score >= 0.95e0 then 'QUARANTINE' when score >= 0.85e0 then 'ISOLATE' when score >= 0.75e0 then 'MONITOR'
+ACTION_SQL = """case when score >= 0.95e0 then 'QUARANTINE' when score >= 0.85e0 then 'ISOLATE' when score >= 0.75e0 then 'MONITOR'
     when score >= 0.50e0 then 'LOG' else 'ALLOW' end"""
 _NAMESPACE = "((namespace = 'default' and score < 0.70e0) or (namespace = 'kube-system' and score < 0.65e0))"
 _ROLE = """((user_role = 'admin' and replace(action, '-', '') in ('create', 'update', 'delete', 'exec', 'portforward'))
@@ -92,8 +129,8 @@ def _rule_query(name: str, sql: str, build) -> None:
         return views.policy_input(spark, folder).select("event_id", build().alias("outcome"))
 
 
-_rule_query("alert_level", _ALERT, lambda: policy.alert_level(F.col("score")))
-_rule_query("recommend_action", _ACTION, lambda: policy.recommend_action(F.col("score")))
+_rule_query("alert_level", ALERT_SQL, lambda: policy.alert_level(F.col("score")))
+_rule_query("recommend_action", ACTION_SQL, lambda: policy.recommend_action(F.col("score")))
 _rule_query("isolation_rule", "(score >= 0.85e0 and confidence >= 0.90e0)", lambda: policy.isolate(F.col("score"), F.col("confidence")))
 _rule_query("quarantine_rule", "(score >= 0.95e0 and confidence >= 0.95e0)", lambda: policy.quarantine(F.col("score"), F.col("confidence")))
 _rule_query("namespace_gate", _NAMESPACE, lambda: policy.namespace_allowed(F.col("namespace"), F.col("score")))
@@ -107,6 +144,25 @@ _rule_query(
 _rule_query("audit_required", "(score >= 0.85e0)", lambda: policy.audit_required(F.col("score")))
 
 
+@query("policy_missing", over(
+    "v_gappy_fused",
+    f"""select event_id, {ALERT_SQL} as alert_level, {ACTION_SQL} as action, coalesce(s_lstm >= 0.5e0 and s_if >= 0.5e0 and s_gnn >= 0.5e0, false) as consensus,
+        coalesce(score >= 0.85e0, false) as audited, coalesce(score >= 0.85e0 and confidence >= 0.90e0, false) as isolated,
+        coalesce(confidence >= 0.85e0, false) as confident from (select *, case when score is not null then
+        1e0 - (greatest(s_lstm, s_if, s_gnn) - least(s_lstm, s_if, s_gnn)) end as confidence from v_gappy_fused) c""",
+))
+def policy_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels, actions and rules over records that lack a score: no rule holds and nothing is done."""
+    raw = F.col("s_lstm") * 0.47 + F.col("s_if") * 0.28 + F.col("s_gnn") * 0.25  # NaN where a part is
+    judged = views.gappy_scored(spark, folder).withColumn("raw", raw)
+    confidence = policy.model_confidence(F.col("s_lstm"), F.col("s_if"), F.col("s_gnn"))
+    return judged.select(
+        "event_id", policy.alert_level(F.col("raw")).alias("alert_level"), policy.recommend_action(F.col("raw")).alias("action"),
+        policy.consensus(0.5, F.col("s_lstm"), F.col("s_if"), F.col("s_gnn")).alias("consensus"), policy.audit_required(F.col("raw")).alias("audited"),
+        policy.isolate(F.col("raw"), confidence).alias("isolated"), policy.high_confidence(confidence).alias("confident"),
+    )
+
+
 @query("policy_violations", over(
     "v_policy",
     f"""select event_id, concat_ws(',', case when not {_NAMESPACE} then 'invalid_action_in_namespace' end,
@@ -171,6 +227,14 @@ def binary_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_all(evaluation.binary_metrics(fused(spark, folder), 0.5))
 
 
+@query("binary_metrics_missing", over(
+    "v_gappy_fused", f"select tp, fp, fn, tn, {_RATES} from c", c=_CONFUSION.format(t="0.5e0").replace("v_fused", "v_gappy_fused")
+))
+def binary_metrics_missing(spark: SparkSession, folder: str) -> DataFrame:
+    raw = views.gappy_scored(spark, folder).withColumn("score", F.col("s_lstm") * 0.47 + F.col("s_if") * 0.28 + F.col("s_gnn") * 0.25)
+    return rounded_all(evaluation.binary_metrics(raw, 0.5))
+
+
 _CUMULATIVE = """select score as threshold, pos, neg, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over () as p, sum(neg) over () as n
     from (select score, count(*) filter (where y_true = 1) as pos, count(*) filter (where y_true = 0) as neg from v_fused group by score) g
     window w as (order by score desc rows unbounded preceding)"""
@@ -234,6 +298,18 @@ def threshold_opt(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_all(evaluation.best_threshold(fused(spark, folder)))
 
 
+def _best_query(metric: str, oracle: str) -> None:
+    @query(f"threshold_opt_{metric}", over("v_fused", oracle, sweep=_SWEEP_COUNTS, cum=_CUMULATIVE))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return rounded_all(evaluation.best_threshold(fused(spark, folder), metric))
+
+
+_PRECISION, _RECALL = ("case when tp + {0} > 0 then tp / cast(tp + {0} as double) else 0e0 end".format(x) for x in ("fp", "fn"))
+_best_query("precision", f"select *, precision as optimized from ({_SWEEP} order by {_PRECISION} desc, threshold limit 1) b")
+_best_query("recall", f"select *, recall as optimized from ({_SWEEP} order by {_RECALL} desc, threshold limit 1) b")
+_best_query("roc_auc", f"select *, (select round(({_ROC_AUC}), 6)) as optimized from ({_SWEEP} order by threshold limit 1) b")
+
+
 _CLASSES = """select 'Normal' as class, tn as hit, fn as wrong, fp as missed from c union all select 'Anomaly', tp, fp, fn from c"""
 _PER_CLASS = """select class, case when hit + wrong > 0 then hit / cast(hit + wrong as double) else 0e0 end as precision,
     case when hit + missed > 0 then hit / cast(hit + missed as double) else 0e0 end as recall,

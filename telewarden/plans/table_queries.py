@@ -49,6 +49,17 @@ def window_feature_stats(spark: SparkSession, folder: str) -> DataFrame:
     return split_statistics(statistics(spark, folder, "60 seconds"))
 
 
+@query("window_stats_missing", over("v_features", window_sql("6 hours", 21600)).replace(
+    "value as cpu_usage", "case when event_id % 9 <> 4 then value end as cpu_usage"
+).replace(
+    "cast(regexp_extract(props, '([0-9]+)', 1) as double) as memory_usage", "case when event_id % 7 <> 3 then cast(regexp_extract(props, '([0-9]+)', 1) as double) end as memory_usage"
+))
+def window_stats_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """Window statistics of telemetry with NaN and null cells, which count in none of their columns."""
+    gappy = with_features(views.gappy_telemetry(spark, folder))
+    return split_statistics(windows.window_statistics(gappy, FEATURE_COLUMNS, length="6 hours"))
+
+
 @query("window_feature_stats_6h", over("v_features", window_sql("6 hours", 21600)))
 def window_feature_stats_6h(spark: SparkSession, folder: str) -> DataFrame:
     return split_statistics(statistics(spark, folder, "6 hours"))
@@ -235,10 +246,26 @@ def preprocess_all_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("pca")
 def principal_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's coordinates on all components that make up 95 % of the variance."""
     vectors = readers.read_table(spark, folder, "embeddings")
-    model = pca.fit_pca(vectors, "embedding", 0.95)
-    projected = model.project(vectors, "embedding", "z")
-    return projected.select("vec_id", F.size("z").alias("components"), *[F.round(F.col("z")[i], 6).alias(f"z{i}") for i in range(3)])
+    projected = pca.fit_pca(vectors, "embedding", 0.95).project(vectors, "embedding", "z")
+    cells = projected.select("vec_id", F.posexplode("z").alias("component", "value"))
+    return cells.withColumn("value", F.round("value", 6))
+
+
+@query("pca_variance", """with cells as (select vec_id, unnest(range(1, 65)) as i, unnest(embedding)::double as x from embeddings),
+    means as (select i, avg(x) as m from cells group by i)
+    select count(distinct vec_id) as vectors, count(distinct i) as components, round(sum((x - m) * (x - m)) / (count(distinct vec_id) - 1), 6) as variance,
+    round(sum(m * m) / count(distinct vec_id), 6) as mean_square from cells join means using (i)""")
+def pca_variance(spark: SparkSession, folder: str) -> DataFrame:
+    """Variance over all components, which only orthonormal axes around the mean keep as it is in the vectors."""
+    vectors = readers.read_table(spark, folder, "embeddings")
+    model = pca.fit_pca(vectors, "embedding", 64)
+    z = model.project(vectors, "embedding", "z").select("vec_id", F.posexplode("z").alias("i", "z"))
+    found = z.agg(F.count_distinct("vec_id").alias("vectors"), F.count_distinct("i").alias("components"), F.sum(F.col("z") * F.col("z")).alias("total"))
+    return found.select(
+        "vectors", "components", F.round(F.col("total") / (F.col("vectors") - 1), 6).alias("variance"), F.round(F.lit(float(model.mean @ model.mean)), 6).alias("mean_square")
+    )
 
 
 # ---- sequences

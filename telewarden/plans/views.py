@@ -134,3 +134,21 @@ def pods(spark: SparkSession, folder: str) -> DataFrame:
     region = read_table(prepare(spark), folder, "region")
     numbered = region.select("r_name", F.explode(F.array(F.col("r_regionkey"), F.col("r_regionkey") + 5)).alias("i"))
     return numbered.where("i < 7").select(F.concat(F.lit("node-"), F.col("i").cast("string")).alias("node_name"), "r_name")
+
+
+def gappy_telemetry(spark: SparkSession, folder: str) -> DataFrame:
+    """The telemetry view with NaN for some CPU values and null for some memory values."""
+    e = F.col("event_id")
+    return telemetry(spark, folder).withColumns({
+        "cpu_usage": F.when(e % 9 == 4, F.lit(float("nan"))).otherwise(F.col("cpu_usage")),
+        "memory_usage": F.when(e % 7 != 3, F.col("memory_usage")),
+    })
+
+
+def gappy_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """The score view with NaN for some sequence scores and null for some forest scores."""
+    e = F.col("event_id")
+    return scored(spark, folder).withColumns({
+        "s_lstm": F.when(e % 9 == 4, F.lit(float("nan"))).otherwise(F.col("s_lstm")),
+        "s_if": F.when(e % 7 != 3, F.col("s_if")),
+    })

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telewarden.sources.writers import MANIFEST, MANIFEST_SCHEMA
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -102,6 +104,11 @@ def read_logs(spark: SparkSession, location: str, *, tag: str | Column | None =
     return lines if max_line is None else lines.where(F.length("log") <= max_line)
 
 
-def read_model(spark: SparkSession, location: str, part: str) -> DataFrame:
-    """A saved model table; a missing one is an error, never replaced by something random."""
-    return spark.read.parquet(f"{location.rstrip('/')}/{part}")
+def read_model(spark: SparkSession, location: str) -> dict[str, DataFrame]:
+    """All parts of the newest complete version of a model; a missing part is an error, never replaced by something random."""
+    root = location.rstrip("/")
+    versions = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/{MANIFEST}")
+    newest = versions.orderBy(F.col("number").desc(), F.col("version").desc()).first()
+    if newest is None:
+        raise FileNotFoundError(f"no complete model below {location}")
+    return {part: spark.read.parquet(f"{root}/{newest['version']}/{part}") for part in newest["parts"]}

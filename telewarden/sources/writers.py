@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +37,21 @@ def write_report(report: DataFrame, location: str) -> str:
     return location
 
 
+MANIFEST = "manifest"
+MANIFEST_SCHEMA = "number long, version string, parts array<string>"
+
+
 def save_model(parts: Mapping[str, DataFrame], location: str) -> str:
+    """Write the parts as a new version, and only then a row that names it.
+
+    Spark commits that row as a whole, so readers find a complete version or the one before; what a failed writer leaves is never read.
+    """
+    root, version = location.rstrip("/"), f"version-{uuid.uuid4().hex}"
     for name, table in parts.items():
-        table.write.parquet(f"{location.rstrip('/')}/{name}")
+        table.write.parquet(f"{root}/{version}/{name}")
+    spark = next(iter(parts.values())).sparkSession
+    row = [(time.time_ns(), version, sorted(parts))]
+    spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
     return location
 
 
@@ -46,9 +60,10 @@ def telemetry_json(audit: Column, metrics: Column) -> Column:
     return F.to_json(F.struct(audit.alias("audit_log"), metrics.alias("system_metrics")))
 
 
-def feature_json(time_ms: Column, node: Column, features: Column) -> Column:
-    """A feature vector as JSON text."""
-    return F.to_json(F.struct(time_ms.alias("timestamp"), node.alias("node_name"), features.alias("features")))
+def feature_json(time_ms: Column, node: Column, features: Column, window_size: Column | None = None) -> Column:
+    """A feature vector as JSON text, with the size of its window where given."""
+    size = [] if window_size is None else [window_size.alias("window_size")]
+    return F.to_json(F.struct(time_ms.alias("timestamp"), node.alias("node_name"), *size, features.alias("features")))
 
 
 def stream_to(df: DataFrame, location: str, checkpoint: str, *, fmt: str = "parquet", interval: str | None = None, options: Mapping[str, str] | None = None) -> StreamingQuery:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from telewarden import schemas
 from telewarden.operators import autoencoder, ensemble, graph, iforest
 from telewarden.plans import models
+from telewarden.sources import readers, writers
 from telewarden.session import scratch_path
 
 
@@ -193,12 +194,46 @@ def test_dropout_is_seeded_and_scaled(spark):
 
 
 def test_sampled_graphs(spark, points):
-    nodes, edges = graph.sample_graphs(points, id_col="id", graphs=30)
-    sizes = {r.graph_id: r["count"] for r in nodes.groupBy("graph_id").count().collect()}
-    assert len(sizes) == 30 and all(5 <= s <= 24 for s in sizes.values()) and len(set(sizes.values())) > 5
-    assert nodes.select("graph_id", "id").distinct().count() == sum(sizes.values())
-    for r in edges.groupBy("graph_id").agg(F.count("*").alias("n"), F.max(F.greatest("src", "dst")).alias("top"), F.min("traffic").alias("lo")).collect():
-        assert 5 <= r.n < max(2 * sizes[r.graph_id], 6) and r.top < sizes[r.graph_id] and r.lo >= 0
+    home = points.select(F.when(F.col("id") < 700, "a").otherwise("b").alias("graph_id"), F.col("id").alias("node_id"), F.col("features"))
+    pairs = spark.range(3000).select(((F.col("id") * 37) % 1000).alias("src"), ((F.col("id") * 91 + 5) % 1000).alias("dst"), F.lit(1.0).alias("traffic"))
+    linked = pairs.select(F.when(F.col("src") < 700, "a").otherwise("b").alias("graph_id"), "src", "dst", "traffic").where((F.col("src") < 700) == (F.col("dst") < 700))
+    nodes, edges = graph.sample_graphs(home, linked, graphs=30)
+    members = {}
+    for r in nodes.collect():
+        members.setdefault((r.graph_id, r.source_graph), set()).add(r.node_id)
+        assert (r.node_id < 700) == (r.source_graph == "a") and len(r.features) > 0
+    assert len(members) == 30 == len({s for s, _ in members}) and all(5 <= len(m) <= 24 for m in members.values()) and len(set(map(len, members.values()))) > 5
+    assert {g for _, g in members} == {"a", "b"}
+    expected = sorted((s, r.src, r.dst) for r in linked.collect() for (s, g), m in members.items() if g == r.graph_id and r.src in m and r.dst in m)
+    assert sorted((r.graph_id, r.src, r.dst) for r in edges.collect()) == expected and expected
+    assert sorted(map(tuple, graph.sample_graphs(home.repartition(7), linked, graphs=30)[0].select("graph_id", "node_id").collect())) == sorted(
+        (s, k) for (s, _), m in members.items() for k in m
+    )
+
+
+def test_baseline_of_sampled_graphs(spark):
+    home = spark.range(200).select(F.lit("a").alias("graph_id"), F.col("id").alias("node_id"), F.sin("id").alias("x"), F.cos("id").alias("y"))
+    linked = spark.range(800).select(F.lit("a").alias("graph_id"), (F.col("id") % 200).alias("src"), ((F.col("id") * 7 + 3) % 200).alias("dst"))
+    matrix = graph.projection_matrix(2, 8)
+    mean, std = graph.baseline(home, linked, matrix, ["x", "y"], graphs=20)
+    found = np.array([r.embedding for r in graph.sampled_embeddings(home, linked, matrix, ["x", "y"], graphs=20).collect()])
+    assert found.shape == (20, 8) and mean == pytest.approx(found.mean(axis=0)) and std == pytest.approx(found.std(axis=0))
+    trained = models.Models(None, None, matrix, 3, mean, std)
+    graphs = models.Graphs(home, linked, ["x", "y"])
+    whole = models.score_graphs(graphs, trained).collect()
+    assert len(whole) == 1 and 0 < whole[0].s_gnn < 0.01
+
+
+def test_newest_complete_model_is_read(spark):
+    root = scratch_path(spark, "versions")
+    with pytest.raises(Exception):
+        readers.read_model(spark, root)
+    part = lambda n: {"part": spark.createDataFrame([(n,)], "n int")}
+    writers.save_model(part(1), root)
+    part(3)["part"].write.parquet(f"{root}/version-unfinished/part")
+    assert readers.read_model(spark, root)["part"].first().n == 1
+    writers.save_model(part(2), root)
+    assert readers.read_model(spark, root)["part"].first().n == 2
 
 
 # ---- ensemble
@@ -248,6 +283,8 @@ def test_minmax_of_equal_and_missing_values(spark):
 def test_models_survive_storage(spark, points):
     trained = models.train_all(points, id_col="id", trees=10, hidden=8)
     location = models.save_models(trained, spark, scratch_path(spark, "models"))
+    half = spark.createDataFrame([(1,)], "length int")
+    half.write.parquet(f"{location}/version-zzz/metadata")  # a writer that stopped half-way
     loaded = models.load_models(spark, location)
     a = models.score_vectors(points, trained).withColumnsRenamed({c: f"{c}_a" for c in ("s_lstm", "s_if", "s_gnn")})
     both = models.score_vectors(a, loaded)

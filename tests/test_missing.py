@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from telewarden import session
 from telewarden.functions import skew
 from telewarden.functions.vectors import multiply
-from telewarden.operators import cleaning, graph, iforest, scaling, signatures, telemetry, windows
+from telewarden.operators import autoencoder, cleaning, ensemble, evaluation, graph, iforest, pca, policy, scaling, signatures, telemetry, windows
 from telewarden.sources import readers
 
 NAN = float("nan")
@@ -135,3 +135,44 @@ def test_quantiles_of_two_piles_stay_bounded(spark, monkeypatch, n):
     got = quantiles.exact_quantiles(df, ["x"], probs, in_memory=100)["x"]
     assert got == pytest.approx(list(np.quantile(values, probs)))
     assert all(k <= 100 for k in held)
+
+
+def test_nan_scores_are_missing(spark):
+    df = spark.createDataFrame([(1, NAN, 0.2, 0.4, 1.0), (2, None, 0.2, 0.4, 1.0), (3, 0.99, 0.98, 0.97, 1.0), (4, 0.1, 0.1, NAN, NAN)], "id int, s_lstm double, s_if double, s_gnn double, y_true double")
+    fused = {r.id: r for r in ensemble.detect(ensemble.fuse_scores(df)).collect()}
+    assert fused[1].score is fused[2].score is fused[4].score is None and fused[1].is_anomaly is None and fused[3].is_anomaly
+    rest = {r.id: r for r in ensemble.fuse_scores(df, allow_missing=True).collect()}
+    assert rest[1].score == rest[2].score == pytest.approx((0.28 * 0.2 + 0.25 * 0.4) / 0.53) and rest[1].missing_models == rest[2].missing_models == ["lstm"]
+    raw = spark.createDataFrame([(1, NAN, 1), (2, None, 1), (3, 0.96, 1), (4, 0.1, 0)], "id int, score double, y_true int")
+    levels = {r.id: (r.level, r.action, r.audit) for r in raw.select("id", policy.alert_level(F.col("score")).alias("level"), policy.recommend_action(F.col("score")).alias("action"), policy.audit_required(F.col("score")).alias("audit")).collect()}
+    assert levels == {1: ("none", "ALLOW", False), 2: ("none", "ALLOW", False), 3: ("critical", "QUARANTINE", True), 4: ("none", "ALLOW", False)}
+    assert tuple(evaluation.confusion(raw, 0.5).first()) == (1, 0, 0, 1)
+    assert evaluation.curve_areas(raw).first().roc_auc == 1.0 and evaluation.roc_curve(raw).count() == 3
+    assert evaluation.threshold_sweep(raw).where("threshold = 0").select("tp", "fp").first() == (1, 1)
+    assert tuple(ensemble.score_summary(raw, 0.5).first())[:5] == (4, 1, 1, 0.1, 0.96)
+    assert [r.s for r in ensemble.minmax_score(raw, "score", "s").orderBy("id").collect()] == [None, None, 1.0, 0.0]
+    same = raw.where("id < 2 or id = 3")
+    assert {r.id: r.s for r in ensemble.minmax_score(same, "score", "s").collect()} == {1: None, 3: 0.0}
+
+
+def test_incomplete_rows_are_left_out_of_fits(spark):
+    rng = np.random.default_rng(3)
+    whole = [(k, rng.normal(size=3).tolist()) for k in range(300)]
+    broken = [(1000, [NAN, 1.0, 2.0]), (1001, [1.0, None, 2.0]), (1002, None)]
+    schema = "id long, v array<double>"
+    clean, dirty = spark.createDataFrame(whole, schema), spark.createDataFrame(whole + broken, schema)
+    a, b = pca.fit_pca(clean, "v", 2), pca.fit_pca(dirty, "v", 2)
+    np.testing.assert_allclose(a.components, b.components, atol=1e-12)
+    np.testing.assert_allclose(a.mean, b.mean, atol=1e-12)
+    trees = [iforest.fit_iforest(d, id_col="id", features="v", trees=5) for d in (clean, dirty)]
+    assert sorted(map(tuple, trees[0].nodes.collect())) == sorted(map(tuple, trees[1].nodes.collect())) and trees[0].offset == trees[1].offset
+    coders = [autoencoder.fit_autoencoder(d, "v", 1) for d in (clean, dirty)]
+    assert coders[0].low == pytest.approx(coders[1].low)
+
+
+def test_nan_counts_in_no_window_statistic(spark):
+    rows = [(1, 1.0), (2, NAN), (3, 3.0), (4, None)]
+    df = spark.createDataFrame(rows, "s int, x double").select(F.lit("n").alias("node_name"), F.timestamp_seconds("s").alias("ts"), "x")
+    for slide in (None, "30 seconds"):
+        got = windows.window_statistics(df, ["x"], slide=slide).orderBy("timestamp").first()
+        assert (got.window_size, got.features) == (4, [2.0, 1.0])

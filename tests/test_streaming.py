@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,87 @@ def test_tagged_log_files_as_a_stream(spark):
     logs = readers.read_logs(spark, location, streaming=True, max_line=80)
     got, _ = run(spark, merge_log(logs.withColumnRenamed("log", "line"), "log string, stream string", field="line"), "logs")
     assert sorted(map(tuple, got.collect()), key=str) == [("container.a", "x", "stdout"), ("kubelet", "y", None)]
+
+
+def _pattern_models(spark, length):
+    from telewarden.operators.autoencoder import SequenceAutoencoder
+    from telewarden.operators.pca import PcaModel
+
+    axes, _ = np.linalg.qr(np.random.default_rng(4).normal(size=(length * 2, 3)))
+    return SequenceAutoencoder(PcaModel(np.linspace(0, 1, length * 2), axes.T, np.zeros(3)), 0.0, 1.0)
+
+
+@pytest.mark.parametrize("with_history", [False, True])
+def test_sequences_kept_as_state_equal_the_batch(spark, with_history):
+    from telewarden.operators.sequence_moments import stretches
+
+    length = 4
+    coder = _pattern_models(spark, length)
+    rng = np.random.default_rng(1)
+    rows = [(f"n{k % 3}", k, None if k == 20 else [float(rng.normal()), float("nan") if k == 31 else 0.5]) for k in range(60)]
+    schema = "node_name string, timestamp long, features array<double>"
+    cut = 15 if with_history else 0
+    stream = batches(spark, schema, rows[cut:25][::-1], [rows[25], rows[24]], rows[26:41], rows[41:])  # one record comes twice
+    history = spark.createDataFrame(rows[:cut], schema) if with_history else None
+    got, _ = run(spark, jobs.sequence_errors(stream, coder, length, history=history), "sequence-errors")
+    found = {}
+    for r in got.collect():
+        if r.timestamp != 24 or r.error is not None:
+            found[r.timestamp] = r.error
+    table = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("timestamp"))
+    stored = stretches(table, F.col("features"), keys=["node_name"], order=["ts"], length=length, keep=["timestamp"])
+    expected = {r.timestamp: r.error for r in coder.row_errors(stored, length).collect() if r.timestamp >= cut}
+    assert {t: e for t, e in found.items() if e is not None} == pytest.approx({t: e for t, e in expected.items() if e is not None})
+    assert sum(e is not None for e in found.values()) > 25 and got.count() == 61 - cut
+
+
+def test_restarted_delivery_has_each_row_once(spark, monkeypatch):
+    from pyspark.sql import types as T
+
+    from telewarden.streaming import delivery
+
+    schema = "k int, ts timestamp"
+    stream = lambda: readers.open_records(spark, location, T.StructType.fromDDL(schema), streaming=True, options={"maxFilesPerTrigger": "1"})
+    location, out, progress = (scratch_path(spark, n) for n in ("parts", "delivered", "progress"))
+    for part in range(4):
+        spark.createDataFrame([(part * 10 + i, T0) for i in range(5)], schema).coalesce(1).write.mode("append").parquet(location)
+    calls = []
+
+    def fail_once(batch, before):
+        calls.append(before.count())
+        if len(calls) == 3:
+            batch.write.parquet(f"{out}/batches/query_name=q/batch_id=2")  # written, but never committed
+            raise RuntimeError("lost")
+        return batch
+
+    with pytest.raises(Exception):
+        delivery.deliver(stream(), out, progress, name="q", prepare=fail_once).awaitTermination()
+    read = lambda: sorted(r.k for r in delivery.read_delivered(spark, out, T.StructType.fromDDL(schema)).collect())
+    assert len(read()) == 10
+    delivery.deliver(stream(), out, progress, name="q", time_col="ts", prepare=fail_once).awaitTermination()
+    assert read() == [p * 10 + i for p in range(4) for i in range(5)] and calls == [0, 1, 2, 2, 3]
+    # A batch that was committed before its progress was noted is skipped when Spark repeats it.
+    delivery.deliver(stream(), out, scratch_path(spark, "fresh-progress"), name="q").awaitTermination()
+    assert len(read()) == 20
+
+
+def test_each_record_has_one_route(spark):
+    from pyspark.sql import types as T
+
+    from telewarden.operators.telemetry import parse_telemetry
+    from telewarden.streaming import delivery
+
+    def record(k, seconds):
+        return '{"event_id": "%s", "timestamp": "%d"}' % (k, 1_704_067_200_000 + seconds * 1000)
+
+    location, out = scratch_path(spark, "lines"), scratch_path(spark, "routes")
+    parts = [[record(1, 0), record(2, 600), "{broken"], [record(3, 479), record(4, 480), record(5, -9000), ""], [record(6, 5000)]]
+    for part in parts:
+        spark.createDataFrame([(p,) for p in part], "value string").coalesce(1).write.mode("append").text(location)
+    parsed = parse_telemetry(readers.open_values(spark, location, streaming=True, options={"maxFilesPerTrigger": "1"}))
+    delivery.route_records(parsed, out, scratch_path(spark, "routes-progress")).awaitTermination()
+    found = delivery.read_delivered(spark, out, T.StructType([*parsed.schema.fields, T.StructField("route", T.StringType())])).collect()
+    routes = {}
+    for r in found:
+        routes.setdefault(r.route, []).append(r._corrupt if r.route == "corrupt" else r.event_id)
+    assert {k: sorted(v) for k, v in routes.items()} == {"good": ["1", "2", "4", "6"], "late": ["3", "5"], "corrupt": ["", "{broken"]}
