@@ -7,15 +7,21 @@ counted; only occurrences of frequent groups go into the next length's relation.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain, repeat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telewarden.functions.skew import is_small, lookup_join
 from telewarden.llm.spelling import lower_ascii
+from telewarden.llm.token_counts import byte_slices
 from telewarden.session import cut_lineage, scratch_path
 from telewarden.sources.readers import with_row_id
 
@@ -27,25 +33,84 @@ UNKNOWN = "und"
 BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 50_000
 #: A table of phrases is broadcast up to so many rows and bytes of words, else joined by a shuffle that spreads frequent ones.
 LOOKUP_ROWS, LOOKUP_BYTES = 1_000_000, 64 << 20
-#: Rows that are ranked together before each language's best meet.
-RANKED_ROWS = 200_000
+#: Rows that are ranked together before each language's best meet, and the least number of such parts.
+RANKED_ROWS, LEAST_PARTS = 200_000, 16
 SCALE = 2_000_000
-_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Buckets of the row alone do for a join on row, piece and place; a bucket that is one file is known to be sorted.
+_BUCKET_SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+_ENDS = re.compile(PIECE_ENDS)
 
 
 @contextmanager
 def _joined_in_buckets(spark: SparkSession) -> Iterator[None]:
-    """Within, a join on row, piece and place may use buckets of the row alone."""
-    before = spark.conf.get(_CO_PARTITION)
-    spark.conf.set(_CO_PARTITION, "false")
+    """Within, joins use the buckets and their order."""
+    before = {name: spark.conf.get(name) for name in _BUCKET_SETTINGS}
+    for name, value in _BUCKET_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_CO_PARTITION, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def pieces_of(text: str) -> list[list[str]]:
+    """The words of each piece of a text; only A-Z is lower-cased."""
+    lowered = text.lower() if text.isascii() else text.encode().lower().decode()
+    return [list(filter(None, piece.split(" "))) for piece in _ENDS.split(lowered.replace("\t", " "))]
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``lang, word, n``; tasks add up the words of some megabytes of text at a time, so less is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in byte_slices(whole, "text"):
+                held: dict[str, Counter[str]] = defaultdict(Counter)
+                for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    held[lang].update(chain.from_iterable(pieces_of(text)))
+                for lang, own in held.items():
+                    columns = [pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
+
+    counted = texts.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def numbered_occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``row, piece, at, id`` of every word in ``names``, a table ``lang, word, id`` small enough to be everywhere."""
+    numbers: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in names.toLocalIterator():
+        numbers[r["lang"]][r["word"]] = r["id"]
+    kind = {"int": pa.int32(), "bigint": pa.int64()}[dict(names.dtypes)["id"]]
+    shared = texts.sparkSession.sparkContext.broadcast(dict(numbers))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for whole in batches:
+            for batch in byte_slices(whole, "text", 1 << 20):
+                rows, parts, places, ids = [], [], [], []
+                for row, lang, text in zip(*(batch.column(c).to_pylist() for c in ("row", "lang", "text")), strict=True):
+                    own = pieces_of(text)
+                    sizes = np.fromiter(map(len, own), np.int64, len(own))
+                    total = int(sizes.sum())
+                    id_ = np.fromiter(map(known.get(lang, {}).get, chain.from_iterable(own), repeat(-1)), np.int64, total)
+                    kept = np.flatnonzero(id_ >= 0)
+                    ends = np.cumsum(sizes)
+                    part = np.searchsorted(ends, kept, side="right")
+                    rows.append(np.full(len(kept), row, np.int64))
+                    parts.append(part)
+                    places.append(kept - (ends - sizes)[part])
+                    ids.append(id_[kept])
+                columns = [np.concatenate(c) for c in (rows, parts, places, ids)]
+                types = [pa.int64(), pa.int32(), pa.int32(), kind]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "piece", "at", "id"])
+
+    return texts.mapInArrow(place, f"row long, piece int, at int, id {dict(names.dtypes)['id']}")
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """``row, lang, piece, at, word`` of every word of ``row, lang, text``."""
+    """``row, lang, piece, at, word`` of every word of ``row, lang, text``, for tables of words too large to be everywhere."""
     pieces = texts.select("row", "lang", F.posexplode(F.split("text", PIECE_ENDS)).alias("piece", "words"))
     words = pieces.select("row", "lang", "piece", F.posexplode(F.regexp_extract_all("words", F.lit(WORD), F.lit(1))).alias("at", "word"))
     return words.withColumn("word", lower_ascii(F.col("word")))
@@ -104,7 +169,7 @@ def mine(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, lang_co
     chosen = docs.select(
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    words = cut_lineage(occurrences(chosen).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    words = cut_lineage(count_words(chosen), "words")
     totals = cut_lineage(words.groupBy("lang").agg(F.sum("n").alias("n")), "languages")
     one = words.where(F.col("n") >= least)
     known = {1: _numbered(one.select("lang", F.col("word").alias("phrase"), F.array("n").alias("heads"), F.array("n").alias("tails")), "phrases")}
@@ -113,7 +178,7 @@ def mine(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, lang_co
     names = known[1].select("lang", F.col("phrase").alias("word"), "id")
     try:
         if _fits(names, names.agg(F.sum(F.octet_length("word"))).first()[0] or 0):
-            placed = occurrences(chosen.repartition(relations.buckets, "row")).join(F.broadcast(names), ["lang", "word"])
+            placed = numbered_occurrences(chosen.repartition(relations.buckets, "row"), names)
         else:
             placed = lookup_join(occurrences(chosen), names, ["lang", "word"], small_rows=0).repartition(relations.buckets, "row")
         relation = relations.keep(placed.select("row", "piece", "at", "id"))
@@ -156,7 +221,7 @@ def collocations(
     between the two stands at least as often as the longer one, only those a word longer have to be looked at.
 
     A null text is empty, a null language is ``und``, repeated rows count again, an empty table gives an empty one, other columns are not
-    read. A long text is cut into rows of words where it lies. The occurrences are written once per length below ``longest``, the
+    read. A text of any length is cut into its words where it lies. The occurrences are written once per length below ``longest``, the
     phrases and their counts as small tables; a language's candidates are ranked in parts, of which at most ``best`` rows go on.
     """
     totals, known = mine(docs, least=least, longest=longest, lang_col=lang_col, text_col=text_col)
@@ -171,7 +236,7 @@ def collocations(
         found = scored.drop("id") if found is None else found.unionByName(scored.drop("id"))
     stored = cut_lineage(found, "candidates")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    parts = max(1, -(-stored.count() // RANKED_ROWS))
+    parts = max(LEAST_PARTS, -(-stored.count() // RANKED_ROWS))
     dealt = stored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
     heads = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= best)
     ranked = heads.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
