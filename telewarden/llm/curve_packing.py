@@ -1,6 +1,6 @@
-"""Packing along a space-filling curve: documents near each other in word space share sequences.
+"""Packing along a space-filling curve: documents near each other in token space share sequences.
 
-A document's hashed word vector is projected at random to a short one, and that to the few principal axes of all documents. Each axis is
+A document's hashed token vector is projected at random to a short one, and that to the few principal axes of all documents. Each axis is
 cut into equally full cells; a cell's place on the Hilbert curve orders the documents. Ranges of the curve go to tasks, which lay their documents end to end and cut the
 stream into full sequences. Texts are encoded once; their ids are stored in parts of bounded size and shuffled by curve range.
 """
@@ -17,15 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewarden.functions.vectors import as_matrix, multiply
-from telewarden.llm import pieces, shingles
+from telewarden.llm import pieces
 from telewarden.llm.token_counts import byte_slices
 from telewarden.session import cut_lineage
 
-#: Entries of a hashed word vector, of its random projection, and axes of the curve.
+#: Entries of a hashed token vector, of its random projection, and axes of the curve.
 BUCKETS, SHORT, DIMENSIONS = 4_096, 32, 4
 #: Cells of an axis, as a power of two.
 CELL_BITS = 8
 SEED = 13
+#: Hashes an id: the upper 12 bits of its product with an odd number.
+_SPREAD, _SHIFT = np.uint32(2_654_435_769), np.uint32(32 - 12)
 #: Ids of a stored part; a long document is many rows.
 PART_TOKENS = 65_536
 #: Precision of the cells' borders, as the inverse of the share of documents they may be off by.
@@ -44,16 +46,14 @@ def projection(seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(BUCKETS, SHORT))
 
 
-def placed(text: str, directions: np.ndarray) -> np.ndarray:
-    """The projected word vector of a text, of length one before projection: logarithms of counts with hashed signs. No words give zeros."""
-    counted = [shingles.shingles(part, 1) for part in pieces.segments(text)]
-    hashes, at = np.unique(np.concatenate([h for h, _ in counted]), return_inverse=True)
-    if not len(hashes):
+def placed(ids: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """The projected token vector of a document, of length one before projection: logarithms of counts of hashed ids. No ids give zeros."""
+    counts = np.bincount((ids * _SPREAD) >> _SHIFT, minlength=BUCKETS)
+    met = np.flatnonzero(counts)
+    if not len(met):
         return np.zeros(directions.shape[1])
-    weights = np.log1p(np.bincount(at, np.concatenate([n for _, n in counted])))
-    weights /= np.sqrt(weights @ weights)
-    signs = np.where(hashes >> np.uint64(63), -1.0, 1.0)
-    return (weights * signs) @ directions[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
+    weights = np.log1p(counts[met])
+    return weights @ directions[met] / np.sqrt(weights @ weights)
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -91,9 +91,10 @@ def encode_parts(docs: DataFrame, path: str, end_id: int, *, spaces_kept: bool =
         tail = int(end_id).to_bytes(4, "little")
         for whole in batches:
             for batch in byte_slices(whole, "text"):
-                texts, rows = batch.column("text").to_pylist(), []
-                for row, doc_id, text, ids in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), texts, encoder(texts), strict=True):
-                    data, place = memoryview(ids + tail), placed(text or "", directions).tolist()
+                rows = []
+                encoded = encoder(batch.column("text").to_pylist())
+                for row, doc_id, ids in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), encoded, strict=True):
+                    data, place = memoryview(ids + tail), placed(np.frombuffer(ids, "<u4"), directions).tolist()
                     size = len(data) // 4
                     for a in range(0, size, PART_TOKENS):
                         rows.append((row, doc_id, size, a, _narrow(data[4 * a : 4 * (a + PART_TOKENS)]), place))
