@@ -7,13 +7,16 @@ text. Each piece goes to the tokenizers library once and is remembered, as words
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-#: Remembered pieces and words of a worker; beyond that it starts afresh, so memory stays bounded.
-REMEMBERED = 600_000
+#: Bytes of the pieces and words that a worker remembers; beyond them it starts afresh. A block of texts may add its own once.
+REMEMBERED = 192 << 20
+#: Bytes of a remembered entry besides its characters and its ids.
+ENTRY_BYTES = 180
 #: Longer texts are cut into segments of about this many characters.
 SEGMENT_CHARS = 1 << 20
 #: Texts handed over at once, in characters.
@@ -32,6 +35,17 @@ _PLAIN = re.compile(rf" ?{_RUN_CLASS}++(?:[ \n]{_RUN_CLASS}++)*+")
 _BLANK_RUNS = re.compile(r"[a-zß-öø-įı-ž]+|[0-9]|[.,;:!?$%&#*()\"|+=@/_-]+")
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
+# The steps before the merges, normalizer and pre-tokenizer, for which the cuts below hold, with and without kept spaces.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STEPS = {
+    True: (None, {**_BYTES, "use_regex": True}),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True}, {**_BYTES, "use_regex": False}]},
+    ),
+}
+
 _encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 
@@ -55,10 +69,22 @@ def segments(text: str, chars: int = SEGMENT_CHARS) -> Iterator[str]:
     yield text[begin:]
 
 
+class _Learnt(dict):
+    """Values by text; an unknown one is learned when it is asked for."""
+
+    def __init__(self, learn: Callable[[str], int | bytes]):
+        super().__init__()
+        self._learn = learn
+
+    def __missing__(self, text: str) -> int | bytes:
+        value = self[text] = self._learn(text)
+        return value
+
+
 class PieceEncoder:
     """``spaces_kept``: a blank belongs to the word after it (byte-level vocabularies); else white space is dropped.
 
-    Values are token counts, or ids as little-endian unsigned 32-bit integers.
+    Texts are cut only if the file's steps are the ones known for that; under any other vocabulary they are encoded whole. Values are token counts, or ids as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str, spaces_kept: bool, lengths_only: bool, remembered: int = REMEMBERED):
@@ -69,13 +95,17 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._model = self._tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            stated = json.load(file)
+        self._known = (stated.get("normalizer"), stated.get("pre_tokenizer")) == _STEPS[spaces_kept] and stated["model"]["type"] == "BPE"
         # Letters as the byte-level step hands them to the merges; for single words that step is all that precedes them.
         step = ByteLevel(add_prefix_space=False, use_regex=False)
         codes = [32, *(c for c in range(0x250) if chr(c).isalpha())]
         self._byte_letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in codes}
         self._spaces_kept, self._lengths_only, self._remembered = spaces_kept, lengths_only, remembered
-        self._pieces: dict[str, int | bytes] = {}
-        self._words: dict[str, int | bytes] = {}
+        self._pieces, self._words = _Learnt(self._piece), _Learnt(self._word)
+        self._held = 0
 
     def __call__(self, texts: list[str | None]) -> list[int] | list[bytes]:
         """One value per text; null counts as empty."""
@@ -96,14 +126,15 @@ class PieceEncoder:
                 gc.enable()
 
     def _block(self, texts: list[str]) -> list[int] | list[bytes]:
-        if len(self._pieces) > self._remembered:
+        if not self._known:
+            ids = [x.ids for x in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return list(map(len, ids)) if self._lengths_only else [array("I", x).tobytes() for x in ids]
+        if self._held > self._remembered:
             self._pieces.clear()
-        if len(self._words) > self._remembered:
             self._words.clear()
+            self._held = 0
         out = []
         parts = [[self._parts(s) for s in segments(t)] for t in texts]
-        self._learn_words({w for own in parts for plain, words in own if plain for w in words}.difference(self._words))
-        self._learn({p for own in parts for plain, pieces in own if not plain for p in pieces}.difference(self._pieces))
         words, pieces = self._words.__getitem__, self._pieces.__getitem__
         for own in parts:
             if self._lengths_only:
@@ -138,18 +169,19 @@ class PieceEncoder:
             return [piece]
         return runs if self._spaces_kept else [r.lower() for r in runs]
 
-    def _learn(self, pieces: set[str]) -> None:
-        runs = {p: self._runs(p) for p in pieces}
-        self._learn_words({r for rs in runs.values() for r in rs}.difference(self._words))
-        get = self._words.__getitem__
-        for piece, own in runs.items():
-            self._pieces[piece] = get(own[0]) if len(own) == 1 else sum(map(get, own)) if self._lengths_only else b"".join(map(get, own))
-
-    def _learn_words(self, words: set[str]) -> None:
-        plain = [w for w in words if _LETTERS.fullmatch(w)]
-        others = list(words.difference(plain))
-        model, table = self._tokenizer.model.tokenize, self._byte_letters
-        ids = [[t.id for t in model(w.translate(table))] for w in plain]
-        ids += [x.ids for x in self._tokenizer.encode_batch(others, add_special_tokens=False)]
-        values = map(len, ids) if self._lengths_only else (array("I", x).tobytes() for x in ids)
-        self._words.update(zip(plain + others, values, strict=True))
+    def _remember(self, text: str, ids: list[int]) -> int | bytes:
+        """The value of a text's ids; what the entry takes is counted."""
+        value = len(ids) if self._lengths_only else array("I", ids).tobytes()
+        self._held += 2 * len(text) + (0 if self._lengths_only else len(value)) + ENTRY_BYTES
+        return value
+
+    def _piece(self, piece: str) -> int | bytes:
+        own = [self._words[r] for r in self._runs(piece)]
+        value = own[0] if len(own) == 1 else sum(own) if self._lengths_only else b"".join(own)
+        self._held += 2 * len(piece) + (0 if self._lengths_only else len(value)) + ENTRY_BYTES
+        return value
+
+    def _word(self, word: str) -> int | bytes:
+        if _LETTERS.fullmatch(word):
+            return self._remember(word, [t.id for t in self._model.tokenize(word.translate(self._byte_letters))])
+        return self._remember(word, self._tokenizer.encode(word, add_special_tokens=False).ids)
