@@ -2,15 +2,16 @@
 
 A configuration is a multiset of piece lengths that fits one sequence. The program over the length histogram asks for the
 fewest configurations that hold every piece. Its size depends on the sequence length alone, so it is solved on
-the driver: multiplicative weights price the lengths, a knapsack dynamic program finds the configuration of highest
-price, and the fractional solution is rounded down. What rounding leaves is filled best-fit from the longest piece on. Pieces then
-find their place by their rank among pieces of equal length.
+the driver: multiplicative weights price the lengths, a knapsack dynamic program finds the configurations of highest
+price that hold the longest open pieces, until every length is covered. The fractional solution is rounded, down first and then
+up by largest fraction, and what is left gets a program of its own; the last few pieces are filled best-fit. Pieces
+then find their place by their rank among pieces of equal length.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,14 @@ from telewarden.llm import pieces
 from telewarden.llm.token_counts import byte_slices
 from telewarden.session import cut_lineage
 
-#: Linear programs solved one after the other, each over what rounding has left of the one before: the share of the scarcest length
-#: that a pricing covers, and the number of pricings. Small shares come close to the optimum, large ones cover many lengths.
-ROUNDS = ((0.05, 200), (0.1, 200), (1.0, 400))
+#: The price of a length is its share of a sequence to this power, so that long pieces come first and short ones are left to fill.
+LENGTH_POWER = 1.02
 #: How fast the price of a length falls with its cover.
-LEARNING_RATE = 3.0
+LEARNING_RATE = 0.5
+#: Configurations taken from one pricing, one for each of the longest lengths that are not covered.
+COLUMNS = 64
+#: Programs over what rounding leaves go on while each places at least this share of the tokens it is given.
+LEAST_PLACED = 0.3
 #: Pieces that share a ranking group: of one length and one hash bucket, at most about this many.
 GROUP_ROWS = 100_000
 LEAST_BUCKETS = 256
@@ -56,11 +60,11 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, *, spaces
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack with repetition: the multiset of ``lengths`` (ascending) of highest total price that fits."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """For every room, the length (as an index into the ascending ``lengths``) that comes first in its best filling; -1 leaves a token empty."""
     value = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1)
-    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
         k = fitting[room]
         value[room] = value[room - 1]
@@ -69,38 +73,47 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -
             best = int(worth.argmax())
             if worth[best] > value[room]:
                 value[room], taken[room] = worth[best], best
+    return taken
+
+
+def best_filling(taken: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
+    """The multiset of lengths of highest total price that fits, by the table of ``knapsack``."""
     found: dict[int, int] = {}
-    room = capacity
     while room > 0:
-        if taken[room] < 0:
+        k = int(taken[room])
+        if k < 0:
             room -= 1
         else:
-            found[int(taken[room])] = found.get(int(taken[room]), 0) + 1
-            room -= int(lengths[taken[room]])
+            found[k] = found.get(k, 0) + 1
+            room -= int(lengths[k])
     return found
 
 
-def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float, pricings: int) -> list[tuple[dict[int, int], float]]:
-    """A fractional solution by multiplicative weights: configurations with the number of sequences each is used for.
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
+    """A fractional solution by multiplicative weights: configurations, as pairs of length index and copies, with their number of sequences.
 
-    The price of a length is the share of a sequence it takes times ``exp(-LEARNING_RATE * cover)``. Each pricing uses the best
-    configuration of lengths not yet covered, as often as ``share`` of the scarcest length in it allows.
+    The price of a length is its share of a sequence, to ``LENGTH_POWER``, times ``exp(-LEARNING_RATE * cover)``. One knapsack serves the
+    longest open lengths: each is completed to its best configuration of open lengths, used as often as the scarcest of them
+    allows. So every configuration covers a length, and there are at most as many as lengths.
     """
     cover = np.zeros(len(lengths))
     used: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(pricings):
+    while True:
         open_ = np.flatnonzero(cover < 1)
         if not len(open_):
-            break
-        prices = lengths[open_] / capacity * np.exp(-LEARNING_RATE * cover[open_])
-        found = {int(open_[k]): n for k, n in best_configuration(lengths[open_], prices, capacity).items()}
-        at, n = np.array(list(found)), np.array(list(found.values()))
-        times = float((np.minimum(share, 1 - cover[at]) * counts[at] / n).min())
-        cover[at] += n * times / counts[at]
-        cover[at[cover[at] > 1 - 1e-9]] = 1
-        key = tuple(sorted(found.items()))
-        used[key] = used.get(key, 0.0) + times
-    return [(dict(key), times) for key, times in used.items()]
+            return used
+        own = lengths[open_]
+        taken = knapsack(own, (own / capacity) ** LENGTH_POWER * np.exp(-LEARNING_RATE * cover[open_]), capacity)
+        for first in range(len(own) - 1, max(-1, len(own) - 1 - COLUMNS), -1):
+            found = best_filling(taken, own, capacity - int(own[first]))
+            found[first] = found.get(first, 0) + 1
+            at, n = open_[np.array(list(found))], np.array(list(found.values()))
+            times = float(((1 - cover[at]) * counts[at] / n).min())
+            if times > 0:  # none of them was covered since the pricing
+                cover[at] += n * times / counts[at]
+                cover[at[cover[at] > 1 - 1e-9]] = 1
+                key = tuple(sorted(zip(at.tolist(), n.tolist(), strict=True)))
+                used[key] = used.get(key, 0.0) + times
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -125,26 +138,30 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return plan
 
 
-def packing_plan(histogram: Mapping[int, int], capacity: int, rounds: Sequence[tuple[float, int]] = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations as ``{length: copies}`` with whole numbers of sequences; together they hold exactly the histogram."""
+def packing_plan(histogram: Mapping[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations as ``{length: copies}`` with whole numbers of sequences, which together hold exactly the histogram, and how
+    many of the first are the program's."""
     lengths = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[int(n)] for n in lengths], np.int64)
     plan: list[tuple[dict[int, int], int]] = []
-    for share, pricings in rounds:
-        live = np.flatnonzero(left)
-        if not len(live):
-            break
-        for found, times in configuration_program(lengths[live], left[live].astype(float), capacity, share, pricings):
-            own = {int(live[k]): n for k, n in found.items()}
-            whole = min([int(times + 1e-9), *(int(left[k] // n) for k, n in own.items())])
+    while left.any():
+        live, before = np.flatnonzero(left), int((left * lengths).sum())
+        solved = configuration_program(lengths[live], left[live].astype(float), capacity)
+        by_fraction = sorted(solved, key=lambda key: solved[key] % 1, reverse=True)
+        for key, times in [(key, int(solved[key] + 1e-9)) for key in solved] + [(key, 1) for key in by_fraction]:
+            own = {int(live[k]): n for k, n in key}
+            whole = min([times, *(int(left[k] // n) for k, n in own.items())])
             if whole:
                 plan.append(({int(lengths[k]): n for k, n in own.items()}, whole))
                 for k, n in own.items():
                     left[k] -= n * whole
+        if before - int((left * lengths).sum()) < LEAST_PLACED * before:
+            break
+    programmed = len(plan)
     live = np.flatnonzero(left)
     for found, times in best_fit(lengths[live], left[live], capacity):
         plan.append(({int(lengths[live[k]]): n for k, n in found.items()}, times))
-    return plan
+    return plan, programmed
 
 
 def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -182,11 +199,11 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int, *, spaces_kept:
 
     A null or empty text is its end id alone, repeated rows are packed again, an empty table gives an empty one, columns
     other than the id and the text are not read. Texts are not shuffled; pieces, a few dozen bytes each, are written to
-    a table once. The driver holds the histogram, at most ``capacity`` numbers, and a plan bounded by the pricings.
+    a table once. The driver holds the histogram, at most ``capacity`` numbers, and a plan of about as many configurations.
     """
     parts = cut_lineage(cut_pieces(docs, path, end_id, capacity, spaces_kept=spaces_kept, id_col=id_col, text_col=text_col), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = _slots(packing_plan(histogram, capacity))
+    slots = _slots(packing_plan(histogram, capacity)[0])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from telewarden.llm import packing, pfor, pieces, token_counts, token_files
+from telewarden.llm import packing, pfor, pieces, shingles, token_counts, token_files
 from telewarden.session import scratch_path
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -125,7 +125,7 @@ def test_packing(spark, odd_docs):
     [({}, 0), ({7: 1}, 1), ({10: 5, 4: 9, 3: 2}, 10), ({6: 1000}, 1000), ({5: 3, 6: 3, 7: 3}, 8), ({n: 40 + n for n in range(1, 11)}, 263)],
 )
 def test_plans_hold_the_histogram(histogram, best):
-    plan = packing.packing_plan(histogram, 10)
+    plan, _ = packing.packing_plan(histogram, 10)
     held = defaultdict(int)
     for found, times in plan:
         assert times > 0 and sum(n * c for n, c in found.items()) <= 10
@@ -140,9 +140,58 @@ def test_best_configuration_is_best():
     for _ in range(20):
         lengths = np.unique(rng.integers(1, 12, 4))
         prices = rng.random(len(lengths))
-        found = packing.best_configuration(lengths, prices, 15)
+        found = packing.best_filling(packing.knapsack(lengths, prices, 15), lengths, 15)
         best = np.zeros(16)
         for room in range(1, 16):
             best[room] = max([best[room - 1], *(best[room - n] + p for n, p in zip(lengths, prices, strict=True) if n <= room)])
         assert sum(lengths[k] * c for k, c in found.items()) <= 15
         assert sum(prices[k] * c for k, c in found.items()) == pytest.approx(best[15])
+
+
+@pytest.mark.parametrize(("n", "mu", "sigma"), [(40, 4.2, 1.0), (3000, 4.2, 1.0), (66_000, 4.2, 1.0), (66_000, 5.1, 0.4), (500_000, 4.2, 1.0), (300_000, 3.0, 0.5)])
+def test_program_places_nearly_all(n, mu, sigma):
+    """The program's own configurations hold at least 90 % of the tokens, in tiny tables less, and together need no more sequences than best-fit alone, but for rounding."""
+    capacity = 256
+    size = np.maximum(1, np.random.default_rng(n).lognormal(mu, sigma, n).astype(int))
+    lengths, counts = np.unique((size - 1) % capacity + 1, return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    plan, programmed = packing.packing_plan(histogram, capacity)
+    held = {}
+    for found, times in plan:
+        assert sum(k * c for k, c in found.items()) <= capacity and times > 0
+        for k, c in found.items():
+            held[k] = held.get(k, 0) + c * times
+    assert held == histogram
+    alone = sum(times for _, times in packing.best_fit(lengths, counts.copy(), capacity))
+    assert sum(times for _, times in plan) <= alone * 1.0005 + 1
+    placed = sum(sum(k * c for k, c in found.items()) * times for found, times in plan[:programmed])
+    assert placed >= (0.6 if n < 100 else 0.9) * (lengths * counts).sum()
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_memory_is_bounded_by_bytes(kept):
+    """Texts without blanks are one piece each; what is remembered of them stays near its bound."""
+    path = BYTE if kept else WORD
+    limit = 2 << 20
+    encoder = pieces.PieceEncoder(path, kept, False, limit)
+    for block in range(12):
+        encoder([chr(0x4E00 + (block * 97 + k) % 5000) * 2000 for k in range(60)])
+        held = sum(len(k) * 2 + len(v) for d in (encoder._pieces, encoder._words) for k, v in d.items())
+        assert held < limit + 2 * 60 * 2000 * (2 + 4 * 3)
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(shingles, "REMEMBERED", 100_000)
+    for k in range(40):
+        shingles.shingles(" ".join(f"{k}word{i}{'x' * 200}" for i in range(50)))
+        assert sum(map(len, shingles._hashes)) < 100_000 + 50 * 220
+
+
+@pytest.mark.parametrize(("path", "kept"), [(WORD, True), (BYTE, False)])
+def test_other_vocabularies_are_encoded_whole(path, kept):
+    """Files whose steps are not those the cuts are made for still give the library's ids."""
+    encoder = pieces.PieceEncoder(path, kept, False)
+    texts = [*odd_texts(300), "", "word " * 200]
+    assert not encoder._known and pieces.PieceEncoder(path, not kept, False)._known
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert encoder(texts) == [array("I", w.ids).tobytes() for w in want]
