@@ -21,6 +21,8 @@ from telewarden.session import cut_lineage
 
 #: Most vectors of a chunk, and the number of chunks aimed at while they are smaller than that.
 CHUNK_ROWS, LEAST_CHUNK_ROWS, CHUNKS = 16_384, 1_024, 12
+#: Most bytes of a chunk's vectors, and links a tile holds before they are folded into its classes.
+CHUNK_BYTES, LINKS_HELD = 64 << 20, 1 << 20
 #: Rows and columns of the part of a tile that is compared at once.
 PART_ROWS = 1_024
 #: Leading axes that are added up before pairs are dropped, in turn.
@@ -126,7 +128,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, *, id_col: str = "vec
     widths = {r["width"]: r["n"] for r in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
     main = max(widths, key=lambda w: (widths[w], -w), default=0)
     axes = principal_axes(classes, main) if main else np.zeros((0, 0))
-    rows_per_chunk = min(CHUNK_ROWS, max(LEAST_CHUNK_ROWS, -(-sum(widths.values()) // CHUNKS)))
+    widest = max(widths, default=1)
+    rows_per_chunk = min(CHUNK_ROWS, max(1, CHUNK_BYTES // (8 * max(widest, 1))), max(LEAST_CHUNK_ROWS, -(-sum(widths.values()) // CHUNKS)))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +195,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, *, id_col: str = "vec
         shift = 0 if itself else len(one[0])
         nodes = one[0] if itself else np.concatenate([one[0], two[0]])
         copies = one[1] if itself else np.concatenate([one[1], two[1]])
-        counts, links = np.zeros(len(nodes), np.int64), []
+        counts, links, held = np.zeros(len(nodes), np.int64), [], 0
         for i, j in linked_pairs(one[2], two[2], one[3], two[3], threshold):
             if itself:
                 other = i < j
@@ -201,6 +204,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, *, id_col: str = "vec
             np.add.at(counts, i, copies[j])
             np.add.at(counts, j, copies[i])
             links.append((i.astype(np.int32), j.astype(np.int32)))
+            held += len(i)
+            if held > LINKS_HELD:  # what is connected so far is a link of each node to its root
+                links, held = [(np.arange(len(nodes), dtype=np.int32), _forest(len(nodes), links).astype(np.int32))], 0
         root = _forest(len(nodes), links)
         linked = np.flatnonzero(counts)
         arrays = [pa.array(nodes[linked]), pa.array(nodes[root[linked]]), pa.array(counts[linked])]

@@ -25,8 +25,8 @@ SAMPLE_DOCS = 4_000
 #: An n-gram is put into a language's set if it is there at least so often in the sample, and at least at this share of its
 #: relative frequency in the language where it is most frequent.
 LEAST_COUNT, LEAST_SHARE = 3, 0.25
-#: Slots of the filter, a power of two, and look-ups per n-gram.
-SLOTS, LOOKUPS = 1 << 20, 2
+#: Least slots of the filter, slots for each n-gram of the language with most of them, and look-ups per n-gram.
+SLOTS, SLOTS_PER_GRAM, LOOKUPS = 1 << 20, 16, 2
 UNKNOWN = "und"
 _TEXTS_BYTES = 2 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -89,8 +89,14 @@ class LanguageFilter:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, score, 0.0)
 
 
-def build_filter(languages: list[str], grams: np.ndarray, owner: np.ndarray, slots: int = SLOTS) -> LanguageFilter:
-    """``languages`` by falling frequency, so that ties go to the commoner one; ``owner[i]`` is the language of ``grams[i]``."""
+def build_filter(languages: list[str], grams: np.ndarray, owner: np.ndarray, slots: int | None = None) -> LanguageFilter:
+    """``languages`` by falling frequency, so that ties go to the commoner one; ``owner[i]`` is the language of ``grams[i]``.
+
+    ``slots`` is a power of two; by default it grows with the n-grams, whose number the sample bounds.
+    """
+    if slots is None:
+        most = int(np.bincount(owner, minlength=1).max(initial=0))
+        slots = max(SLOTS, 1 << (SLOTS_PER_GRAM * most - 1).bit_length()) if most else SLOTS
     masks = np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64)
     rates = np.zeros(len(languages))
     for k in range(len(languages)):
@@ -143,7 +149,7 @@ def identify(docs: DataFrame, model: LanguageFilter, *, keep: Column | None = No
     Whole texts count. ``und`` with score 0 stands for a null text, one without letters, and any text if nothing could be learned. The
     score is the share of the text's n-grams that the language contains. Ties go to the commoner language, then to the smaller
     name. Repeated rows get equal results, an empty table an empty one; columns other than the id and the text are not read. The
-    filter is broadcast and of fixed size.
+    filter is broadcast; its size goes by the n-grams of the sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *([] if keep is None else [keep.alias("row")])]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from math import isqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ def lookup_table(shards: Sequence[str], slots: int = SLOTS, weights: Sequence[fl
     """The shard's place in ``shards`` for each slot. A shard of weight w claims w slots a turn, on average."""
     if len(set(shards)) != len(shards) or not shards or len(shards) > slots:
         raise ValueError("shards must be distinct names, at least one and at most one per slot")
+    if any(slots % k == 0 for k in range(2, isqrt(slots) + 1)):
+        raise ValueError("the number of slots must be a prime, or a shard's steps would not reach all of them")
     shares = np.ones(len(shards)) if weights is None else np.asarray(weights, float)
     if len(shares) != len(shards) or not (shares > 0).all():
         raise ValueError("each shard needs a positive weight")

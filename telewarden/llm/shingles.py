@@ -9,14 +9,17 @@ from xxhash import xxh3_64_intdigest
 
 #: Words of a shingle.
 SHINGLE_WORDS = 5
-#: Remembered words of a worker.
-REMEMBERED = 1_000_000
+#: Bytes of the words that a worker remembers, and of an entry besides its characters.
+REMEMBERED, ENTRY_BYTES = 192 << 20, 150
 _WORDS = re.compile(r"\w+")
 _STEP, _FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
+    held = 0
+
     def __missing__(self, word: str) -> int:
+        self.held += ENTRY_BYTES + 2 * len(word)
         value = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
 
@@ -31,8 +34,9 @@ def words_of(text: str) -> list[str]:
 
 def shingles(text: str, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles as ascending hashes, with their counts. A text of fewer words is a single shingle; one without words has none."""
-    if len(_hashes) > REMEMBERED:
+    if _hashes.held > REMEMBERED:
         _hashes.clear()
+        _hashes.held = 0
     found = words_of(text)
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -21,6 +21,8 @@ from telewarden.llm.token_counts import byte_slices
 
 #: A page is closed once it holds so many tokens.
 PAGE_TOKENS = 131_072
+#: Characters of a text that take part in the ranges.
+RANGE_CHARS = 64
 PAGE_SCHEMA = (
     "shard int, page int, shard_start long, tokens long, doc_ids array<long>, doc_tokens array<long>, blocks binary, block_starts binary"
 )
@@ -33,7 +35,9 @@ def write_token_files(
     """Encode every text, append ``end_id`` to each, and write the files below ``location``.
 
     A null text is empty, so only the end id is written; a repeated row is written again, equal ids stand in order of their
-    texts, null ids come first. Texts are shuffled once, by ranges of doc_id that Spark balances by sampling.
+    texts, null ids come first; an empty table gives files without rows; other columns are not read. Texts are shuffled once, by ranges
+    of doc_id and of the beginning of the text, so one id may be many tasks; Spark balances them by sampling. A very long text is
+    encoded in segments.
     """
     end = np.array([] if end_id is None else [end_id], np.uint32)
 
@@ -62,7 +66,7 @@ def write_token_files(
             yield close()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = chosen.repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, PAGE_SCHEMA).write.option("compression", "uncompressed").parquet(location)
 
 

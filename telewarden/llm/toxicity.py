@@ -35,8 +35,8 @@ STEM_LENGTHS, SAME_SHARE = range(4, 11), 0.9
 EDITS, LEAST_TERM, LEAST_STEM = 1, 5, 7
 #: Words on either side of a match that belong to its window.
 WINDOW = 8
-#: Remembered words of a worker, and automaton states.
-REMEMBERED, STATES = 500_000, 50_000
+#: Bytes of the words that a worker remembers, of an entry besides its characters, and automaton states.
+REMEMBERED, ENTRY_BYTES, STATES = 96 << 20, 150, 50_000
 _OPENING, _CLOSING, _BOTH = "“„«‹‘(", "”»›’)", "\"'"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _TEXTS_BYTES = 2 << 20
@@ -172,10 +172,10 @@ class ToxicityModel:
     coefficients: np.ndarray  # of the features, the constant last
 
     def __post_init__(self):
-        self._automaton, self._seen = None, {}
+        self._automaton, self._seen, self._held = None, {}, 0
 
     def __getstate__(self):
-        return {"entries": self.entries, "weights": self.weights, "coefficients": self.coefficients, "_automaton": None, "_seen": {}}
+        return {"entries": self.entries, "weights": self.weights, "coefficients": self.coefficients, "_automaton": None, "_seen": {}, "_held": 0}
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Rows of ``FEATURES``. Words are looked up once and remembered."""
@@ -183,8 +183,9 @@ class ToxicityModel:
             self._automaton = LexiconAutomaton(self.entries)
         out = np.zeros((len(texts), len(FEATURES)))
         for row, text in enumerate(texts):
-            if len(self._seen) > REMEMBERED:
+            if self._held > REMEMBERED:
                 self._seen.clear()
+                self._held = 0
             words = words_of(text)
             try:
                 found = list(map(self._seen.__getitem__, words))
@@ -193,6 +194,7 @@ class ToxicityModel:
                 for word in set(words).difference(self._seen):
                     plain = bare(word)
                     self._seen[word] = match(plain) if plain else None
+                    self._held += ENTRY_BYTES + 2 * len(word)
                 found = list(map(self._seen.__getitem__, words))
             if any(found):
                 out[row] = self._score(words, found)

@@ -68,7 +68,7 @@ def brute_components(n, linked):
     return label
 
 
-@pytest.mark.parametrize("settings", [{}, {"LEAST_CHUNK_ROWS": 10, "CHUNK_ROWS": 20, "PART_ROWS": 7, "GATHERED": 5, "AXES": (1, 2, 4)}])
+@pytest.mark.parametrize("settings", [{}, {"LEAST_CHUNK_ROWS": 10, "CHUNK_ROWS": 20, "PART_ROWS": 7, "GATHERED": 5, "AXES": (1, 2, 4), "LINKS_HELD": 3}])
 def test_near_duplicate_vectors(vectors, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(embedding_dedup, name, value)
