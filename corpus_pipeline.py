@@ -22,7 +22,7 @@ MIX_SEED = 7
 
 def _whole_row(docs: DataFrame) -> Column:
     """The row under one name, so that its columns never clash with an operator's."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.struct(*[F.col("`{}`".format(c.replace("`", "``"))) for c in docs.columns])
 
 
 def _rows(found: DataFrame) -> DataFrame:
@@ -30,13 +30,20 @@ def _rows(found: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. Labels of all folds may be learned from."""
+    """Documents predicted toxic go; a null or empty text and repeated rows are scored like others. Labels of all folds may be learned from.
+
+    Where only one class is labelled, all documents are judged by its share; without labels, or without documents, nothing goes. Texts of any
+    length are read whole.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return _rows(toxicity.score(docs, model, keep=_whole_row(docs)).where("predicted = 0"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that the table names, go."""
+    """Documents without a letter (null and empty texts, too), or in no language that the table names, go.
+
+    Repeated rows are judged alike; if no row names a language, all stay, as an empty table does. Texts of any length are read whole.
+    """
     model = language_id.fit(docs, F.lit(True))
     found = language_id.identify(docs, model, keep=_whole_row(docs))
     if not model.languages:
@@ -45,7 +52,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of smallest id."""
+    """One document of each group of near copies stays, the one of smallest id; of equal ids that of smallest text, once if rows repeat.
+
+    All null texts stay; texts without words are near their equals only; an empty table stays empty. Texts of any length are compared whole.
+    """
     decided = cut_lineage(minhash_dedup.near_duplicates(docs), "decided")
     kept = decided.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     once = kept.distinct()
@@ -57,7 +67,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes its words, rounded up or down along its source's streams."""
+    """Each document comes as often as the mix takes its words, rounded up or down along its source's streams.
+
+    A null source is a source; texts without words are never taken; repeated rows count again; an empty table stays empty.
+    """
     mixed = mixing.whole_copies(mixing.mix(docs, seed=MIX_SEED, row=_whole_row(docs)), MIX_SEED)
     return _rows(mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 

@@ -67,16 +67,24 @@ def detect(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, score
     return df.withColumn("is_anomaly", known(F.col(score)) >= threshold)
 
 
-def score_summary(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, score: str = "score") -> DataFrame:
+def score_summary(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, score: str = "score", weight: str | None = None) -> DataFrame:
+    """Counts, range, mean and deviation of the known scores; ``weight`` says how many rows a row stands for."""
     s = known(F.col(score))
+    if weight is None:
+        count, mean, std = F.count_if, F.avg(s), F.stddev_pop(s)
+    else:
+        w = F.when(s.isNotNull(), F.col(weight))
+        centre = df.agg(F.try_divide(F.sum(s * w), F.sum(w))).scalar()  # first, as a difference of squares would lose digits
+        count = lambda condition: F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0)).cast("long")
+        mean, std = F.try_divide(F.sum(s * w), F.sum(w)), F.sqrt(F.try_divide(F.sum((s - centre) * (s - centre) * w), F.sum(w)))
     return df.agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.count_if(s >= threshold).alias("anomalies"),
-        F.count_if(s < threshold).alias("normals"),
+        count(F.lit(True)).alias("samples"),
+        count(s >= threshold).alias("anomalies"),
+        count(s < threshold).alias("normals"),
         F.min(s).alias("min"),
         F.max(s).alias("max"),
-        F.avg(s).alias("mean"),
-        F.stddev_pop(s).alias("std"),
+        mean.alias("mean"),
+        std.alias("std"),
     )
 
 

@@ -11,6 +11,7 @@ from telewarden import schemas
 from telewarden.functions.prefix import ROWS_PER_RANGE, running_totals, value_ranges
 from telewarden.functions.vectors import known
 from telewarden.operators.cleaning import one_row
+from telewarden.session import cut_lineage
 
 STEPS = 100  # thresholds 0, 0.01 .. 1
 
@@ -45,34 +46,47 @@ def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     }
 
 
-def confusion(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, label: str = "y_true", score: str = "score") -> DataFrame:
+def score_groups(df: DataFrame, *, label: str = "y_true", score: str = "score") -> DataFrame:
+    """The stored table of distinct labels and scores with their number ``n``, for measures that weigh by it. Missing ones are null."""
+    grouped = df.groupBy(known(F.col(label)).alias(label), known(F.col(score).cast("double")).alias(score)).agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(grouped, "score-groups")
+
+
+def _count(condition: Column, weight: str | None) -> Column:
+    """Rows where the condition holds, or the sum of their weights."""
+    return F.count_if(condition) if weight is None else F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0)).cast("long")
+
+
+def confusion(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, label: str = "y_true", score: str = "score", weight: str | None = None) -> DataFrame:
     said, truth = known(F.col(score)) >= threshold, known(F.col(label)) == 1
     return df.agg(
-        F.count_if(said & truth).alias("tp"),
-        F.count_if(said & ~truth).alias("fp"),
-        F.count_if(~said & truth).alias("fn"),
-        F.count_if(~said & ~truth).alias("tn"),
+        _count(said & truth, weight).alias("tp"),
+        _count(said & ~truth, weight).alias("fp"),
+        _count(~said & truth, weight).alias("fn"),
+        _count(~said & ~truth, weight).alias("tn"),
     )
 
 
-def binary_metrics(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, label: str = "y_true", score: str = "score") -> DataFrame:
-    counts = confusion(df, threshold, label=label, score=score)
+def binary_metrics(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, label: str = "y_true", score: str = "score", weight: str | None = None) -> DataFrame:
+    counts = confusion(df, threshold, label=label, score=score, weight=weight)
     c = F.col
     return counts.select("*", *[v.alias(k) for k, v in _rates(c("tp"), c("fp"), c("fn"), c("tn")).items()])
 
 
-def _cumulative(df: DataFrame, label: str, score: str, rows_per_range: int) -> DataFrame:
+def _cumulative(df: DataFrame, label: str, score: str, rows_per_range: int, weight: str | None = None) -> DataFrame:
     """Per distinct score, descending: own and running positives and negatives, ties collapsed."""
     scored = df.where(known(F.col(score)).isNotNull())
     cuts = value_ranges(scored, score, rows_per_range)
     truth = known(F.col(label))
-    groups = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(truth == 1).alias("pos"), F.count_if(truth != 1).alias("neg"))
+    groups = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+        _count(truth == 1, weight).alias("pos"), _count(truth != 1, weight).alias("neg")
+    )
     return running_totals(groups, "threshold", ["pos", "neg"], cuts)
 
 
-def _class_totals(df: DataFrame, label: str, score: str) -> DataFrame:
+def _class_totals(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     scored, truth = known(F.col(score)).isNotNull(), known(F.col(label))
-    return df.agg(F.count_if(scored & (truth == 1)).cast("double").alias("p"), F.count_if(scored & (truth != 1)).cast("double").alias("n"))
+    return df.agg(_count(scored & (truth == 1), weight).cast("double").alias("p"), _count(scored & (truth != 1), weight).cast("double").alias("n"))
 
 
 def roc_curve(df: DataFrame, *, label: str = "y_true", score: str = "score", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -98,9 +112,9 @@ def pr_curve(df: DataFrame, *, label: str = "y_true", score: str = "score", rows
     return points.unionByName(end)
 
 
-def curve_areas(df: DataFrame, *, label: str = "y_true", score: str = "score", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def curve_areas(df: DataFrame, *, label: str = "y_true", score: str = "score", rows_per_range: int = ROWS_PER_RANGE, weight: str | None = None) -> DataFrame:
     """``roc_auc`` (rank sum) and ``pr_auc`` (trapezoids) from one cumulative table; 0 if a class is absent."""
-    totals = one_row(_class_totals(df, label, score))
+    totals = one_row(_class_totals(df, label, score, weight))
     p, n = totals["p"], totals["n"]
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
@@ -108,14 +122,14 @@ def curve_areas(df: DataFrame, *, label: str = "y_true", score: str = "score", r
     last_precision = F.when(before > 0, (tp - pos) / before).otherwise(F.lit(1.0))
     rank_sum = F.sum(pos * ((n - fp) + neg / F.lit(2.0)))
     trapezoids = F.sum(pos * (tp / (tp + fp) + last_precision) / F.lit(2.0))
-    sums = _cumulative(df, label, score, rows_per_range).agg(rank_sum.alias("rank_sum"), trapezoids.alias("trapezoids"))
+    sums = _cumulative(df, label, score, rows_per_range, weight).agg(rank_sum.alias("rank_sum"), trapezoids.alias("trapezoids"))
     return sums.select(
         F.coalesce(F.try_divide(F.col("rank_sum"), p * n), F.lit(0.0)).alias("roc_auc"),
         F.coalesce(F.try_divide(F.col("trapezoids"), p), F.lit(0.0)).alias("pr_auc"),
     )
 
 
-def threshold_sweep(df: DataFrame, *, label: str = "y_true", score: str = "score") -> DataFrame:
+def threshold_sweep(df: DataFrame, *, label: str = "y_true", score: str = "score", weight: str | None = None) -> DataFrame:
     """Counts and rates at all 101 thresholds ``i * 0.01``.
 
     Each row is counted once, under the highest threshold it reaches; the counts at
@@ -127,7 +141,7 @@ def threshold_sweep(df: DataFrame, *, label: str = "y_true", score: str = "score
     exact = F.when((guess + 1) * step <= s, guess + 1).when(guess * step > s, guess - 1).otherwise(guess)
     reached = F.least(F.greatest(exact, F.lit(-1)), F.lit(STEPS)).cast("long")
     groups = df.where(s.isNotNull()).groupBy(reached.alias("i")).agg(
-        F.count_if(truth == 1).alias("pos"), F.count_if(truth != 1).alias("neg")
+        _count(truth == 1, weight).alias("pos"), _count(truth != 1, weight).alias("neg")
     )
     grid = df.sparkSession.range(-1, STEPS + 1).withColumnRenamed("id", "i")
     full = grid.join(groups, "i", "left").na.fill(0, ["pos", "neg"])
@@ -147,15 +161,15 @@ def threshold_sweep(df: DataFrame, *, label: str = "y_true", score: str = "score
     return out.select("*", *[v.alias(k) for k, v in _rates(c("tp"), c("fp"), c("fn"), c("tn")).items()])
 
 
-def best_threshold(df: DataFrame, metric: str = "f1", *, label: str = "y_true", score: str = "score") -> DataFrame:
+def best_threshold(df: DataFrame, metric: str = "f1", *, label: str = "y_true", score: str = "score", weight: str | None = None) -> DataFrame:
     """The sweep row with the highest metric; the lowest threshold wins ties.
 
     If nothing exceeds 0 it is the row at 0.5. ``roc_auc`` does not depend on the threshold, so
     any positive area selects 0.
     """
-    sweep = threshold_sweep(df, label=label, score=score)
+    sweep = threshold_sweep(df, label=label, score=score, weight=weight)
     if metric == "roc_auc":
-        area = curve_areas(df, label=label, score=score).select("roc_auc").scalar()
+        area = curve_areas(df, label=label, score=score, weight=weight).select("roc_auc").scalar()
         value = F.when(area > 0, area).otherwise(F.lit(0.0))
     else:
         value = F.col({"precision": "precision", "recall": "recall"}.get(metric, "f1_score"))
@@ -163,9 +177,9 @@ def best_threshold(df: DataFrame, metric: str = "f1", *, label: str = "y_true",
     return sweep.withColumn("optimized", value).orderBy(F.col("optimized").desc(), fallback.desc(), F.col("threshold")).limit(1)
 
 
-def class_report(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, label: str = "y_true", score: str = "score") -> DataFrame:
+def class_report(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, label: str = "y_true", score: str = "score", weight: str | None = None) -> DataFrame:
     """Precision, recall, f1 and support for Normal, Anomaly and their macro and weighted averages."""
-    counts = confusion(df, threshold, label=label, score=score)
+    counts = confusion(df, threshold, label=label, score=score, weight=weight)
     c = F.col
 
     def per_class(hit: str, wrong: str, missed: str) -> dict[str, Column]:
@@ -184,27 +198,33 @@ def class_report(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *,
     return counts.select(F.inline(F.array(*structs)))
 
 
-def dataset_stats(df: DataFrame, *, label: str = "y_true") -> DataFrame:
+def dataset_stats(df: DataFrame, *, label: str = "y_true", weight: str | None = None) -> DataFrame:
+    truth = known(F.col(label))
+    total = F.sum(truth if weight is None else truth * F.col(weight))
     return df.agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.count_if(F.col(label) == 0).alias("normal_samples"),
-        F.count_if(F.col(label) == 1).alias("anomaly_samples"),
-        F.avg(known(F.col(label))).alias("anomaly_ratio"),
+        _count(F.lit(True), weight).alias("total_samples"),
+        _count(truth == 0, weight).alias("normal_samples"),
+        _count(truth == 1, weight).alias("anomaly_samples"),
+        F.try_divide(total.cast("double"), _count(truth.isNotNull(), weight)).alias("anomaly_ratio"),
     )
 
 
 def evaluation_report(df: DataFrame, threshold: float = schemas.DEFAULT_THRESHOLD, *, label: str = "y_true", score: str = "score") -> DataFrame:
-    """One nested row: dataset, metrics at the threshold, best threshold, per-class report, score statistics."""
+    """One nested row: dataset, metrics at the threshold, best threshold, per-class report, score statistics.
+
+    ``df`` is read once, into a stored table of distinct scores and labels; everything else is weighed from that.
+    """
     from telewarden.operators.ensemble import score_summary
 
-    names = {"label": label, "score": score}
+    df = score_groups(df, label=label, score=score)
+    names = {"label": label, "score": score, "weight": "n"}
     per_class = class_report(df, threshold, **names).agg(F.collect_list(F.struct("*")).alias("rows"))  # four rows
     return df.sparkSession.range(1).select(
-        one_row(dataset_stats(df, label=label)).alias("dataset_statistics"),
+        one_row(dataset_stats(df, label=label, weight="n")).alias("dataset_statistics"),
         one_row(binary_metrics(df, threshold, **names)).alias("metrics_at_threshold"),
         one_row(curve_areas(df, **names)).alias("areas"),
         one_row(best_threshold(df, "f1", **names)).alias("optimal_metrics"),
         per_class.scalar().alias("classification_report"),
-        one_row(score_summary(df, threshold, score=score)).alias("score_statistics"),
+        one_row(score_summary(df, threshold, score=score, weight="n")).alias("score_statistics"),
         F.lit(threshold).alias("threshold"),
     )

@@ -50,7 +50,7 @@ def window_statistics(
     aggregates = [
         (F.avg(c) if kind == "mean" else F.var_pop(c)).alias(f"{kind}_{c}") for kind, c in sorted(wanted)
     ]
-    if slide and not df.isStreaming:
+    if slide:
         grouped = _from_panes(df, sorted({c for _, c in wanted}), key, time_col, length, slide)
     else:
         frame = F.window(time_col, length, slide) if slide else F.window(time_col, length)
@@ -62,14 +62,15 @@ def window_statistics(
 def _from_panes(df: DataFrame, cols: Sequence[str], key: str, time_col: str, length: str, slide: str) -> DataFrame:
     """Sliding windows put together from panes of one slide, so an event is aggregated once and only panes are copied.
 
-    A window has ``length / slide`` panes, which meet as a list of that many entries.
+    A window has ``length / slide`` panes, which meet as a list of that many entries. A stream keeps sums per pane, and that list
+    per open window, as state.
     """
     pane = df.groupBy(F.window(time_col, slide).alias("pane"), F.col(key)).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("var")).alias(f"p_{c}") for c in cols],
     )
-    # The windows of a pane are those of its first instant.
-    spread = pane.select(F.window(F.col("pane.start"), length, slide).alias("w"), key, "n", *[f"p_{c}" for c in cols])
+    # The windows of a pane are those of its last instant, which in a stream carries the watermark on to the second aggregate.
+    spread = pane.select(F.window(F.window_time("pane"), length, slide).alias("w"), key, "n", *[f"p_{c}" for c in cols])
     met = spread.groupBy("w", key).agg(F.sum("n").alias("window_size"), *[F.collect_list(f"p_{c}").alias(f"p_{c}") for c in cols])
 
     def total(panes: Column, value) -> Column:

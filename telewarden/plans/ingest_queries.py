@@ -297,6 +297,19 @@ def feature_vector(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("feature_vector_wide", over(
+    "v_features v_audit",
+    """select event_id, 73 as width, cast(event_id % 1000 as double) as f8, cast(event_id % 777 as double) as f9, cast(event_id % 100 as double) / 100 as f10,
+       cast(hour(f.ts) as double) as f11, cast(isodow(f.ts) - 1 as double) as f12, cast(status_code as double) as f13 from v_features f join v_audit a using (event_id)""",
+))
+def feature_vector_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of 73 slots with all declared ones live, for telemetry that carries network, disk and status columns."""
+    e = F.col("event_id")
+    wide = views.telemetry_with_audit(spark, folder).withColumns({"network_in": e % 1000, "network_out": e % 777, "disk_usage": (e % 100).cast("double") / 100})
+    v = features.feature_vector(wide, (*features.DEFAULT_FEATURES, *features.OPTIONAL_FEATURES), pad_to=schemas.VECTOR_WIDTH)
+    return v.select("event_id", F.size("features").alias("width"), *[F.col("features")[i].alias(f"f{i}") for i in range(8, 14)])
+
+
 def _index_sql(values: list[str], column: str) -> str:
     listed = ", ".join(f"'{v}'" for v in values)
     return f"cast(greatest(coalesce(list_position([{listed}], {column}), 0) - 1, 0) as double)"

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from telewarden.operators import ensemble, evaluation, policy
 from telewarden.plans import views
 from telewarden.plans.registry import grid, grid_sql, over, query
+from telewarden.session import scratch_path
+from telewarden.sources import writers
 
 
 def fused(spark: SparkSession, folder: str) -> DataFrame:
@@ -337,15 +339,29 @@ def dataset_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_all(evaluation.dataset_stats(views.scored(spark, folder)))
 
 
-@query("eval_report", over(
+_REPORT = over(
     "v_fused",
     f"""select (select count(*) from v_fused) as total_samples, c.tp, c.fp, round((c.tp + c.tn) / cast(c.tp + c.fp + c.fn + c.tn as double), 6) as accuracy,
         round(({_ROC_AUC}), 6) as roc_auc, round(({_PR_AUC}), 6) as pr_auc, round(best.threshold, 6) as best_threshold, best.f1_score as best_f1,
         (select round(avg(score), 6) from v_fused) as mean_score, 0.5e0 as threshold, 4 as report_rows from c, best""",
     c=_CONFUSION.format(t="0.5e0"), cum=_CUMULATIVE, sweep=_SWEEP_COUNTS, best=f"{_SWEEP} order by {_F1} desc, threshold limit 1",
-))
+)
+
+
+@query("eval_report", _REPORT)
 def eval_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _report_row(evaluation.evaluation_report(fused(spark, folder), 0.5))
+
+
+@query("eval_report_file", _REPORT)
+def eval_report_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The report written as JSON and read back."""
     report = evaluation.evaluation_report(fused(spark, folder), 0.5)
+    location = writers.write_report(report, scratch_path(spark, "report"))
+    return _report_row(spark.read.schema(report.schema).json(location))
+
+
+def _report_row(report: DataFrame) -> DataFrame:
     c = F.col
     return rounded_all(
         report.select(

@@ -244,6 +244,26 @@ def preprocess_all_steps(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scaling.preprocess(views.dirty(spark, folder), COLS), ["event_id"], COLS)
 
 
+_KEPT = dict(
+    filled="select event_id, " + ", ".join(f"coalesce({c}, (select avg({c}) from v_dirty)) as {c}" for c in COLS) + " from v_dirty",
+    fences=_FENCES + " from filled",
+    kept=f"select event_id, x1, x2, x3, x4 from filled, fences where not ({_OUTSIDE})",
+    params=_params_sql("standard", "kept"),
+)
+
+
+@query("preprocess_pca", over(
+    "v_dirty",
+    f"select event_id, 4 as components, {grid_sql(' + '.join(f'{c} * {c}' for c in COLS), 5)} as square from scaled",
+    **_KEPT, scaled=_scaled_sql("kept").replace("round(", "(").replace(", 6)", ")"),
+))
+def preprocess_pca(spark: SparkSession, folder: str) -> DataFrame:
+    """Filled, cleaned, scaled and turned to all principal axes, which keeps every row's distance from the mean."""
+    turned = scaling.preprocess(views.dirty(spark, folder), COLS, components=len(COLS))
+    square = F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)
+    return turned.select("event_id", F.size("features").alias("components"), grid(square, 5).alias("square"))
+
+
 @query("pca")
 def principal_components(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector's coordinates on all components that make up 95 % of the variance."""
@@ -315,6 +335,27 @@ def last_timestep(spark: SparkSession, folder: str) -> DataFrame:
     return last.select("event_id", F.col("last")[0].alias("x0"), F.col("last")[1].alias("x1"))
 
 
+_SEQ60 = """select timestamp, node_name, list(x) over (partition by node_name order by timestamp rows between 59 preceding and current row) as s
+    from (select epoch_ms(time_bucket(interval '6 hours', ts)) + 21600000 as timestamp, node_name,
+    [""" + ", ".join([f"avg(f{i})" for i in range(8)] + [f"var_pop(f{i})" for i in range(8)]) + "] as x from v_features group by 1, 2) w"
+
+
+@query("window_sequences", over(
+    "v_features",
+    f"""select timestamp, node_name, cast(len(flatten(s)) as int) as width, {grid_sql("list_sum(flatten(s)[1:480])", 1)} as first_half,
+        {grid_sql("list_sum(flatten(s)[481:960])", 1)} as second_half, """
+    + ", ".join(f"{grid_sql(f's[-1][{i + 1}]', 3)} as last{i}" for i in range(16)) + " from seqs where len(s) = 60",
+    seqs=_SEQ60,
+))
+def window_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """The last 60 windows of each node with their 16 statistics, flattened, and the newest of them."""
+    stats = statistics(spark, folder, "6 hours").withColumn("ts", F.timestamp_millis("timestamp"))
+    built = sequences.create_sequences(stats, F.col("features"), keys=["node_name"], order=["ts"])
+    flat = built.withColumns({"flat": sequences.flatten_sequence(F.col("sequence")), "last": sequences.last_timestep(F.col("sequence"))})
+    halves = [grid(_sum(F.slice("flat", a, 480)), 1).alias(n) for a, n in ((1, "first_half"), (481, "second_half"))]
+    return flat.select("timestamp", "node_name", F.size("flat").alias("width"), *halves, *[grid(F.col("last")[i], 3).alias(f"last{i}") for i in range(16)])
+
+
 @query("tile_sequence", over(
     "v_telemetry",
     "select event_id, cast(len(t) as int) as length, t[1][1] as first_x, t[-1][2] as last_x from (select event_id, list_resize(cast([] as double[][]), 60, [cpu_usage, memory_usage]) as t from v_telemetry) q",

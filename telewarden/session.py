@@ -49,9 +49,22 @@ def scratch_root(spark: SparkSession) -> str:
     return named
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process has made, and say how many. Call it once no result that reads them is needed."""
+    deleted = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        deleted += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return deleted
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
