@@ -7,12 +7,11 @@ counted; only occurrences of frequent groups go into the next length's relation.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,9 @@ RANKED_ROWS, LEAST_PARTS = 200_000, 16
 SCALE = 2_000_000
 #: Buckets of the row alone do for a join on row, piece and place; a bucket that is one file is known to be sorted.
 _BUCKET_SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
-_ENDS = re.compile(PIECE_ENDS)
+# Byte by byte, as all these characters are single bytes that are part of no other: piece ends become line feeds, tabs blanks.
+_MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
+_NO_WORD, _END = -2, -3
 
 
 @contextmanager
@@ -54,10 +55,23 @@ def _joined_in_buckets(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def pieces_of(text: str) -> list[list[str]]:
-    """The words of each piece of a text; only A-Z is lower-cased."""
-    lowered = text.lower() if text.isascii() else text.encode().lower().decode()
-    return [list(filter(None, piece.split(" "))) for piece in _ENDS.split(lowered.replace("\t", " "))]
+def marked_text(text: str) -> bytes:
+    """A text with A-Z in lower case, its pieces ended by line feeds and their words by blanks."""
+    return text.encode().lower().translate(_MARKS)
+
+
+def places_of(text: str, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, place within it and number of each word that has one; ``numbers`` also has the marks of no word and of a piece's end."""
+    tokens = marked_text(text).replace(b"\n", b" \n ").split(b" ")
+    found = np.fromiter(map(numbers.get, tokens, repeat(-1)), np.int64, len(tokens))
+    found = found[found != _NO_WORD]
+    word = found != _END
+    piece, id_ = np.cumsum(~word)[word], found[word]
+    at = np.arange(len(id_))
+    begins = np.diff(piece, prepend=-1) != 0
+    at -= np.maximum.accumulate(np.where(begins, at, 0))
+    kept = id_ >= 0
+    return piece[kept], at[kept], id_[kept]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -66,11 +80,12 @@ def count_words(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text"):
-                held: dict[str, Counter[str]] = defaultdict(Counter)
+                held: dict[str, Counter[bytes]] = defaultdict(Counter)
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    held[lang].update(chain.from_iterable(pieces_of(text)))
+                    held[lang].update(marked_text(text).split())  # at blanks and line feeds, as nothing else is left of white space
                 for lang, own in held.items():
-                    columns = [pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())]
+                    words = pa.array(list(own), pa.binary()).cast(pa.string())
+                    columns = [pa.array([lang] * len(own), pa.string()), words, pa.array(own.values(), pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
     counted = texts.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
@@ -79,9 +94,9 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def numbered_occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``row, piece, at, id`` of every word in ``names``, a table ``lang, word, id`` small enough to be everywhere."""
-    numbers: dict[str, dict[str, int]] = defaultdict(dict)
+    numbers: dict[str, dict[bytes, int]] = defaultdict(lambda: {b"": _NO_WORD, b"\n": _END})
     for r in names.toLocalIterator():
-        numbers[r["lang"]][r["word"]] = r["id"]
+        numbers[r["lang"]][r["word"].encode()] = r["id"]
     kind = {"int": pa.int32(), "bigint": pa.int64()}[dict(names.dtypes)["id"]]
     shared = texts.sparkSession.sparkContext.broadcast(dict(numbers))
 
@@ -91,17 +106,14 @@ def numbered_occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
             for batch in byte_slices(whole, "text", 1 << 20):
                 rows, parts, places, ids = [], [], [], []
                 for row, lang, text in zip(*(batch.column(c).to_pylist() for c in ("row", "lang", "text")), strict=True):
-                    own = pieces_of(text)
-                    sizes = np.fromiter(map(len, own), np.int64, len(own))
-                    total = int(sizes.sum())
-                    id_ = np.fromiter(map(known.get(lang, {}).get, chain.from_iterable(own), repeat(-1)), np.int64, total)
-                    kept = np.flatnonzero(id_ >= 0)
-                    ends = np.cumsum(sizes)
-                    part = np.searchsorted(ends, kept, side="right")
-                    rows.append(np.full(len(kept), row, np.int64))
-                    parts.append(part)
-                    places.append(kept - (ends - sizes)[part])
-                    ids.append(id_[kept])
+                    if lang in known:
+                        piece, at, id_ = places_of(text, known[lang])
+                        rows.append(np.full(len(id_), row, np.int64))
+                        parts.append(piece)
+                        places.append(at)
+                        ids.append(id_)
+                if not rows:
+                    continue
                 columns = [np.concatenate(c) for c in (rows, parts, places, ids)]
                 types = [pa.int64(), pa.int32(), pa.int32(), kind]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "piece", "at", "id"])
