@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from telewarden.functions.vectors import as_cells, as_matrix, is_complete
 
-#: Numbers a task holds of keys that may come again, 64 MB.
-HELD_NUMBERS = 1 << 23
+#: Numbers a task holds of keys that may come again, 32 MB; adding them up takes about four times that.
+HELD_NUMBERS = 1 << 22
+#: Numbers that go through Python at once, 1 MB.
+BLOCK_NUMBERS = 1 << 17
 
 
 def _codes(batch: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
@@ -28,13 +30,22 @@ def _codes(batch: pa.RecordBatch | pa.Table, keys: Sequence[str]) -> np.ndarray:
     return codes
 
 
-def _add_up(part: pa.Table, keys: Sequence[str], width: int) -> pa.Table:
+def _slices(batches: Iterable[pa.RecordBatch | pa.Table], rows: int) -> Iterator[pa.Table]:
+    """The batches in tables of a bounded number of rows, whose columns may all hold null, so that they can be put together."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            yield pa.Table.from_arrays(part.columns, names=part.schema.names)
+
+
+def _add_up(parts: Sequence[pa.Table], keys: Sequence[str], width: int) -> pa.Table:
     """One row per key of ``keys, _n, _sum``."""
+    part = pa.concat_tables(parts)
     codes = _codes(part, keys)
     order = np.argsort(codes, kind="stable")
     first = np.flatnonzero(np.diff(codes[order], prepend=-1))
-    cells = part.column("_sum").combine_chunks()
-    sums = np.add.reduceat(as_matrix(cells, width)[order], first, axis=0)
+    cells = np.concatenate([as_matrix(c, width) for c in part.column("_sum").chunks])
+    sums = np.add.reduceat(cells[order], first, axis=0)
     n = np.add.reduceat(part.column("_n").to_numpy()[order], first)
     heads = part.select(list(keys)).take(pa.array(order[first]))
     return heads.append_column("_n", pa.array(n)).append_column("_sum", as_cells(sums))
@@ -52,37 +63,38 @@ def sum_by_key(df: DataFrame, keys: Sequence[str], vector: str, width: int, *, w
     )
     schema = weighed.schema
     most = max(1, HELD_NUMBERS // max(width, 1))
+    block = max(1, BLOCK_NUMBERS // max(width, 1))
+
+    def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from table.combine_chunks().to_batches(max_chunksize=block)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scaled = as_matrix(batch.column("_sum"), width) * batch.column("_n").to_numpy()[:, None]
-            fresh = pa.Table.from_batches([batch]).drop_columns(["_sum"]).append_column("_sum", as_cells(scaled))
-            held = _add_up(fresh if held is None else pa.concat_tables([held, fresh]), keys, width)
-            if held.num_rows > most:
-                yield from held.combine_chunks().to_batches()
-                held = None
-        if held is not None:
-            yield from held.combine_chunks().to_batches()
+        held, rows = [], 0
+        for part in _slices(batches, block):
+            scaled = as_matrix(part.column("_sum").combine_chunks(), width) * part.column("_n").to_numpy()[:, None]
+            held.append(part.drop_columns(["_sum"]).append_column("_sum", as_cells(scaled)))
+            rows += part.num_rows
+            if rows > most:
+                held = [_add_up(held, keys, width)]
+                rows = held[0].num_rows
+                if 2 * rows > most:  # so that every row is added up a few times at most
+                    yield from sent(held.pop())
+                    rows = 0
+        if held:
+            yield from sent(_add_up(held, keys, width))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fresh = pa.Table.from_batches([batch])
-            added = _add_up(fresh if held is None else pa.concat_tables([held, fresh]), keys, width)
-            # The last key of the batch may go on in the next one.
-            last = fresh.select(keys).slice(fresh.num_rows - 1)
-            both = pa.concat_tables([added.select(keys), last])
+        for part in _slices(batches, block):
+            added = _add_up([part] if held is None else [held, part], keys, width)
+            # The last key of the slice may go on in the next one.
+            both = pa.concat_tables([added.select(keys), part.select(keys).slice(part.num_rows - 1)])
             codes = _codes(both, keys)
             open_ = codes[:-1] == codes[-1]
             held = added.filter(pa.array(open_))
-            yield from added.filter(pa.array(~open_)).combine_chunks().to_batches()
+            yield from sent(added.filter(pa.array(~open_)))
         if held is not None:
-            yield from held.combine_chunks().to_batches()
+            yield from sent(held)
 
     met = weighed.mapInArrow(partial, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, schema)
     return met.select(*keys, F.col("_n").alias("n"), F.col("_sum").alias("total"))

@@ -70,11 +70,17 @@ def project_features(nodes: DataFrame, matrix: np.ndarray, *, features: str = "f
     return nodes.select("graph_id", "node_id", multiply(F.col(features), matrix).alias("h"))
 
 
+#: Targets that are added up together and sources that send to them in one task, in expectation.
+BLOCK_NODES, STRIPE_NODES = 1 << 13, 1 << 16
+_MEETING = ["graph_id", "block", "stripe"]
+
+
 @dataclass(frozen=True)
 class CountedEdges:
     """Stored distinct edges with their multiplicity, and how they will meet their source nodes.
 
-    With ``few_nodes`` the nodes are broadcast; otherwise edges are shuffled, salted where the source is one of ``hot``.
+    A row has the ``targets`` of a source that lie in one ``block`` of its graph's nodes, so its vector is sent once per block instead of
+    once per edge. With ``few_nodes`` the nodes are broadcast; otherwise edges are shuffled, salted where the source is one of ``hot``.
     """
 
     table: DataFrame
@@ -84,17 +90,23 @@ class CountedEdges:
 
 def count_edges(edges: DataFrame, nodes: DataFrame, *, small_rows: int = BROADCAST_ROWS) -> CountedEdges:
     distinct = cut_lineage(edges.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("times")))
-    if is_small(nodes, small_rows):
-        return CountedEdges(distinct, True)
-    hot = find_hot_keys(distinct, _SOURCE)
-    return CountedEdges(distinct if hot is None else spread(distinct, _SOURCE, hot), False, hot)
+    few = is_small(nodes, small_rows)
+    hot = None if few else find_hot_keys(distinct, _SOURCE)
+    sizes = cut_lineage(nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_size")), "graph-sizes")
+    parts = {"block": ("dst", BLOCK_NODES), "stripe": ("src", STRIPE_NODES)}
+    dealt = lookup_join(distinct, sizes, ["graph_id"]).withColumns(
+        {name: F.pmod(F.xxhash64(end), F.ceil(F.col("_size") / F.lit(most))) for name, (end, most) in parts.items()}
+    )
+    salted = dealt.drop("_size") if hot is None else spread(dealt.drop("_size"), _SOURCE, hot)
+    ids = [c for c in salted.columns if c not in ("dst", "times")]
+    return CountedEdges(cut_lineage(salted.groupBy(*ids).agg(F.collect_list(F.struct("dst", "times")).alias("targets")), "edges"), few, hot)
 
 
 def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFrame:
     """Mean ``h`` of the sources of each node's in-edges as ``agg``; duplicate edges count again, no in-edge gives 0.
 
-    Sums per target are partial aggregates of whole vectors, so hot targets are added up before the shuffle. Sources without a complete
-    vector are left out.
+    Sources meet by blocks of targets, whose sums a task holds, and by stripes of sources, so a hot target is added up in many
+    tasks. Sources without a complete vector are left out.
     """
     source = nodes.select("graph_id", F.col("node_id").alias("src"), "h")
     if counted.few_nodes:
@@ -104,7 +116,9 @@ def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFr
     else:
         salted = repeat(source, _SOURCE, counted.hot)
         sent = counted.table.join(salted, [c for c in salted.columns if c != "h"])
-    sums = sum_by_key(sent.select("graph_id", F.col("dst").alias("node_id"), "h", "times"), ["graph_id", "node_id"], "h", width, weight="times")
+    met = sent.select(*_MEETING, "h", "targets").repartition(*_MEETING).sortWithinPartitions(*_MEETING)
+    single = met.select("graph_id", "h", F.inline("targets")).withColumnRenamed("dst", "node_id")
+    sums = sum_by_key(single, ["graph_id", "node_id"], "h", width, weight="times")
     means = sums.select("graph_id", "node_id", _mean().alias("agg"))
     zeros = F.array_repeat(F.lit(0.0), width)
     return nodes.join(means, ["graph_id", "node_id"], "left").withColumn("agg", F.coalesce("agg", zeros))

@@ -99,3 +99,13 @@ def test_sums_by_key(spark, monkeypatch, held):
     assert set(got) == set(expected)
     for key, (n, total) in expected.items():
         assert got[key][0] == n and got[key][1] == pytest.approx(total)
+
+
+def test_vector_sums_over_many_batches_without_weights(spark, monkeypatch):
+    monkeypatch.setattr(vector_sums, "HELD_NUMBERS", 1000)
+    rows = spark.range(0, 25_000, 1, 2).select((F.col("id") * 7919 % 12_007).alias("k"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    got = {r["k"]: (r["n"], r["total"]) for r in vector_sums.sum_by_key(rows, ["k"], "v", 2).collect()}
+    expected = {}
+    for i in range(25_000):
+        expected.setdefault(i * 7919 % 12_007, []).append(i)
+    assert got == {k: (len(v), [float(sum(v)), float(len(v))]) for k, v in expected.items()}
