@@ -318,8 +318,9 @@ def _raw_windows(spark: SparkSession, folder: str) -> DataFrame:
     return cut_lineage(found.drop("window_size"), "windows")
 
 
-def _predicted(windows: DataFrame, models: m.Models, graphs: m.Graphs) -> DataFrame:
-    scored = m.predict(windows, models, id_col="window_id", stretches=window_stretches(windows, models.length), graphs=graphs, graph=F.col("node_name"))
+def _predicted(windows: DataFrame, models: m.Models, graphs: m.Graphs, graph_scores: DataFrame | None = None) -> DataFrame:
+    rows = window_stretches(windows, models.length)
+    scored = m.predict(windows, models, id_col="window_id", stretches=rows, graphs=graphs, graph=F.col("node_name"), graph_scores=graph_scores)
     return rounded_all(fused_actions(scored))
 
 
@@ -392,7 +393,7 @@ def stream_scoring(spark: SparkSession, folder: str) -> DataFrame:
     past = windows.where(F.col("timestamp") <= borders[0])
     scored = finish(jobs.score_sequences(stream, models, per_graph, history=past), spark, "stream-scoring")
     first = past.withColumns({"window_id": window_id(), "ts": F.timestamp_millis("timestamp")})
-    return rounded_all(scored).unionByName(_predicted(cut_lineage(first, "first-windows"), models, graphs))
+    return rounded_all(scored).unionByName(_predicted(cut_lineage(first, "first-windows"), models, graphs, per_graph))
 
 
 def _window_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -94,17 +94,29 @@ def score_graphs(graphs: Graphs, models: Models) -> DataFrame:
     return g.graph_score(embedded, width, models.reference).select("graph_id", "s_gnn")
 
 
-def predict(df: DataFrame, models: Models, *, id_col: str, stretches: DataFrame, graphs: Graphs, graph: Column, features: str = "features") -> DataFrame:
+def predict(
+    df: DataFrame,
+    models: Models,
+    *,
+    id_col: str,
+    stretches: DataFrame,
+    graphs: Graphs,
+    graph: Column,
+    features: str = "features",
+    graph_scores: DataFrame | None = None,
+) -> DataFrame:
     """Add ``s_lstm`` of the real sequence that ends at each row, ``s_if`` of its vector and ``s_gnn`` of the graph it belongs to.
 
-    ``stretches`` keep ``id_col``. A row without a full sequence, a complete vector or a graph has a null there.
+    ``stretches`` keep ``id_col``. A row without a full sequence, a complete vector or a graph has a null there. ``graph_scores`` are
+    the stored ``score_graphs`` of ``graphs``, if they are known.
     """
     scored = models.forest.score(df, features)
     if models.autoencoder is None:
         scored = scored.withColumn("s_lstm", F.lit(None).cast("double"))
     else:
         scored = scored.join(models.autoencoder.score_rows(stretches, models.length).select(id_col, "s_lstm"), id_col, "left")
-    per_graph = cut_lineage(score_graphs(graphs, models).withColumnRenamed("graph_id", "_graph"), "graph-scores")
+    known = cut_lineage(score_graphs(graphs, models), "graph-scores") if graph_scores is None else graph_scores
+    per_graph = known.withColumnRenamed("graph_id", "_graph")
     return lookup_join(cut_lineage(scored.withColumn("_graph", graph), "scored"), per_graph, ["_graph"], "left").drop("_graph")
 
 
