@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from telewarden.functions.ordered import chunk_window, frame_chunks, own_rows
 from telewarden.functions.skew import BROADCAST_ROWS, find_hot_keys, is_small, lookup_join, repeat, spread, unit_hash
-from telewarden.functions.vector_sums import sum_by_key
+from telewarden.functions.vector_sums import sum_columns_by_key
 from telewarden.functions.vectors import distance, is_complete, multiply, positive
 from telewarden.session import cut_lineage
 
@@ -116,9 +116,9 @@ def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFr
     else:
         salted = repeat(source, _SOURCE, counted.hot)
         sent = counted.table.join(salted, [c for c in salted.columns if c != "h"])
-    met = sent.select(*_MEETING, "h", "targets").repartition(*_MEETING).sortWithinPartitions(*_MEETING)
+    met = sent.select(*_MEETING, "h", "targets").repartition(*_MEETING)
     single = met.select("graph_id", "h", F.inline("targets")).withColumnRenamed("dst", "node_id")
-    sums = sum_by_key(single, ["graph_id", "node_id"], "h", width, weight="times")
+    sums = sum_columns_by_key(single, ["graph_id", "node_id"], "h", width, weight="times")
     means = sums.select("graph_id", "node_id", _mean().alias("agg"))
     zeros = F.array_repeat(F.lit(0.0), width)
     return nodes.join(means, ["graph_id", "node_id"], "left").withColumn("agg", F.coalesce("agg", zeros))
@@ -168,7 +168,7 @@ def forward(
 
 def graph_embedding(nodes: DataFrame, width: int) -> DataFrame:
     """Mean of the complete node embeddings per graph; a graph without any is left out."""
-    return sum_by_key(nodes, ["graph_id"], "h", width).select("graph_id", _mean().alias("embedding"))
+    return sum_columns_by_key(nodes, ["graph_id"], "h", width).select("graph_id", _mean().alias("embedding"))
 
 
 def distance_score(embedding: Column, reference: Column) -> Column:

@@ -109,3 +109,18 @@ def test_vector_sums_over_many_batches_without_weights(spark, monkeypatch):
     for i in range(25_000):
         expected.setdefault(i * 7919 % 12_007, []).append(i)
     assert got == {k: (len(v), [float(sum(v)), float(len(v))]) for k, v in expected.items()}
+
+
+def test_column_sums_equal_matrix_sums_and_stay_in_the_jvm(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if k == 3 else int(k), f"g{k % 2}", rng.normal(size=2).tolist(), int(rng.integers(1, 4))) for k in rng.integers(0, 9, 300)]
+    rows += [(1, "g1", None, 1), (1, "g1", [float("nan"), 1.0], 1), (1, "g1", [None, 1.0], 1), (77, "g0", None, 2)]
+    df = spark.createDataFrame(rows, "k int, g string, v array<double>, w int").repartition(6)
+    for weight in ("w", None):
+        got, expected = (
+            {(r["k"], r["g"]): (r["n"], r["total"]) for r in add(df, ["k", "g"], "v", 2, weight=weight).collect()}
+            for add in (vector_sums.sum_columns_by_key, vector_sums.sum_by_key)
+        )
+        assert set(got) == set(expected) and (77, "g0") not in got
+        for key, (n, total) in expected.items():
+            assert got[key][0] == n and got[key][1] == pytest.approx(total)
