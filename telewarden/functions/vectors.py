@@ -75,3 +75,16 @@ def multiply(features: Column, matrix: np.ndarray) -> Column:
         return as_cells(as_matrix(batch, d) @ matrix)
 
     return F.when(is_complete(features), times(features))
+
+
+def multiply_written_out(features: Column, matrix: np.ndarray) -> Column:
+    """``multiply`` as column arithmetic, which no worker has to see; for matrices of up to some thousand numbers."""
+    matrix = np.asarray(matrix, dtype=np.float64)
+    d = matrix.shape[0]
+
+    def entry(weights: np.ndarray) -> Column:
+        terms = [features[i].cast("double") * F.lit(float(w)) for i, w in enumerate(weights)]
+        return sum(terms[1:], terms[0])
+
+    wrong = F.raise_error(F.concat(F.lit(f"a vector of {d} entries expected, not of "), F.size(features).cast("string")))
+    return F.when(is_complete(features), F.when(F.size(features) == d, F.array(*[entry(w) for w in matrix.T])).otherwise(wrong))

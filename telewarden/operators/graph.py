@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from telewarden.functions.ordered import chunk_window, frame_chunks, own_rows
 from telewarden.functions.skew import BROADCAST_ROWS, find_hot_keys, is_small, lookup_join, repeat, spread, unit_hash
 from telewarden.functions.vector_sums import sum_columns_by_key
-from telewarden.functions.vectors import distance, is_complete, multiply, positive
+from telewarden.functions.vectors import distance, is_complete, multiply, multiply_written_out, positive
 from telewarden.session import cut_lineage
 
 HIDDEN, LAYERS, ALPHA, DROPOUT = 128, 3, 0.5, 0.2
 _SOURCE = ["graph_id", "src"]
 WEIGHT_SCALE, REFERENCE, DISTANCE_SCALE = 0.01, 0.5, 10.0
+#: Weights of a projection that is written out as columns.
+WRITTEN_OUT = 1_024
 
 
 def transition_events(df: DataFrame, *, graph: str, node: str, order: Sequence[str]) -> DataFrame:
@@ -67,7 +69,9 @@ def matrix_from_table(table: DataFrame) -> np.ndarray:
 
 
 def project_features(nodes: DataFrame, matrix: np.ndarray, *, features: str = "features") -> DataFrame:
-    return nodes.select("graph_id", "node_id", multiply(F.col(features), matrix).alias("h"))
+    """``h`` of each node; a narrow projection is done in the JVM, a wide one in Arrow batches."""
+    project = multiply_written_out if np.size(matrix) <= WRITTEN_OUT else multiply
+    return nodes.select("graph_id", "node_id", project(F.col(features), matrix).alias("h"))
 
 
 #: Targets that are added up together and sources that send to them in one task, in expectation.
