@@ -52,12 +52,15 @@ def _add_up(parts: Sequence[pa.Table], keys: Sequence[str], width: int) -> pa.Ta
     return heads.append_column("_n", pa.array(n)).append_column("_sum", as_cells(sums))
 
 
-def sum_by_key(df: DataFrame, keys: Sequence[str], vector: str, width: int, *, weight: str | None = None) -> DataFrame:
+def sum_by_key(df: DataFrame, keys: Sequence[str], vector: str, width: int, *, weight: str | None = None, combine: bool = True) -> DataFrame:
     """``keys, n, total``: sum of the weights and weighted sum of the complete vectors of each key; a key without any is left out.
 
     Tasks add up what they see, within a bound of memory, so a key that many rows share is shuffled about once per task. Then
-    keys come together sorted and neighbours are added; a key's rows need not fit into memory.
+    keys come together sorted and neighbours are added; a key's rows need not fit into memory. Without ``combine``, for rows without weight
+    of which a task has one per key, the first step is left out, as it would only hold them once more.
     """
+    if weight and not combine:
+        raise ValueError("weighted rows have to be combined")
     keys = list(keys)
     weighed = df.where(is_complete(F.col(vector))).select(
         *keys, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_n"), F.col(vector).cast("array<double>").alias("_sum")
@@ -97,7 +100,7 @@ def sum_by_key(df: DataFrame, keys: Sequence[str], vector: str, width: int, *, w
         if held is not None:
             yield from sent(held)
 
-    met = weighed.mapInArrow(partial, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, schema)
+    met = (weighed.mapInArrow(partial, schema) if combine else weighed).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, schema)
     return met.select(*keys, F.col("_n").alias("n"), F.col("_sum").alias("total"))
 
 

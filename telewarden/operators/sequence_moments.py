@@ -139,7 +139,8 @@ def sequence_moments(stored: DataFrame, width: int, length: int) -> tuple[int, n
 
     partial = _in_order(stored.select(*[c for c in stored.columns if c.startswith("_tw_k")], "_chunk", "pos", _GROUP, _STEP, _MARK))
     total = np.zeros((size + 2, size))
-    for r in sum_by_key(partial.mapInArrow(moments, "i int, v array<double>"), ["i"], "v", size).select("i", "total").toLocalIterator():
+    met = sum_by_key(partial.mapInArrow(moments, "i int, v array<double>"), ["i"], "v", size, combine=False)
+    for r in met.select("i", "total").toLocalIterator():
         total[r["i"]] = r["total"]
     count = int(total[size + 1, 0])
     if not count:

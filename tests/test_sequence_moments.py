@@ -124,3 +124,21 @@ def test_column_sums_equal_matrix_sums_and_stay_in_the_jvm(spark):
         assert set(got) == set(expected) and (77, "g0") not in got
         for key, (n, total) in expected.items():
             assert got[key][0] == n and got[key][1] == pytest.approx(total)
+
+
+def test_moments_are_not_held_again_before_the_shuffle(spark, monkeypatch):
+    rows = rows_of(3)
+    stored = sequence_moments.stretches(table_of(spark, rows), F.col("x"), keys=["node"], order=["ts", "id"], length=LENGTH, keep=["id"])
+    seen = []
+
+    def spied(*args, **options):
+        seen.append(vector_sums.sum_by_key(*args, **options))
+        return seen[-1]
+
+    monkeypatch.setattr(sequence_moments, "sum_by_key", spied)
+    count, _, _ = sequence_moments.sequence_moments(stored, WIDTH, LENGTH)
+    assert count == sum(s is not None for s, _ in built(rows).values())
+    plan = seen[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 2  # moments of each task, and their sum
+    with pytest.raises(ValueError):
+        vector_sums.sum_by_key(spark.range(1).select("id", F.array(F.lit(1.0)).alias("v"), F.lit(2).alias("w")), ["id"], "v", 1, weight="w", combine=False)
