@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:  # a worker is spared the 40 MB of an import for a type
+    import pandas as pd
+
 
 def known(x: Column) -> Column:
     """NaN becomes null, as both stand for a missing value and NaN would compare as larger than any number."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,11 +14,22 @@ from telewarden.functions.vectors import as_cells, as_matrix, as_numbers, mean_s
 from telewarden.operators.ensemble import fixed_minmax, minmax_score, score_bounds
 from telewarden.operators.pca import PcaModel, fit_pca, leading_axes
 from telewarden.operators.sequence_moments import map_sequences, marked, sequence_moments, step_width
-from telewarden.session import cut_lineage
+from telewarden.session import cut_lineage, small_table
 
 ENCODING_DIM = 16
 
 
+def _error_of(mean: np.ndarray, basis: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of two arrays alone, so that workers need not import what this module does."""
+
+    def errors(sequences: np.ndarray) -> np.ndarray:
+        centred = sequences - mean
+        missed = centred - (centred @ basis.T) @ basis
+        return np.mean(missed * missed, axis=1)
+
+    return errors
+
+
 @dataclass(frozen=True)
 class SequenceAutoencoder:
     """The subspace and the error range of the training data."""
@@ -51,13 +63,11 @@ class SequenceAutoencoder:
 
     def errors(self, sequences: np.ndarray) -> np.ndarray:
         """Mean squared reconstruction error of flattened sequences in rows."""
-        centred = sequences - self.pca.mean
-        missed = centred - (centred @ self.pca.components.T) @ self.pca.components
-        return np.mean(missed * missed, axis=1)
+        return _error_of(self.pca.mean, self.pca.components)(sequences)
 
     def row_errors(self, stored: DataFrame, length: int, *, into: str = "error") -> DataFrame:
         """Error of the sequence that ends at each marked row of stored ``stretches``."""
-        return map_sequences(stored, len(self.pca.mean) // length, length, self.errors, into)
+        return map_sequences(stored, len(self.pca.mean) // length, length, _error_of(self.pca.mean, self.pca.components), into)
 
     def score_rows(self, stored: DataFrame, length: int, *, into: str = "s_lstm") -> DataFrame:
         """``row_errors`` by the bounds seen at fit time."""
@@ -70,7 +80,7 @@ class SequenceAutoencoder:
         return minmax_score(raw, "_e", into).drop("_e")
 
     def to_tables(self, spark: SparkSession) -> dict[str, DataFrame]:
-        bounds = spark.createDataFrame([(self.low, self.high)], "low double, high double")
+        bounds = small_table(spark, [(self.low, self.high)], "low double, high double")
         return {"autoencoder": self.pca.to_table(spark), "autoencoder_bounds": bounds}
 
     @staticmethod

@@ -17,7 +17,7 @@ from telewarden.functions.ordered import chunk_window, frame_chunks, own_rows
 from telewarden.functions.skew import BROADCAST_ROWS, find_hot_keys, is_small, lookup_join, repeat, spread, unit_hash
 from telewarden.functions.vector_sums import sum_columns_by_key
 from telewarden.functions.vectors import distance, is_complete, multiply, multiply_written_out, positive
-from telewarden.session import cut_lineage
+from telewarden.session import cut_lineage, small_table
 
 HIDDEN, LAYERS, ALPHA, DROPOUT = 128, 3, 0.5, 0.2
 _SOURCE = ["graph_id", "src"]
@@ -60,7 +60,7 @@ def projection_matrix(d: int, hidden: int = HIDDEN, *, seed: int = 42) -> np.nda
 
 def matrix_table(spark, matrix: np.ndarray) -> DataFrame:
     rows = [(int(i), [float(v) for v in row]) for i, row in enumerate(matrix)]
-    return spark.createDataFrame(rows, "i int, w array<double>")
+    return small_table(spark, rows, "i int, w array<double>")
 
 
 def matrix_from_table(table: DataFrame) -> np.ndarray:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,10 @@ from telewarden.functions.quantiles import exact_quantiles
 from telewarden.functions.skew import hash_subsamples
 from telewarden.functions.vectors import as_matrix, as_numbers, is_complete, stack_arrays
 from telewarden.operators.ensemble import fixed_minmax
-from telewarden.session import cut_lineage
+from telewarden.session import cut_lineage, small_table
+
+if TYPE_CHECKING:  # workers that only score are spared its 40 MB
+    import pandas as pd
 
 TREES, SAMPLE, CONTAMINATION, SEED = 150, 256, 0.05, 42
 _EULER = 0.5772156649015329
@@ -104,7 +107,7 @@ class IsolationForest:
     def to_tables(self) -> dict[str, DataFrame]:
         spark = self.nodes.sparkSession
         row = (self.width, self.sample, self.trees, self.offset, self.low, self.high)
-        meta = spark.createDataFrame([row], "width int, sample int, trees int, offset double, low double, high double")
+        meta = small_table(spark, [row], "width int, sample int, trees int, offset double, low double, high double")
         return {"forest": self.nodes, "forest_meta": meta}
 
     @staticmethod
@@ -168,6 +171,8 @@ def fit_iforest(
     limit = math.ceil(math.log2(max(psi, 2)))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         tree = int(group["tree_id"].iloc[0])
         ordered = group.sort_values("_rank")
         points = stack_arrays(ordered["features"], width)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telewarden.functions.vectors import is_complete, multiply
+from telewarden.session import small_table
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ class PcaModel:
         rows = [(-1, None, [float(v) for v in self.mean])] + [
             (i, float(r), [float(v) for v in c]) for i, (r, c) in enumerate(zip(self.ratios, self.components))
         ]
-        return spark.createDataFrame(rows, "component int, ratio double, vector array<double>")
+        return small_table(spark, rows, "component int, ratio double, vector array<double>")
 
     @staticmethod
     def from_table(table: DataFrame) -> PcaModel:

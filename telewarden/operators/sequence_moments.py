@@ -15,8 +15,10 @@ from telewarden.functions.vector_sums import sum_by_key
 from telewarden.functions.vectors import as_matrix, is_complete
 from telewarden.session import cut_lineage
 
-#: Sequences whose steps are laid side by side at once, in numbers.
-BLOCK_NUMBERS = 1 << 20
+#: Sequences whose steps are laid side by side at once, in numbers; scoring them holds about five times that.
+BLOCK_NUMBERS = 1 << 17
+#: Rows of a stretch that scoring holds at once, besides those before them and what an Arrow batch has more.
+PIECE_ROWS = 1 << 13
 _GROUP, _STEP, _MARK = "_tw_group", "_tw_step", "_tw_mark"
 
 
@@ -45,27 +47,52 @@ def marked(stored: DataFrame, mark: Column) -> DataFrame:
     return stored.withColumn(_MARK, F.coalesce(mark, F.lit(False)))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Stretches from sorted rows: one ends where the group changes or a position is missing."""
-    held: list[pa.RecordBatch] = []
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """Sorted rows as parts of stretches, and whether a part goes on with the one before: a stretch ends where the group changes or a
+    position is missing."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         group, pos = batch.column(_GROUP).to_numpy(), batch.column("pos").to_numpy()
         cuts = np.flatnonzero((group[1:] != group[:-1]) | (pos[1:] != pos[:-1] + 1)) + 1
-        if held and (group[0], pos[0]) != last:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
         bounds = [0, *cuts.tolist(), batch.num_rows]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(a, b - a))
+            yield not a and (group[0], pos[0]) == last, pa.Table.from_batches([batch.slice(a, b - a)])
         last = (group[-1], pos[-1] + 1)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole stretches."""
+    held: list[pa.Table] = []
+    for goes_on, part in _parts(batches):
+        if held and not goes_on:
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
+        held.append(part)
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _pieces(tables: Iterator[tuple[bool, pa.Table]], length: int, rows: int) -> Iterator[pa.Table]:
+    """Stretches in pieces of about ``rows`` rows, each with the ``length - 1`` before them, so that every sequence ends in just one."""
+    held: list[pa.Table] = []
+    n = 0
+    for goes_on, part in tables:
+        if not goes_on:
+            if held:
+                yield pa.concat_tables(held).combine_chunks()
+            held, n = [], 0
+        held.append(part)
+        n += part.num_rows
+        if n >= rows + length - 1:
+            whole = pa.concat_tables(held).combine_chunks()
+            yield whole
+            # Copied, as a slice would keep the whole piece.
+            tail = whole.slice(n - (length - 1)).take(pa.array(range(length - 1), pa.int64()))
+            held, n = [tail], length - 1
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 def _in_order(stored: DataFrame) -> DataFrame:
@@ -173,10 +200,10 @@ def map_sequences(stored: DataFrame, width: int, length: int, value: Callable[[n
     """
     own = {c for c in stored.columns if c.startswith("_tw_k")} | {"_chunk", "_own", "pos", _GROUP, _STEP, _MARK}
     keep = [c for c in stored.columns if c not in own]
-    block = max(1, BLOCK_NUMBERS // (width * length))
+    block, piece = max(1, BLOCK_NUMBERS // (width * length)), PIECE_ROWS
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches):
+        for table in _pieces(_parts(batches), length, piece):
             steps, use = _ends(table, width, length)
             if not len(use):
                 continue

@@ -19,7 +19,7 @@ from telewarden.plans.ingest_queries import finish
 from telewarden.plans.registry import grid, grid_sql, over, query
 from telewarden.plans.scoring_queries import ACTION_SQL, ALERT_SQL, fused, rounded_all
 from telewarden.plans.table_queries import split_statistics, statistics, window_sql
-from telewarden.session import cut_lineage, scratch_path
+from telewarden.session import cut_lineage, scratch_path, small_table
 from telewarden.sources import readers, writers
 from telewarden.streaming import jobs
 
@@ -279,7 +279,7 @@ def given_models(spark: SparkSession) -> m.Models:
     components = np.stack([np.ones(size), np.tile([1.0, -1.0], size // 2)]) / np.sqrt(size)
     coder = autoencoder.SequenceAutoencoder(PcaModel(np.zeros(size), components, np.zeros(2)), 0.0, ERROR_LIMIT)
     depth = {0: 0, 1: 1, 2: 1, 3: 2, 4: 2}
-    nodes = spark.createDataFrame([(*n, depth[n[1]]) for n in FIXED_FOREST], schemas.FOREST_NODE)
+    nodes = small_table(spark, [(*n, depth[n[1]]) for n in FIXED_FOREST], schemas.FOREST_NODE)
     forest = iforest.IsolationForest(nodes, SLOTS, 8, 3, DECISION_OFFSET, -DECISION_LIMIT, DECISION_LIMIT)
     return m.Models(coder, forest, WEIGHTS, STEPS)
 

@@ -16,7 +16,7 @@ from telewarden.operators.iforest import CONTAMINATION, TREES, IsolationForest,
 from telewarden.operators.sequence_moments import complete_sequences
 from telewarden.operators.sequences import flatten_sequence, tile_sequence
 from telewarden.schemas import SEQUENCE_LENGTH
-from telewarden.session import cut_lineage
+from telewarden.session import cut_lineage, small_table
 from telewarden.sources.readers import read_model
 from telewarden.sources.writers import save_model
 
@@ -122,7 +122,8 @@ def predict(
 
 def save_models(models: Models, spark: SparkSession, location: str) -> str:
     """Store as a new version, which readers see once all of it is there."""
-    metadata = spark.createDataFrame(
+    metadata = small_table(
+        spark,
         [(models.length, int(models.projection.shape[0]), int(models.projection.shape[1]), models.forest.trees)],
         "length int, node_feature_dim int, hidden_dim int, trees int",
     )
@@ -132,7 +133,7 @@ def save_models(models: Models, spark: SparkSession, location: str) -> str:
         **(models.autoencoder.to_tables(spark) if models.autoencoder else {}),
         **models.forest.to_tables(),
         "projection": g.matrix_table(spark, models.projection),
-        "graph_baseline": spark.createDataFrame(baseline, "dimension int, mean double, std double"),
+        "graph_baseline": small_table(spark, baseline, "dimension int, mean double, std double"),
         "metadata": metadata,
     }
     return save_model(parts, location)

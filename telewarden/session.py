@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 APP_NAME = "telewarden"
 _LOCAL_SCRATCH = "spark.telewarden.localScratch"
@@ -33,6 +37,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A few rows of the driver's as a table of the plan's own, for which no Python worker is started, as it is for rows in a list."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    cells = {f.name: pa.array([r[i] for r in rows]) for i, f in enumerate(fields)}
+    return spark.createDataFrame(pa.table(cells)).select(*[F.col(f.name).cast(f.dataType) for f in fields])
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, or the context's checkpoint folder.
 

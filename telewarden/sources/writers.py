@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from telewarden.session import small_table
+
 
 def write_json_lines(df: DataFrame, location: str) -> str:
     df.write.mode("errorifexists").json(location)
@@ -51,7 +53,7 @@ def save_model(parts: Mapping[str, DataFrame], location: str) -> str:
         table.write.parquet(f"{root}/{version}/{name}")
     spark = next(iter(parts.values())).sparkSession
     row = [(time.time_ns(), version, sorted(parts))]
-    spark.createDataFrame(row, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
+    small_table(spark, row, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
     return location
 
 

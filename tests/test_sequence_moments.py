@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from telewarden.functions import vector_sums
 from telewarden.operators import autoencoder, sequence_moments, sequences
+from telewarden.operators.pca import PcaModel
+from telewarden.session import small_table
 
 LENGTH, WIDTH = 6, 3
 
@@ -142,3 +145,35 @@ def test_moments_are_not_held_again_before_the_shuffle(spark, monkeypatch):
     assert plan.count("MapInArrow") == 2  # moments of each task, and their sum
     with pytest.raises(ValueError):
         vector_sums.sum_by_key(spark.range(1).select("id", F.array(F.lit(1.0)).alias("v"), F.lit(2).alias("w")), ["id"], "v", 1, weight="w", combine=False)
+
+
+@pytest.mark.parametrize("length", [1, 3, 6])
+def test_scoring_holds_pieces_of_stretches(length):
+    # One group of 1 000 rows, one whose positions have a gap, one shorter than a sequence.
+    rows = [(1, p) for p in range(1000)] + [(2, p) for p in range(40) if p != 17] + [(3, 0), (3, 1)]
+    table = pa.table({"_tw_group": [g for g, _ in rows], "pos": [p for _, p in rows]})
+    batches = table.to_batches(max_chunksize=7)
+    ends = []
+    for piece in sequence_moments._pieces(sequence_moments._parts(iter(batches)), length, 16):
+        assert piece.num_rows <= 16 + 7 + 2 * length
+        ends += [(r["_tw_group"], r["pos"]) for r in piece.slice(length - 1).to_pylist()]
+    whole = [r for t in sequence_moments._grouped(iter(batches)) for r in t.slice(length - 1).to_pylist()]
+    assert ends == [(r["_tw_group"], r["pos"]) for r in whole] and len(ends) == len(set(ends)) > 1000
+
+
+def test_pieces_give_the_same_errors(spark, monkeypatch):
+    stored = sequence_moments.stretches(table_of(spark, rows_of(5)), F.col("x"), keys=["node"], order=["ts", "id"], length=LENGTH, keep=["id"])
+    whole = sequence_moments.map_sequences(stored, WIDTH, LENGTH, lambda x: x.sum(axis=1), "e").collect()
+    monkeypatch.setattr(sequence_moments, "PIECE_ROWS", 5)
+    pieces = sequence_moments.map_sequences(stored, WIDTH, LENGTH, lambda x: x.sum(axis=1), "e").collect()
+    assert sorted(map(str, whole)) == sorted(map(str, pieces)) and any(r["e"] is not None for r in whole)
+
+
+def test_small_tables_start_no_python_worker(spark):
+    model = autoencoder.SequenceAutoencoder(PcaModel(np.zeros(2), np.eye(2), np.ones(2)), None, 1.5)
+    for table in model.to_tables(spark).values():
+        assert "LocalTableScan" in table._jdf.queryExecution().executedPlan().toString()
+    back = autoencoder.SequenceAutoencoder.from_tables(**dict(zip(("components", "bounds"), model.to_tables(spark).values(), strict=True)))
+    assert (back.low, back.high) == (None, 1.5) and (back.pca.components == np.eye(2)).all() and (back.pca.ratios == 1).all()
+    empty = small_table(spark, [], "dimension int, mean double")
+    assert empty.count() == 0 and empty.dtypes == [("dimension", "int"), ("mean", "double")]
