@@ -68,10 +68,10 @@ def matrix_from_table(table: DataFrame) -> np.ndarray:
     return np.array([r["w"] for r in sorted(table.collect(), key=lambda r: r["i"])])
 
 
-def project_features(nodes: DataFrame, matrix: np.ndarray, *, features: str = "features") -> DataFrame:
-    """``h`` of each node; a narrow projection is done in the JVM, a wide one in Arrow batches."""
+def project_features(nodes: DataFrame, matrix: np.ndarray, *, features: str = "features", keep: Sequence[str] = ()) -> DataFrame:
+    """``h`` of each node, and columns to ``keep``; a narrow projection is done in the JVM, a wide one in Arrow batches."""
     project = multiply_written_out if np.size(matrix) <= WRITTEN_OUT else multiply
-    return nodes.select("graph_id", "node_id", project(F.col(features), matrix).alias("h"))
+    return nodes.select("graph_id", "node_id", *keep, project(F.col(features), matrix).alias("h"))
 
 
 #: Targets that are added up together and sources that send to them in one task, in expectation.
@@ -93,7 +93,14 @@ class CountedEdges:
 
 
 def count_edges(edges: DataFrame, nodes: DataFrame, *, small_rows: int = BROADCAST_ROWS) -> CountedEdges:
-    distinct = cut_lineage(edges.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("times")))
+    return _deal_edges(_distinct_edges(edges), nodes, small_rows)
+
+
+def _distinct_edges(edges: DataFrame) -> DataFrame:
+    return cut_lineage(edges.groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("times")))
+
+
+def _deal_edges(distinct: DataFrame, nodes: DataFrame, small_rows: int) -> CountedEdges:
     few = is_small(nodes, small_rows)
     hot = None if few else find_hot_keys(distinct, _SOURCE)
     sizes = cut_lineage(nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_size")), "graph-sizes")
@@ -109,8 +116,17 @@ def count_edges(edges: DataFrame, nodes: DataFrame, *, small_rows: int = BROADCA
 def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFrame:
     """Mean ``h`` of the sources of each node's in-edges as ``agg``; duplicate edges count again, no in-edge gives 0.
 
-    Sources meet by blocks of targets, whose sums a task holds, and by stripes of sources, so a hot target is added up in many
-    tasks. Sources without a complete vector are left out.
+    Sources without a complete vector are left out.
+    """
+    means = neighbor_sums(counted, nodes, width).select("graph_id", "node_id", _mean().alias("agg"))
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return nodes.join(means, ["graph_id", "node_id"], "left").withColumn("agg", F.coalesce("agg", zeros))
+
+
+def neighbor_sums(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFrame:
+    """``graph_id, node_id, n, total``: number and sum of the complete ``h`` of the sources of a node's in-edges, for nodes with any.
+
+    Sources meet by blocks of targets, whose sums a task holds, and by stripes of sources, so a hot target is added up in many tasks.
     """
     source = nodes.select("graph_id", F.col("node_id").alias("src"), "h")
     if counted.few_nodes:
@@ -122,10 +138,7 @@ def neighbor_mean(counted: CountedEdges, nodes: DataFrame, width: int) -> DataFr
         sent = counted.table.join(salted, [c for c in salted.columns if c != "h"])
     met = sent.select(*_MEETING, "h", "targets").repartition(*_MEETING)
     single = met.select("graph_id", "h", F.inline("targets")).withColumnRenamed("dst", "node_id")
-    sums = sum_columns_by_key(single, ["graph_id", "node_id"], "h", width, weight="times")
-    means = sums.select("graph_id", "node_id", _mean().alias("agg"))
-    zeros = F.array_repeat(F.lit(0.0), width)
-    return nodes.join(means, ["graph_id", "node_id"], "left").withColumn("agg", F.coalesce("agg", zeros))
+    return sum_columns_by_key(single, ["graph_id", "node_id"], "h", width, weight="times")
 
 
 def _mean() -> Column:
@@ -175,6 +188,50 @@ def graph_embedding(nodes: DataFrame, width: int) -> DataFrame:
     return sum_columns_by_key(nodes, ["graph_id"], "h", width).select("graph_id", _mean().alias("embedding"))
 
 
+#: Features and weights up to this size can be multiplied and added up without overflow.
+_TAME = 1e100
+
+
+def embed_graphs(
+    nodes: DataFrame, edges: DataFrame, matrix: np.ndarray, *, layers: int = LAYERS, alpha: float = ALPHA, small_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The ``graph_embedding`` of ``forward`` over projected ``features``, without the embeddings of nodes.
+
+    The first layer rectifies the projection of a node's features mixed with their mean over its sources, as projections and means may be
+    swapped. From then on no entry is below 0 and a layer is linear, so the mean over all nodes after the last layer is a sum of the first
+    layer's vectors, each with a weight. Weights start at 1 and go back over the edges, from targets to sources, once per layer. An edge
+    carries the features once and then one number per layer, instead of ``h`` every time. Numbers that might overflow, and so lose a vector
+    on the way, take the path through all layers.
+    """
+    matrix = np.asarray(matrix, dtype=np.float64)
+    d, width = matrix.shape
+    key = ["graph_id", "node_id"]
+    own = cut_lineage(nodes.where(is_complete(F.col("features"))).select(*key, F.col("features").cast("array<double>").alias("h")), "complete-nodes")
+    seen = own.agg(F.max(F.array_max(F.transform("h", F.abs))).alias("most"), F.min(F.size("h")).alias("lo"), F.max(F.size("h")).alias("hi")).first()
+    tame = (seen["most"] or 0.0) <= _TAME and bool((np.abs(matrix) <= _TAME).all()) and {seen["lo"], seen["hi"]} <= {d, None}
+    if not tame or layers < 1 or not 0 <= alpha <= 1 or d > width:
+        projected = project_features(nodes, matrix)
+        return graph_embedding(forward(projected, edges, width, layers=layers, alpha=alpha, small_rows=small_rows), width)
+    distinct = _distinct_edges(edges)
+    sums = cut_lineage(neighbor_sums(_deal_edges(distinct, own, small_rows), own, d), "neighbor-sums")
+    weights = own.select(*key, F.lit(1.0).alias("u"))
+    if layers > 1:
+        back = _deal_edges(distinct.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "times"), own, small_rows)
+    for _ in range(layers - 1):
+        shares = weights.join(sums.select(*key, "n"), key).select(*key, F.array(F.col("u") / F.col("n")).alias("h"))
+        sent = neighbor_sums(back, shares, 1).select(*key, F.col("total")[0].alias("_back"))
+        mixed = F.lit(alpha) * F.col("u") + F.lit(1 - alpha) * F.coalesce("_back", F.lit(0.0))
+        weights = cut_lineage(weights.join(sent, key, "left").select(*key, mixed.alias("u")), "node-weights")
+    agg = F.coalesce(_mean(), F.array_repeat(F.lit(0.0), d))
+    mixed = F.zip_with("h", agg, lambda a, b: F.lit(alpha) * a + F.lit(1 - alpha) * b)
+    met = own.join(sums, key, "left").join(weights, key).select(*key, "u", mixed.alias("features"))
+    # Stored, as each of the sums below would write the projection out anew.
+    first = cut_lineage(project_features(met, matrix, keep=["u"]).withColumn("h", F.transform("h", positive)), "first-layer")
+    sizes = own.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_size"))
+    total = sum_columns_by_key(first, ["graph_id"], "h", width, weight="u").join(sizes, "graph_id")
+    return total.select("graph_id", F.transform("total", lambda x: x / F.col("_size")).alias("embedding"))
+
+
 def distance_score(embedding: Column, reference: Column) -> Column:
     """At most 1; null for an embedding that is null or incomplete."""
     return F.when(is_complete(embedding), F.least(F.lit(1.0), distance(embedding, reference) / F.lit(DISTANCE_SCALE)))

@@ -89,9 +89,8 @@ def score_vectors(df: DataFrame, models: Models, *, features: str = "features")
 def score_graphs(graphs: Graphs, models: Models) -> DataFrame:
     """``graph_id, s_gnn``: distance of each graph's embedding to the models' reference."""
     vectors = graphs.nodes.select("graph_id", "node_id", F.array(*graphs.features).alias("features"))
-    width = models.projection.shape[1]
-    embedded = g.graph_embedding(g.forward(g.project_features(vectors, models.projection), graphs.edges, width), width)
-    return g.graph_score(embedded, width, models.reference).select("graph_id", "s_gnn")
+    embedded = g.embed_graphs(vectors, graphs.edges, models.projection)
+    return g.graph_score(embedded, models.projection.shape[1], models.reference).select("graph_id", "s_gnn")
 
 
 def predict(
